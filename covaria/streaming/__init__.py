@@ -1,0 +1,4 @@
+"""Empty on purpose: every input of this job is a set of files read once.
+
+The 365-day look-back is a per-participant filter, not a stream window.
+"""
