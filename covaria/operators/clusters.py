@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -51,7 +51,7 @@ def _nearest(ids: np.ndarray, centres: np.ndarray):
     norms = (centres**2).sum(axis=1)
 
     @F.pandas_udf("int")
-    def nearest(batches: Iterable[pd.Series]) -> Iterable[pd.Series]:
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             found = np.empty(len(batch), dtype="int32")
             for lo in range(0, len(batch), BLOCK_ROWS):

@@ -1,0 +1,65 @@
+"""From inputs to covariates: one function per feature family, and their union."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+
+from covaria.config import JobConfig
+from covaria.operators import clusters, codes, matrix, ngrams, scale, terms, topics
+from covaria.operators.cohort import note_window
+
+LAYOUT = "empi_expdate"
+
+
+def ngram_features(notes: DataFrame, config: JobConfig, sizes: Sequence[int] = (1, 2)) -> DataFrame:
+    """Presence of the top n-grams of each size, per participant and index date.
+
+    Counting and matching are two jobs; the vocabulary between them is staged.
+    """
+    inside = note_window(notes, config.span_start, config.span_end)
+    tokens = ngrams.tokenised(inside, config.preprocessor)
+    out = None
+    for n in sizes:
+        chosen = None
+        if not config.all_ngrams:
+            chosen = ngrams.select_features(tokens, n, config.top_ngrams)
+        found = ngrams.as_features(ngrams.token_presence(tokens, n, LAYOUT, chosen), n)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def code_features(cohort: DataFrame, events: DataFrame, dimension: str = "combined") -> DataFrame:
+    return codes.as_features(codes.code_frequency(cohort, events, dimension))
+
+
+def term_features(cohort: DataFrame, mentions: DataFrame) -> DataFrame:
+    return terms.as_features(terms.term_frequency(cohort, mentions))
+
+
+def cluster_features(cohort: DataFrame, vectors: DataFrame, k: int, family: str) -> DataFrame:
+    model = clusters.fit_clusters(vectors, k)
+    return clusters.as_features(clusters.predicted(model, vectors), cohort, family)
+
+
+def topic_features(notes: DataFrame, config: JobConfig, k: int) -> DataFrame:
+    inside = note_window(notes, config.span_start, config.span_end)
+    tokens = topics.topic_tokens(inside)
+    vocabulary = topics.vocabulary_list(topics.document_frequency(tokens))
+    vectors = topics.vectorised(tokens, vocabulary)
+    model = topics.fit_topics(vectors, k, config.passes)
+    return topics.as_features(topics.contributions(model, vectors))
+
+
+def union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def covariates(cohort: DataFrame, features: DataFrame) -> DataFrame:
+    """One row per cohort member with its sparse covariates over all families."""
+    held = scale.staged(features, "features", ["family"])
+    return matrix.covariate_rows(cohort, held, matrix.feature_index(held))
