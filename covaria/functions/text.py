@@ -81,8 +81,7 @@ def without(tokens: Column, stop_words: Sequence[str]) -> Column:
 
 def without_first_line(text: Column) -> Column:
     """Text after the first line break; a one-line note has an empty body."""
-    brk = F.instr(text, "\n")
-    return F.when(brk > 0, F.substr(text, brk + 1)).otherwise(F.lit(""))
+    return F.regexp_extract(text, r"(?s)\n(.*)", 1)
 
 
 def note_body(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:
@@ -91,7 +90,12 @@ def note_body(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> C
     Stop words go first, so ``the,`` survives as ``the``.
     """
     kept = F.array_join(without(words(without_first_line(F.lower(text))), stop_words), " ")
-    return F.translate(kept, PUNCTUATION, "")
+    return F.regexp_replace(kept, r"\p{Punct}", "")
+
+
+def body_tokens(body: Column) -> Column:
+    """Tokens of a normalised body, whose words are parted by single spaces."""
+    return F.filter(F.split(body, " "), lambda w: w != "")
 
 
 def raw_tokens(text: Column) -> Column:
@@ -101,9 +105,11 @@ def raw_tokens(text: Column) -> Column:
 
 def topic_tokens(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:
     """Tokens for topic models: no punctuation, digits, stop words or short words."""
-    spaced = F.translate(F.lower(text), PUNCTUATION, " " * len(PUNCTUATION))
-    letters = F.translate(spaced, string.digits, "")
-    return F.filter(without(words(letters), stop_words), lambda w: F.length(w) >= 3)
+    letters = F.regexp_replace(F.lower(text), r"[0-9]+", "")
+    pieces = F.split(letters, rf"(?:\p{{Punct}}|{WHITESPACE[:-1]})+")
+    return F.filter(
+        pieces, lambda w: (F.length(w) >= 3) & ~w.isin(*stop_words)
+    )
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -180,4 +186,4 @@ def clean_name(name: Column) -> Column:
     out = F.regexp_replace(out, r"([A-Z])([A-Z][a-z])", "$1_$2")
     out = F.regexp_replace(out, r"[^A-Za-z0-9]+", "_")
     out = F.lower(F.regexp_replace(out, r"^_+|_+$", ""))
-    return F.when(out.rlike(r"^[0-9]"), F.concat(F.lit("x"), out)).otherwise(out)
+    return F.regexp_replace(out, r"^([0-9])", "x$1")

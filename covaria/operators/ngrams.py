@@ -46,7 +46,7 @@ def tokenised(
     text = F.col("text")
     if preprocessor == "nltk":
         bodies = notes.select(*NOTE_KEYS, X.note_body(text, stop_words).alias("body"))
-        return bodies.withColumn("tokens", X.words(F.col("body")))
+        return bodies.withColumn("tokens", X.body_tokens(F.col("body")))
     if preprocessor == "raw":
         return notes.select(*NOTE_KEYS, text.alias("body"), X.raw_tokens(text).alias("tokens"))
     raise ValueError(f"unknown preprocessor {preprocessor!r}")
@@ -54,7 +54,7 @@ def tokenised(
 
 def ngram_counts(tokens: DataFrame, n: int) -> DataFrame:
     """Occurrences of each n-gram over all notes."""
-    grams = tokens.select(F.explode(X.ngrams(F.col("tokens"), n)).alias("ngram"))
+    grams = scale.exploded(tokens, [], X.ngrams(F.col("tokens"), n), "ngram")
     return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -92,7 +92,7 @@ def token_presence(
     the rest before the shuffle when it is small enough to broadcast.
     """
     grams = F.array_distinct(X.ngrams(F.col("tokens"), n))
-    matches = tokens.select(*NOTE_KEYS, F.explode(grams).alias("ngram"))
+    matches = scale.exploded(tokens, NOTE_KEYS, grams, "ngram")
     if features is not None:
         names = features.select("ngram")
         spread_by = F.struct("note_id", "empi", "expdate")
@@ -100,37 +100,32 @@ def token_presence(
     return _presence(matches, layout)
 
 
-def _affixes(vocabulary: DataFrame, features: DataFrame, n: int) -> DataFrame:
-    """Which features does a chunk n-gram contain? Equi-joins on its possible pieces.
+def _pieces_of_one(vocabulary: DataFrame, named: DataFrame) -> DataFrame:
+    """Chunks with each feature-length piece of them."""
+    lengths = named.select(F.length("feature").alias("size")).distinct()
+    sizes = lengths.agg(F.array_sort(F.collect_list("size")).alias("sizes")).scalar()
+    cuts = vocabulary.withColumn("size", F.explode_outer(sizes))
+    cuts = cuts.where(F.col("size") <= F.length("chunk"))
+    starts = F.sequence(F.lit(1), F.length("chunk") - F.col("size") + 1)
+    cuts = cuts.withColumn("start", F.explode_outer(starts))
+    piece = F.substr(F.col("chunk"), F.col("start"), F.col("size"))
+    pieces = cuts.select("chunk", piece.alias("feature"))
+    return scale.sized_join(pieces, named, ["feature"], F.col("chunk"), "left_semi")
 
-    A feature holds single spaces between its tokens only, so inside text cut at
-    single spaces its first token ends a chunk, its last token starts one, and the
-    tokens between are whole chunks. One-token features lie inside one chunk.
-    """
-    parts = F.split("feature", " ")
-    named = features.select(F.col("ngram").alias("feature"))
-    if n == 1:
-        lengths = named.select(F.length("feature").alias("size")).distinct()
-        sizes = lengths.agg(F.array_sort(F.collect_list("size")).alias("sizes"))
-        pieces = vocabulary.withColumn("size", F.explode(sizes.scalar()))
-        pieces = pieces.where(F.col("size") <= F.length("chunk"))
-        starts = F.sequence(F.lit(1), F.length("chunk") - F.col("size") + 1)
-        pieces = pieces.withColumn("start", F.explode(starts))
-        cut = F.substr(F.col("chunk"), F.col("start"), F.col("size"))
-        found = pieces.select("chunk", cut.alias("feature")).distinct()
-        return found.join(named, "feature")
-    keyed = named.select(
-        "feature",
-        F.element_at(parts, 1).alias("head"),
-        F.element_at(parts, -1).alias("tail"),
-        F.array_join(F.slice(parts, 2, n - 2), " ").alias("middle"),
-    )
-    split_chunk = F.split("chunk", " ")
+
+def _pieces_of_many(vocabulary: DataFrame, named: DataFrame, n: int) -> DataFrame:
+    """Chunk n-grams with each feature that ends in, spans and starts their chunks."""
+
+    def ends(column: str):
+        parts = F.split(column, " ")
+        middle = F.array_join(F.slice(parts, 2, n - 2), " ")
+        return F.element_at(parts, 1), middle, F.element_at(parts, -1)
+
+    head, middle, tail = ends("feature")
+    keyed = named.select("feature", head.alias("head"), middle.alias("middle"), tail.alias("tail"))
+    first, middle, last = ends("chunk")
     whole = vocabulary.select(
-        "chunk",
-        F.element_at(split_chunk, 1).alias("first"),
-        F.element_at(split_chunk, -1).alias("last"),
-        F.array_join(F.slice(split_chunk, 2, n - 2), " ").alias("middle"),
+        "chunk", first.alias("first"), middle.alias("middle"), last.alias("last")
     ).where((F.length("first") > 0) & (F.length("last") > 0))
     from_start = F.transform(
         F.sequence(F.lit(1), F.length("first")), lambda i: F.substr(F.col("first"), i)
@@ -138,11 +133,28 @@ def _affixes(vocabulary: DataFrame, features: DataFrame, n: int) -> DataFrame:
     to_end = F.transform(
         F.sequence(F.lit(1), F.length("last")), lambda i: F.substr(F.col("last"), F.lit(1), i)
     )
-    heads = whole.withColumn("head", F.explode(from_start)).join(
-        keyed.select("head").distinct(), "head", "left_semi"
-    )
-    pieces = heads.withColumn("tail", F.explode(to_end))
-    return pieces.join(keyed, ["head", "middle", "tail"]).select("chunk", "feature")
+    spread_by = F.col("chunk")
+    heads = whole.withColumn("head", F.explode_outer(from_start))
+    heads = scale.sized_join(heads, keyed.select("head").distinct(), ["head"], spread_by, "left_semi")
+    pieces = heads.withColumn("tail", F.explode_outer(to_end))
+    found = scale.sized_join(pieces, keyed, ["head", "middle", "tail"], spread_by)
+    return found.select("chunk", "feature")
+
+
+def contained_features(vocabulary: DataFrame, features: DataFrame, n: int) -> DataFrame:
+    """The features that each chunk n-gram contains, as one list per chunk.
+
+    A feature holds single spaces between its tokens only, so in text cut at single
+    spaces its first token ends a chunk, its last token starts one, and the tokens
+    between are whole chunks. One-token features lie inside one chunk. All of it is
+    an equi-join on the pieces of distinct chunks, never a test of all pairs.
+    """
+    named = features.select(F.col("ngram").alias("feature"))
+    if n == 1:
+        found = _pieces_of_one(vocabulary, named)
+    else:
+        found = _pieces_of_many(vocabulary, named, n)
+    return found.groupBy("chunk").agg(F.collect_set("feature").alias("found"))
 
 
 def substring_presence(
@@ -150,16 +162,16 @@ def substring_presence(
 ) -> DataFrame:
     """Span of each feature per output key, matched anywhere in the note body.
 
-    Only distinct chunks are searched for features; notes meet the result by an
-    equi-join on the chunk, salted for chunks that most notes contain.
+    Only distinct chunks are searched for features; notes meet the staged result by
+    an equi-join on the chunk, salted for chunks that most notes contain.
     """
     chunks = F.array_distinct(X.ngrams(F.split("body", " "), n))
-    held = tokens.select(*NOTE_KEYS, F.explode(chunks).alias("chunk"))
+    held = scale.exploded(tokens, NOTE_KEYS, chunks, "chunk")
     vocabulary = held.select("chunk").distinct()
-    found = _affixes(vocabulary, features, n).withColumnRenamed("feature", "ngram")
+    found = scale.staged(contained_features(vocabulary, features, n), f"found-{n}gram")
     spread_by = F.struct("note_id", "empi", "expdate")
     matches = scale.sized_join(held, found, ["chunk"], spread_by)
-    return _presence(matches, layout)
+    return _presence(scale.exploded(matches, NOTE_KEYS, F.col("found"), "ngram"), layout)
 
 
 def feature_totals(presence: DataFrame) -> DataFrame:

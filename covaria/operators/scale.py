@@ -108,6 +108,24 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def exploded(df: DataFrame, kept: Sequence[str | Column], array: Column, name: str) -> DataFrame:
+    """One row per array element.
+
+    The outer form keeps Catalyst from adding ``size(array) > 0`` as a filter, which
+    it would push below the joins and so compute the array several times.
+    """
+    rows = df.select(*kept, F.explode_outer(array).alias(name))
+    return rows.where(F.col(name).isNotNull())
+
+
+def placed(
+    df: DataFrame, kept: Sequence[str | Column], array: Column, place: str, name: str
+) -> DataFrame:
+    """``exploded`` with the position of each element, from 0."""
+    rows = df.select(*kept, F.posexplode_outer(array).alias(place, name))
+    return rows.where(F.col(name).isNotNull())
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, start: int = 0
 ) -> DataFrame:

@@ -11,10 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covaria.functions import keys as K
 from covaria.functions import text as X
 from covaria.operators import cohort as C
+from covaria.operators import scale
 
 KEYS = ("empi", "expdate")
 # The column that names the concept in each module.
@@ -106,15 +108,26 @@ def concept_tag(module: Column) -> Column:
 
 
 def tagged(mentions: DataFrame) -> DataFrame:
-    """Mentions with raw and clean term and concept names."""
+    """Mentions with raw and clean term and concept names.
+
+    A dictionary has far fewer names than there are mentions, so names are cleaned
+    once each, staged, and broadcast back. Names too many for that are cleaned per row.
+    """
     module = F.coalesce(F.col("module"), F.lit("NA"))
     term = F.coalesce(F.col("term"), F.lit("NA"))
     named = mentions.withColumn("concept_tags", concept_tag(module)).withColumn(
         "term_names", X.decimal_mark(F.concat(F.lit("term_"), module, F.lit("_"), term))
     )
-    return named.withColumn("clean_terms", X.clean_name(F.col("term_names"))).withColumn(
-        "clean_concept_tags", X.clean_name(F.col("concept_tags"))
-    )
+    both = F.array("term_names", "concept_tags")
+    raw = named.select(F.explode(both).alias("raw")).distinct()
+    names = scale.staged(raw.withColumn("clean", X.clean_name(F.col("raw"))), "names")
+    wanted = {"clean_terms": "term_names", "clean_concept_tags": "concept_tags"}
+    if not scale.small(names):
+        return named.withColumns({out: X.clean_name(F.col(raw)) for out, raw in wanted.items()})
+    for out, raw in wanted.items():
+        listed = names.select(F.col("raw").alias(raw), F.col("clean").alias(out))
+        named = named.join(F.broadcast(listed), raw, "left")
+    return named
 
 
 def _indicator(clean: Column, raw: Column, assertion: str) -> Column:
@@ -179,30 +192,57 @@ def _filled(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _winners(counted: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The most frequent value per group, the smallest of several, and all rows of the group."""
+    ranked = F.struct((-F.col("n")).alias("n"), *values)
+    best = counted.groupBy(*groups).agg(F.min(ranked).alias("best"), F.sum("n").alias("rows"))
+    return best.select(*groups, *[F.col(f"best.{v}").alias(v) for v in values], "rows")
+
+
 def participant_modes(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent value of each column per participant; ties go to the smallest.
 
-    Values are counted by grouping sets first, so a participant with a third of all
-    rows is spread over tasks by value and the last step sees counts only.
+    Cells are counted by participant, column and value first, so a participant with
+    a third of all rows is spread over tasks, and later steps see counts only. Whole
+    numbers and dates travel as numbers, so that ties compare as such.
     """
     rows = _filled(mentions, [*KEYS, *columns])
-    sets = [[*[F.col(k) for k in KEYS], F.col(c)] for c in columns]
-    counted = rows.groupingSets(sets, *KEYS, *columns).agg(
-        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    cells = []
+    for c in columns:
+        whole = isinstance(kinds[c], (T.IntegralType, T.DateType))
+        day = isinstance(kinds[c], T.DateType)
+        number = F.unix_date(c) if day else F.col(c)
+        cells.append(
+            F.struct(
+                F.lit(c).alias("kind"),
+                F.lit(None).cast("string").alias("text") if whole else F.col(c).cast("string").alias("text"),
+                number.cast("bigint").alias("number") if whole else F.lit(None).cast("bigint").alias("number"),
+            )
+        )
+    counted = (
+        rows.select(*KEYS, F.inline(F.array(*cells)))
+        .groupBy(*KEYS, "kind", "text", "number")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    full = (1 << len(columns)) - 1
-    best = []
-    for i, c in enumerate(columns):
-        own = F.col("gid") == full - (1 << (len(columns) - 1 - i))
-        ranked = F.when(own, F.struct((-F.col("n")).alias("n"), F.col(c).alias("v")))
-        best.append(F.min(ranked)["v"].alias(c))
-    return counted.groupBy(*KEYS).agg(*best)
+    best = _winners(counted, [*KEYS, "kind"], ["text", "number"])
+    out = []
+    for c in columns:
+        own = F.col("kind") == c
+        if isinstance(kinds[c], T.DateType):
+            value = F.date_from_unix_date(F.max(F.when(own, F.col("number"))).cast("int"))
+        elif isinstance(kinds[c], T.IntegralType):
+            value = F.max(F.when(own, F.col("number"))).cast(kinds[c])
+        else:
+            value = F.max(F.when(own, F.col("text"))).cast(kinds[c])
+        out.append(value.alias(c))
+    return best.groupBy(*KEYS).agg(*out)
 
 
 def module_summary(mentions: DataFrame) -> DataFrame:
     """Modes and row counts of concepts and terms in each of the four modules.
 
-    A module without rows gives nulls. Same two steps as ``participant_modes``.
+    A module without rows gives nulls. Counting goes first, as in ``participant_modes``.
     """
     code = F.lit(None).cast("string")
     for name, column in CONCEPT_COLUMNS.items():
@@ -219,25 +259,19 @@ def module_summary(mentions: DataFrame) -> DataFrame:
         .groupBy(*KEYS, "module", "kind", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = F.struct((-F.col("n")).alias("n"), F.col("v"))
+    best = _winners(counted, [*KEYS, "module", "kind"], ["v"])
     out = []
     for module, names in SUMMARY_COLUMNS.items():
-        here = F.col("module") == module
-
-        def mode(kind: str, name: str, here: Column = here) -> Column:
-            return F.min(F.when(here & (F.col("kind") == kind), ranked))["v"].alias(name)
-
-        entries = F.sum(F.when(here & (F.col("kind") == "code"), F.col("n")))
-        out += [
-            mode("code", names[0]),
-            mode("clean_concept_tags", names[1]),
-            entries.alias(names[2]),
-            mode("term", names[3]),
-            mode("term_names", names[4]),
-            mode("clean_terms", names[5]),
-            entries.alias(names[6]),
-        ]
-    return counted.groupBy(*KEYS).agg(*out)
+
+        def own(kind: str, column: str, module: str = module) -> Column:
+            here = (F.col("module") == module) & (F.col("kind") == kind)
+            return F.max(F.when(here, F.col(column)))
+
+        wanted = ("code", "clean_concept_tags", None, "term", "term_names", "clean_terms", None)
+        for kind, name in zip(wanted, names):
+            cell = own("code", "rows") if kind is None else own(kind, "v")
+            out.append(cell.alias(name))
+    return best.groupBy(*KEYS).agg(*out)
 
 
 def missing_summary(cohort: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -41,7 +42,7 @@ def document_frequency(
 ) -> DataFrame:
     """Terms in at least ``no_below`` notes and at most that share; the ``keep`` widest spread."""
     notes = tokens.agg(F.count(F.lit(1)).alias("n")).scalar()
-    each = tokens.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    each = scale.exploded(tokens, [], F.array_distinct("tokens"), "term")
     counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("notes"))
     kept = counts.where((F.col("notes") >= no_below) & (F.col("notes") <= notes * no_above))
     return kept.orderBy(F.col("notes").desc(), "term").limit(keep)
@@ -49,7 +50,7 @@ def document_frequency(
 
 def bag_of_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Term counts per note over the vocabulary."""
-    each = tokens.select("note_id", F.explode("tokens").alias("term"))
+    each = scale.exploded(tokens, ["note_id"], F.col("tokens"), "term")
     known = scale.sized_join(each, vocabulary.select("term"), ["term"], F.col("note_id"), "left_semi")
     return known.groupBy("note_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -80,7 +81,8 @@ def fit_topics(
     Every batch is one Spark job that reads the notes, so a pass has at most
     ``max_batches`` of them and the batch grows with the corpus beyond that.
     """
-    notes = max(vectors.count(), 1)
+    held = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    notes = max(held.count(), 1)
     batches = min(math.ceil(notes / batch_notes), max_batches)
     lda = LDA(
         k=k,
@@ -93,7 +95,10 @@ def fit_topics(
         seed=seed,
         featuresCol="features",
     )
-    return lda.fit(vectors)
+    try:
+        return lda.fit(held)
+    finally:
+        held.unpersist()
 
 
 def contributions(model: LDAModel, vectors: DataFrame, floor: float = MIN_WEIGHT) -> DataFrame:
@@ -126,8 +131,7 @@ def log_perplexity(model: LDAModel, vectors: DataFrame) -> float:
 def unnested(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per note and topic, without notes that have an empty list."""
     full = rows.where(F.size("topic_contributions") > 0)
-    each = full.select(*keys, F.inline("topic_contributions"))
-    return each
+    return full.select(*keys, F.inline("topic_contributions"))
 
 
 def topic_pivot(rows: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:

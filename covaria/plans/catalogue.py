@@ -644,8 +644,12 @@ def topic_words(tokens: DataFrame) -> DataFrame:
     return scale.staged(dealt, "topic-words")
 
 
+def _staged_tokens(spark, sf):
+    return scale.staged(_topic_tokens(spark, sf), "topic-tokens")
+
+
 def _coherence(spark, sf, measure):
-    tokens = _topic_tokens(spark, sf)
+    tokens = _staged_tokens(spark, sf)
     scores = CH.coherence(tokens, topic_words(tokens), measure)
     return scores.select("topic", F.round("coherence", 6).alias("coherence"))
 
@@ -672,13 +676,13 @@ def coherence_cv(spark, sf):
 
 @query
 def coherence_average(spark, sf):
-    tokens = _topic_tokens(spark, sf)
+    tokens = _staged_tokens(spark, sf)
     scores = CH.average(CH.coherence(tokens, topic_words(tokens), "u_mass"))
     return scores.select(F.round("coherence", 6).alias("coherence"))
 
 
 def _fitted(spark, sf, k=5, passes=2):
-    tokens = scale.staged(_topic_tokens(spark, sf), "topic-tokens")
+    tokens = _staged_tokens(spark, sf)
     terms = TP.vocabulary_list(TP.document_frequency(tokens))
     vectors = TP.vectorised(tokens, terms)
     return tokens, terms, vectors, TP.fit_topics(vectors, k, passes)
@@ -738,7 +742,7 @@ def sweep(tokens: DataFrame, counts, measure: str = "u_mass", passes: int = 2) -
 
 @query
 def topic_sweep(spark, sf):
-    tokens = scale.staged(_topic_tokens(spark, sf), "topic-tokens")
+    tokens = _staged_tokens(spark, sf)
     return sweep(tokens, (3, 5))
 
 
@@ -754,14 +758,14 @@ def embed_hashed(spark, sf):
 
 @query
 def embed_word2vec(spark, sf):
-    tokens = scale.staged(_topic_tokens(spark, sf), "topic-tokens")
+    tokens = _staged_tokens(spark, sf)
     model = E.fit_word_vectors(tokens, size=16)
     return E.document_embeddings(model, tokens)
 
 
 @query
 def embed_tokens(spark, sf):
-    tokens = scale.staged(_topic_tokens(spark, sf), "topic-tokens")
+    tokens = _staged_tokens(spark, sf)
     model = E.fit_word_vectors(tokens, size=16)
     return E.word_embeddings(model, tokens).select("note_id", "position", "token", "embedding")
 

@@ -16,10 +16,11 @@ LAYOUT = "empi_expdate"
 def ngram_features(notes: DataFrame, config: JobConfig, sizes: Sequence[int] = (1, 2)) -> DataFrame:
     """Presence of the top n-grams of each size, per participant and index date.
 
-    Counting and matching are two jobs; the vocabulary between them is staged.
+    Notes are tokenised once and staged; counting and matching are jobs on that table.
     """
     inside = note_window(notes, config.span_start, config.span_end)
-    tokens = ngrams.tokenised(inside, config.preprocessor)
+    tokens = ngrams.tokenised(inside, config.preprocessor).drop("body")
+    tokens = scale.staged(tokens, "tokens")
     out = None
     for n in sizes:
         chosen = None
@@ -45,7 +46,7 @@ def cluster_features(cohort: DataFrame, vectors: DataFrame, k: int, family: str)
 
 def topic_features(notes: DataFrame, config: JobConfig, k: int) -> DataFrame:
     inside = note_window(notes, config.span_start, config.span_end)
-    tokens = topics.topic_tokens(inside)
+    tokens = scale.staged(topics.topic_tokens(inside), "topic-tokens")
     vocabulary = topics.vocabulary_list(topics.document_frequency(tokens))
     vectors = topics.vectorised(tokens, vocabulary)
     model = topics.fit_topics(vectors, k, config.passes)

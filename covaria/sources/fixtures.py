@@ -59,7 +59,7 @@ def notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _order_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
+    lines = scale.spread(table(spark, folder, "lineitem"), "l_orderkey")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     parts = table(spark, folder, "part")
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(
