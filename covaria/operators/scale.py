@@ -27,8 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="covaria-")
         spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
@@ -133,16 +131,12 @@ def numbered(
 
     ``order`` must be free of ties. Rows are range-partitioned by key and order,
     numbered inside each slice of a key, and moved up by the sizes of the key's
-    earlier slices. The slices are checkpointed so that both steps see the same ones.
+    earlier slices. The slices are staged so that both steps see the same ones.
     """
-    shared_dir(df.sparkSession)
     parts = max(df.sparkSession.sparkContext.defaultParallelism, 2)
     parts = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sliced = (
-        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
-    )
+    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+    sliced = staged(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

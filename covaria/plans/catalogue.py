@@ -25,7 +25,7 @@ from covaria.operators import ngrams as N
 from covaria.operators import scale
 from covaria.operators import terms as T
 from covaria.operators import topics as TP
-from covaria.plans import pipelines as PL
+from covaria.plans import jobs as PL
 from covaria.sources import fixtures as FX
 from covaria.sources import readers as R
 from covaria.sources import writers as W
@@ -39,22 +39,6 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 TOPICS = 10
 WORDS_PER_TOPIC = 20
 COHERENCE_TOPICS = 5
-MODE_COLUMNS = (
-    "noteID",
-    "notedate",
-    "module",
-    "term",
-    "negated_mod",
-    "family_history_mod",
-    "concept_id",
-    "SNOMED_PrefTerm",
-    "rxcui",
-    "UMLS_CUI",
-    "term_names",
-    "clean_terms",
-    "concept_tags",
-    "clean_concept_tags",
-)
 # Groups of term files per cohort name.
 GROUPS = [("cohort1", "grp0_"), ("cohort2", "grp1_"), ("cohort3", "grp2_")]
 
@@ -328,6 +312,13 @@ def _register_dimensions() -> None:
 _register_dimensions()
 
 
+@query
+def structured_codes(spark, sf):
+    tables = PL.structured_codes(FX.cohort(spark, sf), FX.code_events(spark, sf), "claims")
+    joined = tables.frequency.withColumn("code", F.concat("code", F.lit(CO.SUFFIX)))
+    return joined.join(tables.binary, ["empi", "expdate", "source", "code"])
+
+
 @query
 def code_binary_hdec(spark, sf):
     return CO.checked_binary(CO.binary_codes(_codes(spark, sf, "combined")))
@@ -463,7 +454,7 @@ def term_binary(spark, sf):
 
 @query
 def participant_modes(spark, sf):
-    return T.participant_modes(_mentions(spark, sf), MODE_COLUMNS)
+    return T.participant_modes(_mentions(spark, sf), PL.MODE_COLUMNS)
 
 
 @query
@@ -476,6 +467,11 @@ def missing_summary(spark, sf):
     return T.missing_summary(_members(spark, sf), _mentions(spark, sf))
 
 
+@query
+def term_demographics(spark, sf):
+    return PL.term_demographics(_members(spark, sf), FX.mterms(spark, sf))
+
+
 @query
 def no_terms(spark, sf):
     return T.no_terms(_members(spark, sf), FX.mterms(spark, sf))
@@ -552,6 +548,18 @@ def assign_clusters(spark, sf):
     return CL.assign_clusters(vectors, centres).select("vec_id", "cluster")
 
 
+@query
+def cluster_matrix(spark, sf):
+    sets = CL.cluster_sets(FX.cluster_labels(spark, sf))
+    return PL.cluster_matrix(C.washout(FX.cohort(spark, sf), 180), sets, TOPICS)
+
+
+@query
+def cluster_job(spark, sf):
+    sets = PL.cluster_job(FX.vectors(spark, sf), TOPICS, _folder(spark, "cluster-job"))
+    return sets.select("empi", "cluster", "positive_cluster_num")
+
+
 @query
 def fit_clusters(spark, sf):
     vectors = FX.vectors(spark, sf)
@@ -699,14 +707,7 @@ def topic_terms(spark, sf):
     """Top words of each topic, topics ranked by coherence."""
     tokens, terms, _, model = _fitted(spark, sf)
     words = scale.staged(TP.topic_terms(model, terms, 20), "topic-terms")
-    scores = CH.coherence(tokens, words, "u_mass")
-    place = F.row_number().over(Window.orderBy(F.col("coherence").desc(), "topic"))
-    ranked = scores.withColumn("topic_rank", place)
-    listed = F.sort_array(F.collect_list(F.struct("rank", "term")))
-    named = words.groupBy("topic").agg(listed.alias("words"))
-    return ranked.join(named, "topic").select(
-        "topic_rank", "topic", "coherence", F.array_join("words.term", ", ").alias("words")
-    )
+    return PL.ranked_topics(tokens, words)
 
 
 @query
@@ -723,6 +724,14 @@ def log_perplexity(spark, sf):
     return spark.createDataFrame([(5, bound)], "k int, log_perplexity double")
 
 
+@query
+def topic_metrics(spark, sf):
+    path = _folder(spark, "topic-job")
+    config = JobConfig(passes=2)
+    PL.topic_job(FX.notes(spark, sf), config, 5, path)
+    return spark.read.parquet(f"{path}/k=5/topic_metrics")
+
+
 def sweep(tokens: DataFrame, counts, measure: str = "u_mass", passes: int = 2) -> DataFrame:
     """Perplexity and mean coherence of a model per topic count."""
     spark = tokens.sparkSession
@@ -752,7 +761,7 @@ def topic_sweep(spark, sf):
 @query
 def embed_hashed(spark, sf):
     rows = E.hashed_embeddings(_topic_tokens(spark, sf))
-    cells = rows.select("note_id", F.posexplode("embedding").alias("i", "x"))
+    cells = scale.placed(rows, ["note_id"], F.col("embedding"), "i", "x")
     return cells.select("note_id", "i", (F.round(F.col("x").cast("double"), 4) + 0.0).alias("x"))
 
 

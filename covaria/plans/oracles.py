@@ -13,12 +13,12 @@ from covaria.plans.catalogue import (
     BRANDS,
     COHERENCE_TOPICS,
     GROUPS,
-    MODE_COLUMNS,
     TOP_K,
     TOPICS,
     WIDE_WORDS,
     WORDS_PER_TOPIC,
 )
+from covaria.plans.jobs import MODE_COLUMNS
 
 
 def lit(value: str) -> str:
@@ -528,6 +528,10 @@ def oracles() -> dict[str, str]:
     out["code_frequency_claims"] = sql("SELECT * FROM codes WHERE source = 'mcr'", "codes")
     out["code_frequency_rpdr"] = sql("SELECT * FROM codes WHERE source = 'rpdr'", "codes")
     out["code_frequency_combined"] = sql("SELECT * FROM codes", "codes")
+    out["structured_codes"] = sql(
+        "SELECT empi, expdate, source, code || '_hdec' AS code, n, 1 AS value FROM codes WHERE source = 'mcr'",
+        "codes",
+    )
     out["code_binary_hdec"] = sql(
         "SELECT empi, expdate, source, code || '_hdec' AS code, 1 AS value FROM codes", "codes"
     )
@@ -578,12 +582,17 @@ def oracles() -> dict[str, str]:
     view("term_binary")
     out["participant_modes"] = sql(_participant_modes(), "tagged")
     out["module_summary"] = sql(_module_summary(), "tagged")
-    out["missing_summary"] = sql(
+    missing = (
         "SELECT c.empi, c.expdate, missing_concept, coalesce(missing_term, 1) AS missing_term, "
         "coalesce(total_entries, 0) AS total_entries FROM cohort c LEFT JOIN (SELECT empi, expdate, "
         "count(*) FILTER (clean_concept_tags = 'concept_na') AS missing_concept, "
         "count(*) FILTER (clean_terms = 'term_na') AS missing_term, count(*) AS total_entries "
-        "FROM tagged GROUP BY ALL) t ON c.empi = t.empi AND c.expdate = t.expdate",
+        "FROM tagged GROUP BY ALL) t ON c.empi = t.empi AND c.expdate = t.expdate"
+    )
+    out["missing_summary"] = sql(missing, "cohort", "tagged")
+    out["term_demographics"] = sql(
+        f"SELECT * FROM ({missing}) LEFT JOIN ({_participant_modes()}) USING (empi, expdate) "
+        f"LEFT JOIN ({_module_summary()}) USING (empi, expdate)",
         "cohort",
         "tagged",
     )
@@ -602,6 +611,12 @@ def oracles() -> dict[str, str]:
         "SELECT empi, " + ", ".join(f"{b} AS Cluster_ID_{i}" for i, b in enumerate(bits)) + " FROM sets",
         "sets",
     )
+    out["cluster_matrix"] = sql(
+        "SELECT empi, " + ", ".join(f"{b} AS Cluster_ID_{i}" for i, b in enumerate(bits)) + " FROM sets "
+        "WHERE empi IN (SELECT empi FROM cohort WHERE prior180_treatment_flag = 0 AND prior180_comparator_flag = 0)",
+        "sets",
+        "cohort",
+    )
     out["cluster_vectors"] = sql(
         "SELECT empi, " + " || ".join(f"CAST({b} AS VARCHAR)" for b in bits) + " AS bits FROM sets",
         "sets",
@@ -670,7 +685,7 @@ def oracles() -> dict[str, str]:
     )
 
     out["embed_hashed"] = sql(
-        "SELECT note_id, CAST(i - 1 AS INTEGER) AS i, round(CAST(CAST(sum(n * (strpos('0123456789abcdef', substr(h, i, 1)) - 8.5) / 7.5) / sum(n) AS FLOAT) AS DOUBLE), 4) + 0.0 AS x "
+        "SELECT note_id, CAST(i - 1 AS INTEGER) AS i, round(CAST(CAST(sum(n * (2 * strpos('0123456789abcdef', substr(h, i, 1)) - 17)) / (sum(n) * 15.0) AS FLOAT) AS DOUBLE), 4) + 0.0 AS x "
         "FROM (SELECT note_id, term, count(*) AS n, md5(term || '#0') AS h FROM places GROUP BY note_id, term), "
         "(SELECT unnest(generate_series(1, 32)) AS i) GROUP BY note_id, i",
         "places",

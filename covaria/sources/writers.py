@@ -96,8 +96,11 @@ def write_topic_matrices(
     binary.write.parquet(f"{path}/k={k}/binarized")
 
 
-def write_topic_reports(terms: DataFrame, metrics: DataFrame, path: str) -> None:
-    """Topic words and topic metrics as tables."""
+def write_topic_reports(
+    ranked: DataFrame, terms: DataFrame, metrics: DataFrame, path: str
+) -> None:
+    """Topics by coherence, topic words with weights, and topic metrics, as tables."""
+    ranked.write.parquet(f"{path}/topics")
     terms.write.parquet(f"{path}/topic_terms")
     metrics.write.parquet(f"{path}/topic_metrics")
 
