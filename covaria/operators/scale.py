@@ -21,12 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may do without it; it gets a scratch folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="covaria-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="covaria-"))
+        named = context.getCheckpointDir()
     return named
 
 
@@ -129,7 +130,7 @@ def numbered(
 ) -> DataFrame:
     """Row number within ``keys`` that never puts a whole group into one task.
 
-    ``order`` must be free of ties. Rows are range-partitioned by key and order,
+    ``order`` holds unbound columns (``F.col``) and must be free of ties. Rows are range-partitioned by key and order,
     numbered inside each slice of a key, and moved up by the sizes of the key's
     earlier slices. The slices are staged so that both steps see the same ones.
     """

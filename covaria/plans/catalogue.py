@@ -897,6 +897,20 @@ def roundtrip_ngrams(spark, sf):
     return R.read_ngrams(spark, path, 2)
 
 
+@query
+def roundtrip_ngram_shards(spark, sf):
+    """Wide shards of different words, read back as long rows."""
+    path = _folder(spark, "ngram-shards")
+    key = K.empi_indexdt(F.col("empi"), F.col("expdate")).alias("empi_indexdt")
+    cells = scale.staged(ngram_wide(spark, sf), "ngram-wide")
+    half = len(WIDE_WORDS) // 2
+    paths = []
+    for i, names in enumerate((WIDE_WORDS[:half], WIDE_WORDS[half:]), 1):
+        paths.append(f"{path}/unigram_{i}.csv")
+        cells.select(key, *names).write.option("header", True).csv(paths[-1])
+    return R.read_ngram_shards(spark, paths).where(F.col("value").isNotNull())
+
+
 @query
 def roundtrip_topics(spark, sf):
     path = _folder(spark, "topics")

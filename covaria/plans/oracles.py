@@ -723,6 +723,13 @@ def oracles() -> dict[str, str]:
     out["roundtrip_ngrams"] = sql(
         _presence("bigrams", "top_bigrams", "empi"), "bigrams", "top_bigrams"
     )
+    half = len(WIDE_WORDS) // 2
+    out["roundtrip_ngram_shards"] = sql(
+        f"SELECT empi || CAST({sas} AS VARCHAR) AS empi_indexdt, ngram, CAST(span AS DOUBLE) AS value, "
+        f"CASE WHEN ngram IN ({', '.join(lit(w) for w in WIDE_WORDS[:half])}) THEN 'unigram_1.csv' ELSE 'unigram_2.csv' END AS source "
+        f"FROM presence_empi_expdate WHERE ngram IN ({', '.join(lit(w) for w in WIDE_WORDS)})",
+        "presence_empi_expdate",
+    )
     view("roundtrip_topics", "topic_rows")
     out["roundtrip_topic_strings"] = sql(
         "SELECT s.empi, s.expdate, s.notedate, abs(s.days) AS diff, s.notetype, t.topic, t.weight "

@@ -58,17 +58,28 @@ def read_cohort(
 
 
 def read_code_frequencies(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Wide code counts, one file per dimension, as (key, code, n, source).
+    """Wide code counts, one file per dimension, as (key, code, n, source)."""
+    return _wide_files(spark, paths, "code", "n", "bigint")
 
-    Files have different code columns, so each is unpivoted before the union. The
-    key is the first column and stays text.
+
+def read_ngram_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Wide n-gram shards (``unigram_1.csv`` and so on) as (key, ngram, value, source)."""
+    return _wide_files(spark, paths, "ngram", "value", "double")
+
+
+def _wide_files(
+    spark: SparkSession, paths: Sequence[str], name: str, value: str, kind: str
+) -> DataFrame:
+    """Long rows of wide files. Each has columns of its own, so it is unpivoted first.
+
+    The key is the first column and stays text.
     """
     parts = []
     for path in paths:
         frame = spark.read.option("header", True).csv(path)
-        key, *codes = frame.columns
-        counts = frame.select(key, *[F.col(f"`{c}`").cast("bigint").alias(c) for c in codes])
-        cells = counts.unpivot([key], [F.col(f"`{c}`") for c in codes], "code", "n")
+        key, *names = frame.columns
+        wide = frame.select(key, *[F.col(f"`{c}`").cast(kind).alias(c) for c in names])
+        cells = wide.unpivot([key], [F.col(f"`{c}`") for c in names], name, value)
         parts.append(cells.withColumn("source", F.lit(path.rstrip("/").rsplit("/", 1)[-1])))
     out = parts[0]
     for part in parts[1:]:

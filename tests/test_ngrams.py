@@ -5,6 +5,7 @@ import random
 
 import pytest
 from helpers import INDEX, day, notes, rows
+from pyspark.sql import functions as F
 
 from covaria.operators import ngrams as N
 from covaria.operators import scale
@@ -115,14 +116,38 @@ def test_salted_joins_keep_every_row(spark):
 
 def test_numbers_of_a_hot_group(spark):
     frame = spark.range(3000).selectExpr("if(id % 3 = 0, id, -1) as k", "id")
-    got = scale.numbered(frame, ["k"], [frame["id"].desc()], "rn")
+    got = scale.numbered(frame, ["k"], [F.col("id").desc()], "rn")
     hot = [r["id"] for r in got.where("k = -1").orderBy("rn").collect()]
     assert hot == sorted((i for i in range(3000) if i % 3), reverse=True)
     assert got.where("k >= 0 and rn != 0").count() == 0
 
 
-def test_only_a_local_session_may_lack_the_shared_folder(spark, monkeypatch):
-    named = scale.shared_dir(spark)
-    assert named == spark.conf.get("spark.checkpoint.dir")
+class FakeContext:
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):  # noqa: N802
+        return self.folder
+
+    def setCheckpointDir(self, folder):  # noqa: N802
+        self.folder = folder
+
+
+class FakeSession:
+    def __init__(self, master):
+        self.sparkContext, self.conf = FakeContext(master), {}
+
+
+def test_only_a_local_session_may_lack_the_shared_folder(spark):
+    assert scale.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    local = FakeSession("local[2]")
+    assert scale.shared_dir(local) == scale.shared_dir(local) == local.sparkContext.folder
+    with pytest.raises(ValueError):
+        scale.shared_dir(FakeSession("spark://host:7077"))
+
+
+def test_held_bytes(spark):
     assert scale.held_bytes(spark.range(10)) == 10 * 32
     assert not scale.small(spark.range(10), 100)
+    texts = spark.createDataFrame([("ab", [1, 2]), (None, None)], "t string, a array<int>")
+    assert scale.held_bytes(texts) == 2 * 48 + 2 + len("[1, 2]")
