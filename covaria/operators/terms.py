@@ -209,15 +209,15 @@ def participant_modes(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = _filled(mentions, [*KEYS, *columns])
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     cells = []
-    for c in columns:
+    for i, c in enumerate(columns):
         whole = isinstance(kinds[c], (T.IntegralType, T.DateType))
         day = isinstance(kinds[c], T.DateType)
         number = F.unix_date(c) if day else F.col(c)
         cells.append(
             F.struct(
-                F.lit(c).alias("kind"),
-                F.lit(None).cast("string").alias("text") if whole else F.col(c).cast("string").alias("text"),
-                number.cast("bigint").alias("number") if whole else F.lit(None).cast("bigint").alias("number"),
+                F.lit(i).alias("kind"),
+                (F.lit(None) if whole else F.col(c)).cast("string").alias("text"),
+                (number if whole else F.lit(None)).cast("bigint").alias("number"),
             )
         )
     counted = (
@@ -227,8 +227,8 @@ def participant_modes(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     best = _winners(counted, [*KEYS, "kind"], ["text", "number"])
     out = []
-    for c in columns:
-        own = F.col("kind") == c
+    for i, c in enumerate(columns):
+        own = F.col("kind") == i
         if isinstance(kinds[c], T.DateType):
             value = F.date_from_unix_date(F.max(F.when(own, F.col("number"))).cast("int"))
         elif isinstance(kinds[c], T.IntegralType):

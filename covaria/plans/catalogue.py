@@ -259,14 +259,14 @@ def presence_all(spark, sf):
 
 @query
 def presence_substring(spark, sf):
-    tokens = _tokens(spark, sf)
+    tokens = scale.staged(_tokens(spark, sf), "tokens")
     chosen = N.select_features(tokens, 1, TOP_K)
     return N.substring_presence(tokens, 1, "empi_expdate", chosen)
 
 
 @query
 def presence_substring_bigram(spark, sf):
-    tokens = _tokens(spark, sf)
+    tokens = scale.staged(_tokens(spark, sf), "tokens")
     chosen = N.select_features(tokens, 2, TOP_K)
     return N.substring_presence(tokens, 2, "empi_expdate", chosen)
 
@@ -890,7 +890,7 @@ def roundtrip_sentences(spark, sf):
 @query
 def roundtrip_ngrams(spark, sf):
     path = _folder(spark, "ngrams")
-    tokens = _tokens(spark, sf)
+    tokens = scale.staged(_tokens(spark, sf), "tokens")
     for n in (1, 2):
         chosen = N.select_features(tokens, n, TOP_K)
         W.write_ngram_features(N.token_presence(tokens, n, "empi", chosen), path, n)
