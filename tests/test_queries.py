@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from covaria.operators import scale
 
 QUERIES = contract.queries()
 ORACLES = contract.oracle_sql()
@@ -31,8 +32,7 @@ def shown(value):
     return repr(value) if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, sf, duck, name):
+def check(spark, sf, duck, name):
     frame = QUERIES[name](spark, sf)
     columns = sorted(frame.columns)
     got = sorted((tuple(shown(r[c]) for c in columns) for r in frame.collect()), key=repr)
@@ -47,6 +47,36 @@ def test_query(spark, sf, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, sf, duck, name):
+    check(spark, sf, duck, name)
+
+
+SHUFFLED = [
+    "cohort_notes_join",
+    "presence_empi_expdate",
+    "presence_substring",
+    "presence_substring_bigram",
+    "term_frequency",
+    "term_names",
+    "bag_of_words",
+    "coherence_npmi",
+    "cluster_cohort",
+    "covariates_sparse",
+]
+
+
+@pytest.mark.parametrize("name", SHUFFLED)
+def test_query_when_nothing_fits_a_broadcast(spark, sf, duck, name, monkeypatch):
+    monkeypatch.setattr(scale, "small", lambda *_: False)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(spark, sf, duck, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_entry(spark):
     assert contract.entry(spark).columns == ["empi", "expdate", "ngram", "span"]
 
