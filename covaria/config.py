@@ -33,9 +33,9 @@ OUTPUT_ELEMENTS = (
 
 @dataclass(frozen=True)
 class JobConfig:
-    """Defaults are those of the shipped job file."""
+    """Window, vocabulary and topic settings with the usual values."""
 
-    task: str = "STATIN"
+    task: str = "cohort"
     span_start: int = 0
     span_end: int = 365
     top_ngrams: int = 20_000

@@ -72,13 +72,19 @@ def salted_join(
 ) -> DataFrame:
     """Shuffle join in which the rows of a hot key go to ``salts`` tasks.
 
-    Rows of ``other`` are repeated for hot keys only. The hot list has fewer than
+    Rows without a key match nothing and are spread too. Rows of ``other`` are
+    repeated for hot keys only. The hot list has fewer than
     ``share`` rows by its definition, so it is broadcast without a further check.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"salted_join keeps the rows of the big side, not {how!r}")
     hot = F.broadcast(hot_keys(big.select(*keys), keys, share).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0)
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    salt = F.when(
+        F.col("_hot") | missing, F.pmod(F.xxhash64(spread_by), F.lit(salts))
+    ).otherwise(0)
     left = big.join(hot, list(keys), "left").withColumn("_salt", salt.cast("int")).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))

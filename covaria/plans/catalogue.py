@@ -829,8 +829,8 @@ def roundtrip_codes(spark, sf):
     return rows.where(F.col("n").isNotNull() & CO.code_dimension(F.col("source"), "combined"))
 
 
-@query
-def roundtrip_mterms(spark, sf):
+def _term_files(spark, sf) -> tuple[DataFrame, str]:
+    """Mentions written as term files with all pinned columns."""
     path = _folder(spark, "mterms")
     rows = FX.mterms(spark, sf)
     full = rows.select(
@@ -840,8 +840,20 @@ def roundtrip_mterms(spark, sf):
         ]
     )
     full.write.option("header", True).option("emptyValue", "").csv(path)
-    read = R.read_mterms(spark, path)
-    return read.select(*[c for c in rows.columns])
+    return rows, path
+
+
+@query
+def roundtrip_mterms(spark, sf):
+    rows, path = _term_files(spark, sf)
+    return R.read_mterms(spark, path).select(*rows.columns)
+
+
+@query
+def roundtrip_raw_mterms(spark, sf):
+    """The same files through the delimiter cleaner."""
+    rows, path = _term_files(spark, sf)
+    return R.read_raw_mterms(spark, path).select(*rows.columns)
 
 
 @query

@@ -705,6 +705,15 @@ def oracles() -> dict[str, str]:
         "CAST(family_history_mod AS BIGINT) AS family_history_mod) FROM mterms",
         "mterms",
     )
+    cleaned = ", ".join(
+        f"nullif({_clean_delimiters(c, True)}, '') AS {c}"
+        for c in ("module", "term", "concept_id", "SNOMED_PrefTerm", "rxcui", "UMLS_CUI")
+    )
+    out["roundtrip_raw_mterms"] = sql(
+        f"SELECT * EXCLUDE (empi) REPLACE ({cleaned}, CAST(negated_mod AS BIGINT) AS negated_mod, "
+        "CAST(family_history_mod AS BIGINT) AS family_history_mod) FROM mterms",
+        "mterms",
+    )
     out["roundtrip_terms"] = sql(
         "SELECT f.*, b.value FROM term_frequency f JOIN term_binary b USING (empi, expdate, family, feature)",
         "term_frequency",

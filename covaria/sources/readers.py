@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from covaria.functions import parse as P
+from covaria.functions import text as X
 from covaria.sources import schemas as S
 
 
@@ -100,6 +101,22 @@ def read_term_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_raw_mterms(spark: SparkSession, path: str, **cleaner: bool) -> DataFrame:
+    """Term files with stray commas, quotes and symbols, cleaned and parsed.
+
+    Lines are cleaned before they are cut into columns, since the cleaner decides
+    which commas are delimiters. Files are split freely: a header is known by its
+    text, not by its place.
+    """
+    lines = read_term_lines(spark, path).where(F.col("value") != "")
+    header = F.lower(F.regexp_replace("value", '[ "]', ""))
+    body = lines.where(header != ",".join(S.MTERMS.names).lower())
+    clean = X.clean_delimiters(F.col("value"), **cleaner)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.MTERMS.fields)
+    parsed = F.from_csv(clean, columns, {"dateFormat": "yyyy-MM-dd", "mode": "PERMISSIVE"})
+    return body.select(parsed.alias("row")).select("row.*")
+
+
 def read_united(spark: SparkSession, path: str) -> DataFrame:
     """Parquet files with different columns as one table; missing columns are null."""
     return spark.read.option("mergeSchema", True).parquet(path)
