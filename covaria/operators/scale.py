@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-HOT_SHARE = 64
-SALTS = 64
+MIN_SHARES = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,11 +53,20 @@ def small(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
     return held_bytes(df) <= limit_bytes
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than one ``share``-th of the rows: fewer than ``share`` of them."""
+def fair_share(spark: SparkSession) -> int:
+    """Rows are cut into this many shares; a key with more than one share is hot."""
+    return max(MIN_SHARES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], shares: int) -> DataFrame:
+    """Keys with more than one of ``shares`` equal shares of the rows, and how many they fill.
+
+    There are fewer than ``shares`` such keys, whatever the data.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.where(F.col("n") * share > total.scalar()).select(*keys)
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    filled = F.ceil(F.col("n") * shares / total).cast("int")
+    return counts.where(F.col("n") * shares > total).select(*keys, filled.alias("_salts"))
 
 
 def salted_join(
@@ -67,30 +75,27 @@ def salted_join(
     keys: Sequence[str],
     spread_by: Column,
     how: str = "inner",
-    salts: int = SALTS,
-    share: int = HOT_SHARE,
+    shares: int | None = None,
 ) -> DataFrame:
-    """Shuffle join in which the rows of a hot key go to ``salts`` tasks.
+    """Shuffle join in which a hot key goes to as many tasks as it fills shares.
 
     Rows without a key match nothing and are spread too. Rows of ``other`` are
-    repeated for hot keys only. The hot list has fewer than
-    ``share`` rows by its definition, so it is broadcast without a further check.
+    repeated for hot keys only, at most ``2 * shares`` times over all keys. The hot
+    list is shorter than ``shares`` by definition, so it is broadcast unchecked.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"salted_join keeps the rows of the big side, not {how!r}")
-    hot = F.broadcast(hot_keys(big.select(*keys), keys, share).withColumn("_hot", F.lit(True)))
+    shares = shares or fair_share(big.sparkSession)
+    hot = F.broadcast(hot_keys(big.select(*keys), keys, shares))
     missing = F.lit(False)
     for key in keys:
         missing = missing | F.col(key).isNull()
-    salt = F.when(
-        F.col("_hot") | missing, F.pmod(F.xxhash64(spread_by), F.lit(salts))
-    ).otherwise(0)
-    left = big.join(hot, list(keys), "left").withColumn("_salt", salt.cast("int")).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    right = other.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    tasks = F.when(missing, F.lit(shares)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salt = F.pmod(F.xxhash64(spread_by), tasks).cast("int")
+    left = big.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = other.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies))
+    return left.join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
 
 def sized_join(

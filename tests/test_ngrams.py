@@ -108,12 +108,26 @@ def test_salted_joins_keep_every_row(spark):
     big = spark.range(2000).selectExpr("if(id % 3 = 0, id, 0) as k", "id")
     other = spark.range(0, 2000, 2).selectExpr("id as k", "id * 10 as v")
     for how in ("inner", "left", "left_semi"):
-        salted = scale.salted_join(big, other, ["k"], big["id"], how, salts=5)
+        salted = scale.salted_join(big, other, ["k"], big["id"], how, shares=8)
         assert rows(salted) == rows(big.join(other, "k", how))
     with pytest.raises(ValueError):
         scale.salted_join(big, other, ["k"], big["id"], "full")
 
 
+def test_hot_keys_fill_their_share(spark):
+    big = spark.range(2000).selectExpr("if(id % 3 = 0, id, -1) as k", "id")
+    assert rows(scale.hot_keys(big, ["k"], 8)) == [(-1, 6)]
+    assert scale.hot_keys(spark.range(2000), ["id"], 64).count() == 0
+
+
+def test_rows_without_a_key_are_kept(spark):
+    big = spark.range(300).selectExpr("if(id % 3 = 0, null, id) as k", "id")
+    other = spark.range(0, 300, 2).selectExpr("id as k", "id * 10 as v")
+    for how in ("inner", "left"):
+        salted = scale.salted_join(big, other, ["k"], F.col("id"), how, shares=8)
+        assert rows(salted) == rows(big.join(other, "k", how))
+
+
 def test_numbers_of_a_hot_group(spark):
     frame = spark.range(3000).selectExpr("if(id % 3 = 0, id, -1) as k", "id")
     got = scale.numbered(frame, ["k"], [F.col("id").desc()], "rn")
