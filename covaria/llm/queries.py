@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from covaria.llm import chat, personal, tokens
+from covaria.llm import chat, contamination, personal, tokens, urls
 from covaria.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +42,36 @@ def op4_chat_format(spark, sf_dir):
 @query
 def op5_personal_spans(spark, sf_dir):
     return personal.personal_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_url_filter(spark, sf_dir):
+    """Learn from ``labels``: a page is a bad example when the row of its id has quality 0."""
+    labels = table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return urls.judged(table(spark, sf_dir, "pages"), bad)
+
+
+@query
+def op9_contamination(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contamination.contained(docs, items)
+
+
+ORACLES["op9_contamination"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), ds AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s
+  FROM d WHERE len(w) >= 5
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), bs AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s
+  FROM b WHERE len(w) >= 5
+), q AS (SELECT item_id, count(*) AS shingles FROM bs GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared, shingles FROM m JOIN q USING (item_id) WHERE shared * 5 >= shingles * 4
+"""
