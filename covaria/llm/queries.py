@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm import chat, contamination, copies, personal, tokens, urls
+from covaria.llm import chat, contamination, copies, personal, tokens, toxicity, urls
 from covaria.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op2_near_duplicates(spark, sf_dir):
     return copies.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_chat_format(spark, sf_dir):
     """All conversations, and one whose texts hold the template's own control strings."""
