@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm import chat, contamination, copies, personal, tokens, toxicity, urls
+from covaria.llm import chat, contamination, copies, mixture, personal, tokens, toxicity, urls
 from covaria.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,82 @@ WITH d AS (
 m AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, shared, shingles FROM m JOIN q USING (item_id) WHERE shared * 5 >= shingles * 4
 """
+
+
+# The tree of the corpus mixture and its weights.
+DOMAINS = ("web", "books", "code", "other")
+WEIGHTS = {
+    "domain": {"web": 4, "books": 3, "code": 2, "other": 1},
+    "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
+    "source": {"src0": 2},
+}
+
+
+def domain_of(source):
+    """Five sources a domain, by the number in the name; ``other`` for the rest."""
+    number = F.regexp_extract(F.coalesce(source.cast("string"), F.lit("")), "([0-9]+)$", 1)
+    place = F.expr("null").cast("string")
+    for i, name in reversed(list(enumerate(DOMAINS[:-1]))):
+        place = F.when(number.cast("int").between(5 * i, 5 * i + 4), F.lit(name)).otherwise(place)
+    return F.when(number == "", F.lit(DOMAINS[-1])).otherwise(F.coalesce(place, F.lit(DOMAINS[-1])))
+
+
+@query
+def op6_mixture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixture.mixed(docs, WEIGHTS, domain_of(F.col("source")), 0.8, 2)
+
+
+def _shared(level: str, parent: str) -> str:
+    """One level of the budget in SQL: ``nodes_*`` has room and weight, ``given_*`` the parent's budget."""
+    keys = f"{parent}, {level}" if parent else level
+    by = f"PARTITION BY {parent}" if parent else ""
+    source = f"nodes_{level} JOIN given_{parent.split(', ')[-1]} USING ({parent})" if parent else f"nodes_{level}, total"
+    return f"""
+r_{level} AS (
+  SELECT *, coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM {source} WINDOW o AS ({by} ORDER BY room / weight::DOUBLE, {level})
+), f_{level} AS (
+  SELECT *, room::HUGEINT * weights <= greatest(given - used, 0)::HUGEINT * weight AS whole FROM r_{level}
+), s_{level} AS (
+  SELECT *, coalesce(sum(room) FILTER (whole) OVER ({by}), 0) AS filled, sum(weight) FILTER (NOT whole) OVER ({by}) AS rest
+  FROM f_{level}
+), given_{level} AS (
+  SELECT {keys}, CASE WHEN whole THEN room ELSE least(room, ((given - filled)::HUGEINT * weight) // rest) END::BIGINT AS given
+  FROM s_{level}
+)"""
+
+
+def _weights(level: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items())
+    return f"CASE {level} {cases} ELSE 1 END"
+
+
+ORACLES["op6_mixture"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    CASE WHEN n BETWEEN 0 AND 4 THEN 'web' WHEN n BETWEEN 5 AND 9 THEN 'books' WHEN n BETWEEN 10 AND 14 THEN 'code' ELSE 'other' END AS domain,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	
+]+'), lambda x: x <> ''))::BIGINT AS n_tokens
+  FROM (SELECT *, TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS n FROM documents)
+), leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+total AS (SELECT floor(sum(tokens) * 0.8::DOUBLE)::BIGINT AS given FROM leaves),
+nodes_domain AS (SELECT domain, sum(tokens * 2)::BIGINT AS room, {_weights("domain")} AS weight FROM leaves GROUP BY ALL),
+nodes_lang AS (SELECT domain, lang, sum(tokens * 2)::BIGINT AS room, {_weights("lang")} AS weight FROM leaves GROUP BY ALL),
+nodes_source AS (SELECT domain, lang, source, sum(tokens * 2)::BIGINT AS room, {_weights("source")} AS weight FROM leaves GROUP BY ALL),
+{_shared("domain", "")}, {_shared("lang", "domain")}, {_shared("source", "domain, lang")},
+plan AS (
+  SELECT domain, lang, source, tokens, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS full_epochs, given
+  FROM leaves JOIN given_source USING (domain, lang, source)
+), p AS (
+  SELECT d.*, full_epochs, given - full_epochs * tokens AS remainder,
+    md5(concat('11:', full_epochs::VARCHAR, ':', doc_id::VARCHAR)) AS place
+  FROM d JOIN plan USING (domain, lang, source)
+), c AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) AS upto FROM p
+), e AS (
+  SELECT *, full_epochs + CASE WHEN full_epochs < 2 AND upto <= remainder THEN 1 ELSE 0 END AS times FROM c
+)
+SELECT doc_id, domain, lang, source, unnest(range(1, times + 1))::INTEGER AS epoch, n_tokens FROM e
+"""
