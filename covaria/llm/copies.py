@@ -13,10 +13,11 @@ unless both texts are already known to be of one class:
 
 1. each text with the text that most often heads its buckets,
 2. each text with the other heads of its buckets,
-3. in buckets that still hold several classes, each text outside the bucket's largest
-   class with every text of another class.
+3. of the buckets that still hold several classes, all texts of two classes that share one
+   of their rarest shingles (an exact prefix filter, see ``alike_beginnings``).
 
-So a bucket of many copies costs a few checks per text, and no pair is left out.
+So a bucket of many copies costs a few checks per text, one of many texts with a passage in
+common costs little, and no similar pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -200,6 +201,53 @@ def verified(pairs: DataFrame, bagged: DataFrame, similarity: float) -> DataFram
     return both.where(fits).where(close).select("a", "b")
 
 
+def alike_beginnings(bagged: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``bagged`` (node, label, bag) of two labels that may be similar; none is missed.
+
+    With all bags in one order of elements, rarest first, two bags of the wanted similarity
+    share an element among the first of each: as many as a bag may lack, and one; and
+    behind the first shared one there is room for the wanted overlap in both. What many texts have in common, such as a passage, comes last and pairs nothing. Bags of
+    one label are not paired: members of the most frequent label of an element meet only
+    the texts of other labels.
+    """
+    size = F.size("bag")
+    sized = bagged.withColumn("first", size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)) + 1)
+    known = staged(sized.select("node", "label", size.alias("size"), "first", "bag"), "left")
+    elements = known.select("node", F.explode("bag").alias("element"))
+    counts = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    common = elements.join(counts.where(F.col("n") > 1), "element")
+    ordered = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("common"))
+    begun = ordered.join(known.drop("bag"), "node")
+    # Elements of one text only come before the common ones and take places.
+    places = F.col("first") - (F.col("size") - F.size("common"))
+    begun = begun.where(places > 0)
+    starts = begun.select(
+        "node",
+        "label",
+        "size",
+        F.size("common").alias("commons"),
+        F.posexplode(F.slice("common", F.lit(1), places.cast("int"))).alias("i", "x"),
+    )
+    # The most that can be shared if this is the first element that two bags share.
+    rest = F.col("commons") - F.col("i")
+    starts = starts.select("node", "label", "size", rest.alias("rest"), F.col("x.element").alias("element"))
+    starts = staged(starts, "beginnings")
+    held = starts.groupBy("element", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = held.groupBy("element").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")
+    )
+    several = staged(starts.join(main.where(F.col("labels") > 1).drop("labels"), "element"), "several")
+    outside = several.where(F.col("label") != F.col("main")).select(
+        "element", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"),
+        F.col("rest").alias("rx"),
+    )
+    wanted = (F.col("size") + F.col("sx")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)
+    near = F.least("rest", "rx") >= wanted
+    once = (F.col("label") == F.col("main")) | (F.col("node") < F.col("x"))
+    cross = several.join(outside, "element").where((F.col("label") != F.col("lx")) & once & near)
+    return cross.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+
+
 def relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (node, label) after ``links`` (a, b) between nodes unite their labels."""
     ends = links.join(nodes.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
@@ -232,10 +280,17 @@ def near_duplicates(
     heads = staged(heads, "heads")
     spread = heads.select("node", F.explode("band_keys").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(
-        F.min("node").alias("head"), F.max("node").alias("last")
+        F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")
+    )
+    shared = sizes.where(F.col("first") != F.col("last")).select("bucket", "n")
+    members = staged(spread.join(shared, "bucket"), "members")
+    # A bucket is headed by its member with the most fellows over all buckets: of the copies
+    # of one text that is the text itself, to which they are closer than to each other.
+    fellows = members.groupBy("node").agg(F.sum("n").alias("fellows"))
+    heads_of = members.join(fellows, "node").groupBy("bucket").agg(
+        F.max_by("node", F.struct("fellows", -F.col("node"))).alias("head")
     )
-    shared = sizes.where(F.col("head") != F.col("last")).select("bucket", "head")
-    entries = staged(spread.join(shared, "bucket"), "entries")
+    entries = staged(members.select("bucket", "node").join(heads_of, "bucket"), "entries")
 
     nodes = entries.select("node").distinct()
     texts = named.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
@@ -262,19 +317,10 @@ def near_duplicates(
     labels = relabelled(labels, staged(verified(second, bagged, similarity), "links"))
 
     tagged = staged(with_label(entries, "node", "label"), "tagged")
-    held = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = held.groupBy("bucket").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")
-    )
-    mixed_up = tagged.join(main.where(F.col("labels") > 1), "bucket")
-    outside = mixed_up.where(F.col("label") != F.col("main")).select(
-        "bucket", F.col("node").alias("x"), F.col("label").alias("lx")
-    )
-    cross = mixed_up.join(outside, "bucket").where(
-        (F.col("label") != F.col("lx"))
-        & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("x")))
-    )
-    third = cross.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+    classes = tagged.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    several = classes.where(F.col("low") != F.col("high")).select("bucket")
+    left = tagged.join(several, "bucket").select("node", "label").distinct()
+    third = alike_beginnings(bagged.join(left, "node"), similarity)
     tried = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     third = staged(third.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     labels = relabelled(labels, staged(verified(third, bagged, similarity), "links"))
