@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm import chat, contamination, copies, language, mixture, personal, tokens, toxicity, urls
+from covaria.llm import chat, contamination, copies, language, mixture, personal, tokens, toxicity, urls, vectors
 from covaria.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,8 @@ def op7_page_language(spark, sf_dir):
     """The text model learns from the labels of ``documents``; all ``pages`` are judged."""
     model = language.fitted(table(spark, sf_dir, "documents"))
     return language.fused(table(spark, sf_dir, "pages"), model)
+
+
+@query
+def op10_near_vectors(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
