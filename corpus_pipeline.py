@@ -1,12 +1,73 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from covaria.llm import contamination, copies, mixture, personal, toxicity
+from covaria.llm.queries import WEIGHTS, domain_of
 from covaria.llm.tables import staged, table
 
-STAGES: list[tuple] = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``rejected``; a null doc_id stays."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from ``labels`` outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fitted(table(spark, sf_dir, "documents"), labels)
+    scores = toxicity.scored(docs, model, kept=COLUMNS)
+    return scores.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, the one of the smallest doc_id.
+
+    Of several rows with that doc_id the one of the smallest text stays.
+    """
+    classes = staged(copies.near_duplicates(docs), "classes")
+    rejected = classes.where(~F.col("kept"))
+    repeated = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL")
+    kept = without(docs, rejected)
+    several = kept.join(repeated.select("doc_id"), "doc_id", "left_semi")
+    first = several.groupBy("doc_id").agg(
+        F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
+    )
+    return without(kept, repeated).unionByName(first.select("doc_id", "row.*").select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return without(docs, contamination.contained(docs, table(spark, sf_dir, "benchmark")))
+
+
+def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; personal data in its text becomes a mark of its kind."""
+    return personal.redact(docs.select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the mixture, one row for each epoch that takes them."""
+    domain = domain_of(F.col("source"))
+    return mixture.mixed(docs, WEIGHTS, domain, 0.8, 2, kept=("text", "n_chars"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_copies),
+    ("contamination", drop_contaminated),
+    ("personal_data", redact_personal),
+    ("mixture", mix_sources),
+]
 
 # Scores, signatures and local parsers have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
@@ -17,4 +78,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,6 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,11 +144,12 @@ def suffix_of(url: Column, host: Column) -> Column:
 def evidence(pages: DataFrame, model: dict) -> DataFrame:
     """(page_id, host, domain, declared, suffix, seen) with ``seen`` the log likelihoods of the text."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = TextEvidence(model)
-        for frame in frames:
-            frame["seen"] = [text.text(visible(h)).tolist() for h in frame["html"]]
-            yield frame.drop(columns="html")
+        for batch in tables:
+            seen = [text.text(visible(h)).tolist() for h in batch.column("html").to_pylist()]
+            place = batch.schema.get_field_index("html")
+            yield batch.set_column(place, "seen", pa.array(seen, pa.list_(pa.float64())))
 
     url, page = F.col("url").cast("string"), F.col("html").cast("string")
     rows = pages.select(
@@ -158,7 +160,7 @@ def evidence(pages: DataFrame, model: dict) -> DataFrame:
         page.alias("html"),
     ).withColumn("domain", domain_of(F.col("host")))
     names = "page_id long, host string, declared string, suffix string, domain string, seen array<double>"
-    return rows.select("page_id", "host", "declared", "suffix", "domain", "html").mapInPandas(read, names)
+    return rows.select("page_id", "host", "declared", "suffix", "domain", "html").mapInArrow(read, names)
 
 
 def _posterior(logs: Sequence[Column]) -> list[Column]:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -265,28 +265,25 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     each; other columns are ignored. Texts are read whole.
     """
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
+    def read(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            columns: list[list] = [[] for _ in range(len(KINDS) + 2)]
+            for text in batch.column("text").to_pylist():
                 found = spans(text)
                 base = listed(found, BASE_KINDS)
-                more = listed(found, MORE_KINDS)
-                rows.append(
-                    (
-                        *(len(found[kind]) for kind in KINDS),
-                        hashlib.sha256(base.encode()).hexdigest(),
-                        ",".join(part for part in (base, more) if part),
-                    )
-                )
-            names = [*(f"n_{kind}" for kind in KINDS), "base_sha256", "spans"]
-            out = pd.DataFrame(rows, columns=names, index=frame.index)
-            out.insert(0, "doc_id", frame["doc_id"])
-            yield out
-
+                every = ",".join(part for part in (base, listed(found, MORE_KINDS)) if part)
+                digest = hashlib.sha256(base.encode()).hexdigest()
+                row = (*(len(found[kind]) for kind in KINDS), digest, every)
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+            kinds = [*[pa.int64()] * len(KINDS), pa.string(), pa.string()]
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
+
+    names = [*(f"n_{kind}" for kind in KINDS), "base_sha256", "spans"]
     counts = ", ".join(f"n_{kind} long" for kind in KINDS)
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInPandas(read, f"doc_id long, {counts}, base_sha256 string, spans string")
+    return chosen.mapInArrow(read, f"doc_id long, {counts}, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -295,10 +292,14 @@ def redact(docs: DataFrame) -> DataFrame:
     Every row and column stays. ``n_chars``, where there is one, is counted anew.
     """
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["text"] = [redacted(text) for text in frame["text"]]
-            yield frame
-
-    out = docs.mapInPandas(read, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    def read(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            place = batch.schema.get_field_index("text")
+            column = batch.column(place)
+            texts = pa.array([redacted(text) for text in column.to_pylist()], column.type)
+            yield batch.set_column(place, "text", texts)
+
+    out = docs.mapInArrow(read, docs.schema)
+    if "n_chars" in docs.columns:
+        return out.withColumn("n_chars", F.length("text").cast("long"))
+    return out

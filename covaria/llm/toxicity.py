@@ -16,15 +16,17 @@ import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LETTERS = 64
 ORDER = 3
@@ -332,32 +334,34 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, clean_rati
     return train(groups[1], groups[0])
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score) of every row of ``docs`` (doc_id, text); the score is the chance of label 1.
+def scored(docs: DataFrame, model: dict, kept: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``kept`` and ``score`` of every row of ``docs`` (doc_id, text): the chance of label 1.
 
     Null and empty texts score like a text without a toxic word; a null doc_id stays null;
     repeated rows are scored each; other columns are ignored. Texts are read whole.
     """
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(np.array(model["codes"], np.int64), np.array(model["weights"]), model["bias"])
-        for frame in frames:
+        for batch in tables:
             out = []
-            texts = frame["text"].tolist()
+            texts = batch.column("_text").to_pylist()
             for at in range(0, len(texts), 200):
                 out.append(scorer.texts([tokens_of(t) for t in texts[at : at + 200]]))
             margin = np.concatenate([np.zeros(0), *out])
             chance = 1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["offset"], -30, 30)))
             if not model["codes"]:
-                chance = np.full(len(frame), model["share"])
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": chance}, index=frame.index)
+                chance = np.full(len(texts), float(model["share"]))
+            columns = [batch.column(c) for c in batch.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(chance)], [*kept, "score"])
 
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInPandas(score, "doc_id long, score double")
+    chosen = docs.select(*kept, F.col("text").cast("string").alias("_text"))
+    return chosen.mapInArrow(score, T.StructType([*docs.select(*kept).schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``, learned from ``labels``."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = scored(docs, fitted(docs, labels))
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     predicted = (F.col("score") >= F.lit(THRESHOLD)).cast("int")
