@@ -30,7 +30,7 @@ def test_round_trip_and_mask():
         mask, starts, ends = chat.masked(offsets, wanted)
         lost = "".join(whole[a:b] for a, b in zip(starts, ends))
         assert chat.unescaped(lost) == "".join(t for r, t in turns if r == "assistant")
-        brute = [any(a < right and left < b for left, right in wanted) for a, b in offsets]
+        brute = [any(left < right and a < right and left < b for left, right in wanted) for a, b in offsets]
         assert mask.tolist() == [int(x) for x in brute]
 
 
