@@ -7,11 +7,13 @@ documents, and frequent words of clean ones. A linear SVM is trained on the Nyst
 features of words. Because features are kernels with the landmarks, the trained SVM is
 one weight per subsequence; scoring a word takes its own subsequences only.
 
-A text scores as its most toxic word, turned into a probability on training documents.
+A text scores by its most toxic words, turned into a probability on training documents that
+the SVM has not seen.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import unicodedata
@@ -35,7 +37,10 @@ WINDOW = 16
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 MEMO_WORDS = 300_000
-CLEAN_WORDS = 50_000
+CLEAN_WORDS = 30_000
+LEAST_SHARE = 0.4
+TOP_WORDS = 3
+SPLITS = 3
 # Signs that stand for letters.
 SIGNS = str.maketrans("013457@$!", "oieastasi")
 SPACED = re.compile(r"(?<!\S)(?:\S[\s.*_-]+){2,}\S(?!\S)")
@@ -137,9 +142,18 @@ class Scorer:
             at += len(part)
 
     def texts(self, token_sets: list[set[str]]) -> np.ndarray:
+        """Of each text: its highest margin, the mean of the next ones, and how many words lie above 0."""
         self.learn(set().union(*token_sets))
         least = min(self.bias, -1.0)
-        return np.array([max(map(self.memo.__getitem__, s), default=least) for s in token_sets])
+        out = np.empty((len(token_sets), 3))
+        for i, tokens in enumerate(token_sets):
+            margins = np.fromiter(map(self.memo.__getitem__, tokens), np.float64, len(tokens))
+            top = np.full(1 + TOP_WORDS, least)
+            best = np.sort(margins)[::-1][: 1 + TOP_WORDS]
+            top[: len(best)] = best
+            above = (margins > 0).sum()
+            out[i] = top[0], top[1:].mean(), above / math.log(math.e + len(tokens))
+        return out
 
 
 def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -177,6 +191,18 @@ def unlike(documents: list[set[str]], bands: int = 3) -> list[set[str]]:
     return kept
 
 
+def _highest_share(toxic: list[set[str]], clean: list[set[str]]) -> float:
+    """The share of toxic documents where it is highest: among those with some everyday word.
+
+    A language may have more toxic documents than others; its everyday words show it.
+    """
+    known = Counter(w for words in clean for w in words)
+    marked = Counter(w for words in toxic for w in words)
+    everyday = [w for w, n in known.items() if n >= 0.03 * len(clean) and n + marked[w] >= 50]
+    shares = [marked[w] / (marked[w] + known[w]) for w in everyday]
+    return max([*shares, len(toxic) / (len(toxic) + len(clean))])
+
+
 def landmarks_of(toxic: list[set[str]], clean: list[set[str]], most: int) -> list[str]:
     """Strings that mark toxic documents: beginnings of words, none the beginning of another.
 
@@ -190,14 +216,15 @@ def landmarks_of(toxic: list[set[str]], clean: list[set[str]], most: int) -> lis
             for size in range(4, min(len(word), 10) + 1):
                 hits[word[:size]].add(i)
     among = Counter(len(x) for x in hits.values())
-    share = len(toxic) / (len(toxic) + len(clean))
+    share = _highest_share(toxic, clean)
     least = next(a for a in range(2, 10**6) if sum(among.values()) * share**a < 0.01 or a > len(toxic))
     hits = {k: v for k, v in hits.items() if len(v) >= least}
     seen: Counter = Counter()
     for words in clean:
         seen.update({w[:n] for w in words for n in range(4, min(len(w), 10) + 1)} & hits.keys())
-    odds = len(clean) / len(toxic)
-    pure = {k: v for k, v in hits.items() if seen[k] <= 0.05 * len(v) * odds}
+    # Far more toxic than the documents of any language are on the whole.
+    wanted = max(LEAST_SHARE, min(0.9, 3 * share))
+    pure = {k: v for k, v in hits.items() if len(v) >= wanted * (len(v) + seen[k])}
     longer = defaultdict(list)
     for k in pure:
         longer[k[:-1]].append(k)
@@ -231,34 +258,70 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.n
     return w
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a sigmoid, with smoothed targets and a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Slopes and offset of a sigmoid, with smoothed targets and a ridge on the slopes."""
     pos, neg = y.sum(), (1 - y).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.stack([margin, np.ones_like(margin)], axis=1)
-    w = np.zeros(2)
-    for _ in range(100):
+    x = np.hstack([x, np.ones((len(x), 1))])
+    pull = np.diag([*[ridge] * (x.shape[1] - 1), 1e-3])
+    w = np.zeros(x.shape[1])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) + 1e-3 * w
-        hessian = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
+        gradient = x.T @ (p - target) + pull @ w
+        hessian = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + pull
         step = np.linalg.solve(hessian, gradient)
-        w = w - step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
-    return float(w[0]), float(w[1])
+        w = w - step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
+    return w
+
+
+def chance(model: dict, features: np.ndarray) -> np.ndarray:
+    """Probability of label 1 from the features of texts."""
+    if not model["codes"]:
+        return np.full(len(features), float(model["share"]))
+    *slopes, offset = model["sigmoid"]
+    return 1 / (1 + np.exp(-np.clip(features @ np.array(slopes) + offset, -30, 30)))
 
 
 def train(toxic: list[set[str]], clean: list[set[str]], most: int = 64, seed: int = 7) -> dict:
-    """Model from the words of toxic and clean documents; a constant one if it can learn nothing."""
+    """Model from the words of toxic and clean documents; a constant one if it can learn nothing.
+
+    The sigmoid is fitted on documents that the SVM in use has not seen: ``SPLITS`` times
+    it is trained without every ``SPLITS``-th document, and these are scored.
+    """
     share = len(toxic) / max(1, len(toxic) + len(clean))
     toxic, clean = ([set(x) for x in sorted({tuple(sorted(w)) for w in group})] for group in (toxic, clean))
-    constant = {"codes": [], "weights": [], "bias": -1.0, "slope": 0.0, "offset": 0.0, "share": share}
+    features, truth = [np.zeros((0, 3))], [np.zeros(0)]
+    for part in range(SPLITS):
+        rest = [[w for i, w in enumerate(group) if i % SPLITS != part] for group in (toxic, clean)]
+        if (machine := _machine(*rest, most, seed)) is not None:
+            for group, label in ((toxic, 1.0), (clean, 0.0)):
+                if group[part::SPLITS]:
+                    features.append(Scorer(*machine).texts(group[part::SPLITS]))
+                    truth.append(np.full(len(features[-1]), label))
+    machine = _machine(toxic, clean, most, seed)
+    x, y = np.concatenate(features), np.concatenate(truth)
+    if machine is None or len(set(y)) < 2:
+        return {"codes": [], "weights": [], "bias": -1.0, "sigmoid": [0.0] * 4, "share": share}
+    codes, weights, bias = machine
+    return {
+        "codes": codes.tolist(), "weights": weights.tolist(), "bias": bias,
+        "sigmoid": _logistic(x, y).tolist(), "share": share,
+    }
+
+
+def _machine(
+    toxic: list[set[str]], clean: list[set[str]], most: int, seed: int
+) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """The SVM as subsequence codes, their weights, and the bias; None without landmarks."""
     marks = landmarks_of(toxic, clean, most) if toxic and clean else []
     if not marks:
-        return constant
+        return None
     draw = random.Random(seed)
     frequent = Counter(w for words in clean for w in words if ORDER <= len(w) <= WINDOW)
     common = [w for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:most]]
     begins = tuple(marks)
-    positive = sorted({w for words in toxic for w in words if w.startswith(begins) and len(w) <= WINDOW and w not in frequent})
+    marked = Counter(w for words in toxic for w in words if w.startswith(begins) and len(w) <= WINDOW)
+    positive = sorted(w for w, n in marked.items() if n >= LEAST_SHARE * (n + frequent[w]))
     varied = set()
     for mark in sorted({*marks, *draw.sample(positive, min(len(positive), 200))}):
         for place in range(1, len(mark)):
@@ -269,7 +332,7 @@ def train(toxic: list[set[str]], clean: list[set[str]], most: int = 64, seed: in
     values, vectors = np.linalg.eigh(square + 1e-8 * np.eye(len(landmarks)))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     wanted = [*positive, *varied]
-    negative = sorted(frequent)
+    negative = sorted(frequent.keys() - set(positive))
     draw.shuffle(negative)
     negative = negative[:CLEAN_WORDS]
     features = lambda words: np.hstack([_kernel(words, landmarks) @ whiten, np.ones((len(words), 1))])
@@ -289,13 +352,7 @@ def train(toxic: list[set[str]], clean: list[set[str]], most: int = 64, seed: in
     table = np.zeros(LETTERS**ORDER)
     for places, codes, values in subsequences(landmarks):
         np.add.at(table, codes, values * (whiten @ w[:-1])[places][:, None])
-    scorer = Scorer(held, table[held], float(w[-1]))
-    margins = scorer.texts([*toxic, *clean])
-    slope, offset = _logistic(margins, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
-    return {
-        "codes": held.tolist(), "weights": table[held].tolist(), "bias": float(w[-1]),
-        "slope": slope, "offset": offset, "share": share,
-    }
+    return held, table[held], float(w[-1])
 
 
 def fold(doc_id) -> F.Column:
@@ -348,12 +405,9 @@ def scored(docs: DataFrame, model: dict, kept: Sequence[str] = ("doc_id",)) -> D
             texts = batch.column("_text").to_pylist()
             for at in range(0, len(texts), 200):
                 out.append(scorer.texts([tokens_of(t) for t in texts[at : at + 200]]))
-            margin = np.concatenate([np.zeros(0), *out])
-            chance = 1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["offset"], -30, 30)))
-            if not model["codes"]:
-                chance = np.full(len(texts), float(model["share"]))
+            scores = chance(model, np.concatenate([np.zeros((0, 3)), *out]))
             columns = [batch.column(c) for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(chance)], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*kept, "score"])
 
     chosen = docs.select(*kept, F.col("text").cast("string").alias("_text"))
     return chosen.mapInArrow(score, T.StructType([*docs.select(*kept).schema.fields, T.StructField("score", T.DoubleType())]))
