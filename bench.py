@@ -13,6 +13,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from covaria.operators.scale import clean
 from covaria.plans.catalogue import QUERIES
 
 HEADLINE = [
@@ -67,6 +68,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        clean(spark)
         print(name, seconds[name], file=sys.stderr)
     report = {
         "metric": "headline_queries_total",

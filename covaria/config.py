@@ -46,6 +46,7 @@ class JobConfig:
     iterations: int = 50
     passes: int = 10
     topic_counts: tuple[int, ...] = (5, 6)
+    keep_terms: int = 100_000
     output_elements: str = "empi_expdate_notedate_diff_notetype"
 
     @classmethod
@@ -54,7 +55,7 @@ class JobConfig:
         given = json.loads(text)
         values = {}
         for field in fields(cls):
-            raw = given.get(JOB_FILE_NAMES[field.name])
+            raw = given.get(JOB_FILE_NAMES.get(field.name))
             if raw is None:
                 continue
             kind = type(getattr(cls, field.name))

@@ -62,6 +62,7 @@ SYMBOL_NAMES = {
 }
 HYPHEN = (" - ", " symbol_hyphen ")
 PERIOD = "_symbol_period_"
+PERIOD_AT_END = "_symbol_period,"
 DECIMAL = "_symbol_decimal_"
 SPARE_COMMA = (
     ",,,,100_symbol_percent_taken,,,,,,,",
@@ -159,7 +160,7 @@ def clean_delimiters(
         out = F.replace(out, F.lit(symbol), F.lit(SYMBOL_NAMES[symbol]))
     lone = r" \. " if literal_period else " . "
     out = _twice(out, lambda c: F.regexp_replace(c, lone, PERIOD))
-    out = F.replace(out, F.lit(f" {PERIOD},"), F.lit(f"{PERIOD},"))
+    out = F.replace(out, F.lit(f" {PERIOD},"), F.lit(PERIOD_AT_END))
     out = _twice(out, lambda c: F.regexp_replace(c, r"([0-9])\.([0-9])", rf"$1{DECIMAL}$2"))
     out = F.regexp_replace(out, r"[^\p{L}\p{N},.\-]", "_")
     out = _twice(out, lambda c: F.replace(c, F.lit("__"), F.lit("_")))

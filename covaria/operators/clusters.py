@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 CLUSTER_COUNTS = (500, 1000, 2000, 5000, 10000)
 SAMPLE_TEXTS = 20
 BLOCK_ROWS = 256
+MOST_CENTRES = 100_000
 
 
 def with_vector(rows: DataFrame, column: str = "embedding") -> DataFrame:
@@ -64,48 +65,17 @@ def _nearest(ids: np.ndarray, centres: np.ndarray):
 
 
 def assign_clusters(rows: DataFrame, centres: DataFrame, column: str = "embedding") -> DataFrame:
-    """Nearest of k given centres; only those k rows pass through the driver."""
-    listed = centres.orderBy("cluster").collect()
+    """Nearest of the given centres, which pass through the driver: at most ``MOST_CENTRES``."""
+    listed = centres.orderBy("cluster").limit(MOST_CENTRES + 1).collect()
+    if len(listed) > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centres")
     ids = np.array([r["cluster"] for r in listed], dtype="int32")
     points = np.array([r["centre"] for r in listed], dtype="float64")
     present = rows.where(F.col(column).isNotNull())
     return present.withColumn("cluster", _nearest(ids, points)(F.col(column)))
 
 
-def minibatch_centres(
-    shards: Sequence[DataFrame], k: int, seed: int = 0, column: str = "embedding"
-) -> tuple[np.ndarray, np.ndarray]:
-    """Running-mean centres, one update per shard; the shard is the batch.
-
-    Each update is a Spark job that returns k sums. Starting centres are k vectors
-    of the first shard in random, seeded order.
-    """
-    first = shards[0].where(F.col(column).isNotNull()).select(column)
-    start = first.orderBy(F.xxhash64(F.col(column).cast("string"), F.lit(seed))).limit(k)
-    centres = np.array([r[column] for r in start.collect()], dtype="float64")
-    if len(centres) < k:
-        raise ValueError(f"the first shard has {len(centres)} vectors for {k} clusters")
-    seen = np.zeros(k)
-    ids = np.arange(k, dtype="int32")
-    for shard in shards:
-        nearest = _nearest(ids, centres)(F.col(column)).alias("cluster")
-        sums = (
-            with_vector(shard.select(column), column)
-            .select("features", nearest)
-            .groupBy("cluster")
-            .agg(
-                vector_to_array(Summarizer.sum(F.col("features"))).alias("total"),
-                F.count(F.lit(1)).alias("n"),
-            )
-        )
-        for row in sums.collect():
-            c, n = row["cluster"], row["n"]
-            centres[c] = (centres[c] * seen[c] + np.array(row["total"])) / (seen[c] + n)
-            seen[c] += n
-    return centres, seen
-
-
-def centre_table(spark, centres: np.ndarray) -> DataFrame:
+def centre_table(spark, centres: Sequence[np.ndarray]) -> DataFrame:
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
     return spark.createDataFrame(rows, "cluster int, centre array<double>")
 

@@ -51,9 +51,15 @@ def codes_long(wide: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return wide.unpivot(list(keys), [F.col(f"`{c}`") for c in counts], "code", "n")
 
 
-def codes_wide(frequency: DataFrame, codes: Sequence[str]) -> DataFrame:
-    """One count column per listed code; no event means null."""
-    return frequency.groupBy(*KEYS).pivot("code", list(codes)).agg(F.sum("n"))
+def code_names(frequency: DataFrame) -> list[str]:
+    """All codes of a table in name order; a wide table has a column for each."""
+    return [r["code"] for r in frequency.select("code").distinct().orderBy("code").collect()]
+
+
+def codes_wide(frequency: DataFrame, codes: Sequence[str] | None = None) -> DataFrame:
+    """One count column per code, all of the table's if none are listed; no event means null."""
+    names = code_names(frequency) if codes is None else list(codes)
+    return frequency.groupBy(*KEYS).pivot("code", names).agg(F.sum("n"))
 
 
 def not_binary(values: DataFrame) -> DataFrame:

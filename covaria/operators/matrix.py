@@ -35,6 +35,24 @@ def long(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return cells.where(F.col("value").isNotNull())
 
 
+def whole(features: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per key with all its features and their values, as two lists in name order.
+
+    The wide matrix of any vocabulary: absent features take no room.
+    """
+    cells = F.sort_array(F.collect_list(F.struct("feature", "value")))
+    rows = features.groupBy(*keys).agg(cells.alias("cells"))
+    return rows.select(
+        *keys, F.col("cells.feature").alias("features"), F.col("cells.value").alias("values")
+    )
+
+
+def whole_to_long(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Back from ``whole`` to (key, feature, value)."""
+    cells = F.arrays_zip(F.col("features").alias("feature"), F.col("values").alias("value"))
+    return rows.select(*keys, F.inline(cells))
+
+
 def attach(
     cohort: DataFrame, matrix: DataFrame, keys: Sequence[str] = KEYS, fill: float | None = None
 ) -> DataFrame:

@@ -60,7 +60,7 @@ def ngram_counts(tokens: DataFrame, n: int) -> DataFrame:
 
 def top_ngrams(counts: DataFrame, k: int) -> DataFrame:
     """The ``k`` most frequent n-grams; equal counts by name."""
-    return counts.orderBy(F.col("n").desc(), "ngram").limit(k)
+    return scale.largest(counts, k, "n", "ngram")
 
 
 def select_features(tokens: DataFrame, n: int, k: int) -> DataFrame:

@@ -30,9 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def workspace(spark: SparkSession) -> str:
+    """The folder of this application's staged tables inside the shared one."""
+    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the staged tables, when the results that read them are written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(workspace(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(folder, True)
+
+
 def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a table to the shared folder and read it back: short lineage, one evaluation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -112,10 +124,22 @@ def sized_join(
     return salted_join(big, other, keys, spread_by, how)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a file scan that has fewer splits than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+def largest(rows: DataFrame, k: int, count: str, name: str) -> DataFrame:
+    """The ``k`` rows of the largest ``count``; of equal ones those with the smallest ``name``.
+
+    A histogram of the counts shows above which one all rows are in. Only the rows that
+    share the count at the edge are ordered, and only as many of them as are still wanted.
+    """
+    held = staged(rows, "counted")
+    sizes = held.groupBy(count).agg(F.count(F.lit(1)).alias("rows"))
+    # As many distinct counts as fit below the square root of twice their sum.
+    left = k
+    for size, members in sorted(map(tuple, sizes.collect()), reverse=True):
+        if members > left:
+            edge = held.where(F.col(count) == size).orderBy(name).limit(left)
+            return held.where(F.col(count) > size).unionByName(edge)
+        left -= members
+    return held
 
 
 def exploded(df: DataFrame, kept: Sequence[str | Column], array: Column, name: str) -> DataFrame:
@@ -156,8 +180,13 @@ def numbered(
     )
     inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
     ranked = sliced.withColumn("_rank", inside)
+    # Null keys are a group too.
+    same = F.lit(True)
+    for key in keys:
+        same = same & ranked[key].eqNullSafe(offsets[key])
+    joined = ranked.join(offsets, same & (ranked["_slice"] == offsets["_slice"]))
     return (
-        ranked.join(offsets, [*keys, "_slice"])
+        joined.drop(*(offsets[key] for key in keys), offsets["_slice"])
         .withColumn(name, (F.col("_rank") + F.col("_offset") - 1 + start).cast("long"))
         .drop("_rank", "_offset", "_slice")
     )

@@ -7,7 +7,7 @@ pre-aggregated shuffles; nothing loops over participants.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,17 +68,40 @@ SUMMARY_COLUMNS = {
 }
 
 
-def select_group(mentions: DataFrame, path: Column, cohort_path: Column, groups: DataFrame) -> DataFrame:
-    """Mentions from the files of a cohort's dataset and group.
+def cohort_of_path(path: str) -> tuple[str, str]:
+    """Dataset and cohort of a cohort file: a folder ``max_...`` holds Medicaid, others Medicare."""
+    folders = path.split("/")
+    tagged = [i for i, f in enumerate(folders[:-1]) if f.startswith(("max_", "mcr_"))]
+    name = folders[tagged[0] + 1].strip() if tagged else ""
+    return ("Medicaid" if "max_" in path else "Medicare"), name
 
-    A cohort path with ``max_`` means the Medicaid files, any other the Medicare
-    files. ``groups`` (cohort, pattern) is the short list of group name patterns.
+
+def group_pattern(
+    dataset: str, cohort: str, groups: Mapping[str, Mapping[str, str]], default: str
+) -> str:
+    """The name pattern of a cohort's files: by dataset and cohort, else the default group."""
+    return groups.get(dataset, {}).get(cohort, default)
+
+
+def select_groups(
+    mentions: DataFrame,
+    path: Column,
+    cohort_paths: Sequence[str],
+    groups: Mapping[str, Mapping[str, str]],
+    default: str,
+) -> DataFrame:
+    """Mentions of each cohort file's dataset and group, with ``dataset`` and ``cohort``.
+
+    The choices are made before the rows are read: one scan, a test of the path per
+    cohort file, and a row for each file that takes it. No join.
     """
-    dataset = F.when(cohort_path.contains("max_"), F.lit("Medicaid")).otherwise(F.lit("Medicare"))
-    tag = F.regexp_extract(cohort_path, r"(?:max|mcr)_.*?/\s*(.*?)\s*/", 1)
-    named = mentions.withColumn("dataset", dataset).withColumn("cohort", tag)
-    chosen = named.where(path.contains(F.col("dataset")))
-    return chosen.join(groups, "cohort").where(path.contains(F.col("pattern"))).drop("pattern")
+    chosen = []
+    for name in cohort_paths:
+        dataset, cohort = cohort_of_path(name)
+        pattern = group_pattern(dataset, cohort, groups, default)
+        tag = F.struct(F.lit(dataset).alias("dataset"), F.lit(cohort).alias("cohort"))
+        chosen.append(F.when(path.contains(dataset) & path.contains(pattern), tag))
+    return mentions.select("*", F.inline(F.array_compact(F.array(*chosen))))
 
 
 def of_cohort(cohort: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -167,7 +190,8 @@ def term_frequency(
 
     A participant without mentions has one missing term and one missing concept.
     """
-    rows = indicators(tagged(of_cohort(cohort, mentions)), assertion)
+    inside = scale.staged(of_cohort(cohort, mentions), "cohort-mentions")
+    rows = indicators(tagged(inside), assertion)
     sums = rows.groupBy(*KEYS, "family", "feature").agg(
         F.sum(F.coalesce("indicator", F.lit(0))).alias("frequency")
     )
@@ -175,7 +199,7 @@ def term_frequency(
         F.struct(F.lit("term").alias("family"), F.lit("term_na").alias("feature")),
         F.struct(F.lit("concept").alias("family"), F.lit("concept_na").alias("feature")),
     )
-    empty = no_terms(cohort, mentions).select(*KEYS, F.inline(missing))
+    empty = C.without_rows(cohort, inside.select(*KEYS), KEYS).select(*KEYS, F.inline(missing))
     return sums.unionByName(empty.withColumn("frequency", F.lit(1).cast("bigint")))
 
 
@@ -184,6 +208,11 @@ def term_binary(frequency: DataFrame) -> DataFrame:
     return frequency.select(*KEYS, "family", "feature", value.alias("value"))
 
 
+def mode_columns(mentions: DataFrame) -> list[str]:
+    """All columns of the mentions but the keys, whatever the files have."""
+    return [c for c in mentions.columns if c not in (*KEYS, "key")]
+
+
 def _filled(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null text as ``NA``, so that a missing value can win a mode."""
     text = {f.name for f in mentions.schema.fields if f.dataType.simpleString() == "string"}

@@ -35,12 +35,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TOP_K = 20_000
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 TOPICS = 10
-WORDS_PER_TOPIC = 20
+WORDS_PER_TOPIC = 40
+SHARD_WORDS = 40
 COHERENCE_TOPICS = 5
-# Groups of term files per cohort name.
-GROUPS = [("cohort1", "grp0_"), ("cohort2", "grp1_"), ("cohort3", "grp2_")]
+# Groups of term files by dataset and cohort; cohorts not listed take the default group.
+GROUPS = {
+    "Medicaid": {"cohort1": "grp0_", "cohort2": "grp1_"},
+    "Medicare": {"cohort1": "grp1_", "cohort2": "grp2_"},
+}
+DEFAULT_GROUP = "grp3_"
+COHORTS = ("cohort1", "cohort2", "cohort3")
 
 
 def query(fn: Query) -> Query:
@@ -278,23 +283,33 @@ def feature_totals(spark, sf):
 
 @query
 def ngram_wide(spark, sf):
-    """Wide span columns of the notes' stop-word-like short words, null where absent."""
-    rows = N.as_features(_presence(spark, sf, "empi_expdate"), 1)
-    return M.wide(rows, WIDE_WORDS, F.first("value"))
+    """One row per participant over the whole vocabulary: names and spans, in name order."""
+    return _shown(_ngram_rows(spark, sf))
 
 
-WIDE_WORDS = ["ti", "es", "th", "nd", "er", "le", "la", "que", "der", "und", "en", "el"]
+def _ngram_rows(spark, sf):
+    return M.whole(N.as_features(_presence(spark, sf, "empi_expdate"), 1))
+
+
+def _shown(rows):
+    spans = F.transform("values", lambda v: v.cast("long").cast("string"))
+    return rows.select(
+        "empi",
+        "expdate",
+        F.array_join("features", " ").alias("ngrams"),
+        F.array_join(spans, " ").alias("spans"),
+    )
 
 
 @query
 def ngram_attach(spark, sf):
     members = FX.cohort(spark, sf).select("empi", "expdate")
-    return M.attach(members, ngram_wide(spark, sf))
+    return _shown(M.attach(members, _ngram_rows(spark, sf)))
 
 
 @query
 def ngram_wide_to_long(spark, sf):
-    return M.long(ngram_wide(spark, sf))
+    return M.whole_to_long(_ngram_rows(spark, sf))
 
 
 # --- codes --------------------------------------------------------------------
@@ -319,6 +334,12 @@ def structured_codes(spark, sf):
     return joined.join(tables.binary, ["empi", "expdate", "source", "code"])
 
 
+@query
+def code_matrices(spark, sf):
+    """Wide 0/1 columns of the claims codes, one row per cohort member."""
+    return PL.code_matrices(_members(spark, sf), _codes(spark, sf, "combined"), "claims").binary
+
+
 @query
 def code_binary_hdec(spark, sf):
     return CO.checked_binary(CO.binary_codes(_codes(spark, sf, "combined")))
@@ -326,7 +347,7 @@ def code_binary_hdec(spark, sf):
 
 @query
 def code_wide(spark, sf):
-    counts = CO.codes_wide(_codes(spark, sf, "claims"), BRANDS)
+    counts = CO.codes_wide(_codes(spark, sf, "claims"))
     return M.attach(FX.cohort(spark, sf).select("empi", "expdate"), counts)
 
 
@@ -372,7 +393,7 @@ def _symbol_line():
         "UMLS_CUI",
         F.lit("\" . , it's 5% é & "),
         "concept_id",
-        F.lit("?/<>=+*~@:;\\ ,,"),
+        F.lit("?/<>=+*~@:;\\ ,,  . ,,b"),
     )
 
 
@@ -454,7 +475,8 @@ def term_binary(spark, sf):
 
 @query
 def participant_modes(spark, sf):
-    return T.participant_modes(_mentions(spark, sf), PL.MODE_COLUMNS)
+    rows = _mentions(spark, sf)
+    return T.participant_modes(rows, T.mode_columns(rows))
 
 
 @query
@@ -472,6 +494,17 @@ def term_demographics(spark, sf):
     return PL.term_demographics(_members(spark, sf), FX.mterms(spark, sf))
 
 
+@query
+def term_tables(spark, sf):
+    """Saved tables with the demographics, read back by a second run."""
+    path = _folder(spark, "term-tables")
+    for _ in range(2):
+        tables = PL.term_tables(_members(spark, sf), FX.mterms(spark, sf), path)
+    keys = ["empi", "expdate", "family", "feature"]
+    values = tables.binary.select(*keys, "value")
+    return tables.frequency.select(*keys, "frequency", "total_entries").join(values, keys)
+
+
 @query
 def no_terms(spark, sf):
     return T.no_terms(_members(spark, sf), FX.mterms(spark, sf))
@@ -484,15 +517,9 @@ def mterms_of_group(spark, sf):
     dataset = F.when(F.col("noteID") % 2 == 0, "Medicaid").otherwise("Medicare")
     group = F.concat(F.lit("/grp"), (F.col("key") % 4).cast("string"), F.lit("_terms.csv"))
     pathed = rows.withColumn("path", F.concat(F.lit("terms/"), dataset, group))
-    groups = spark.createDataFrame(GROUPS, "cohort string, pattern string")
-    counts = None
-    for tag in ("max_", "mcr_"):
-        for name, _ in GROUPS:
-            path = F.lit(f"base/{tag}{name}/{name}/{name}.csv")
-            chosen = T.select_group(pathed, F.col("path"), path, groups)
-            counted = chosen.groupBy("dataset", "cohort").agg(F.count(F.lit(1)).alias("n"))
-            counts = counted if counts is None else counts.unionByName(counted)
-    return counts
+    files = [f"base/{tag}{name}/{name}/{name}.csv" for tag in ("max_", "mcr_") for name in COHORTS]
+    chosen = T.select_groups(pathed, F.col("path"), files, GROUPS, DEFAULT_GROUP)
+    return chosen.groupBy("dataset", "cohort").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- clusters -----------------------------------------------------------------
@@ -556,29 +583,30 @@ def cluster_matrix(spark, sf):
 
 @query
 def cluster_job(spark, sf):
-    sets = PL.cluster_job(FX.vectors(spark, sf), TOPICS, _folder(spark, "cluster-job"))
-    return sets.select("empi", "cluster", "positive_cluster_num")
+    """The job run twice on one path: the second run loads the model and gives the same sets."""
+    path = _folder(spark, "cluster-job")
+    once, again = (PL.cluster_job(FX.vectors(spark, sf), TOPICS, path) for _ in range(2))
+    both = once.join(again.withColumnRenamed("cluster", "later"), "empi")
+    inside = F.forall("cluster", lambda c: c.between(0, TOPICS - 1))
+    return both.select("empi", (F.col("cluster") == F.col("later")).alias("same"), inside.alias("inside"))
 
 
 @query
 def fit_clusters(spark, sf):
     vectors = FX.vectors(spark, sf)
     model = CL.fit_clusters(vectors, TOPICS)
-    return CL.predicted(model, vectors).select("vec_id", "empi", "document", "cluster")
-
-
-@query
-def minibatch_clusters(spark, sf):
-    vectors = FX.vectors(spark, sf)
-    shards = [vectors.where(F.col("vec_id") % 4 == s) for s in range(4)]
-    centres, seen = CL.minibatch_centres(shards, TOPICS)
-    table = CL.centre_table(spark, centres)
-    return CL.assign_clusters(vectors, table).select("vec_id", "cluster")
+    centres = CL.centre_table(spark, model.clusterCenters())
+    nearest = CL.assign_clusters(CL.predicted(model, vectors).withColumnRenamed("cluster", "given"), centres)
+    same = F.col("given") == F.col("cluster")
+    return nearest.select("vec_id", "empi", "document", same.alias("nearest"))
 
 
 @query
 def cluster_sweep(spark, sf):
-    return CL.cluster_sweep(FX.vectors(spark, sf), (5, 10, 20))
+    """Cost by cluster count: each count is met and costs less than the one before."""
+    costs = CL.cluster_sweep(FX.vectors(spark, sf), (5, 20, 100))
+    before = F.lag("cost").over(Window.orderBy("k"))
+    return costs.select("k", "clusters", F.coalesce(F.col("cost") < before, F.lit(True)).alias("cheaper"))
 
 
 # --- topics -------------------------------------------------------------------
@@ -689,7 +717,7 @@ def coherence_average(spark, sf):
     return scores.select(F.round("coherence", 6).alias("coherence"))
 
 
-def _fitted(spark, sf, k=5, passes=2):
+def _fitted(spark, sf, k=5, passes=10):
     tokens = _staged_tokens(spark, sf)
     terms = TP.vocabulary_list(TP.document_frequency(tokens))
     vectors = TP.vectorised(tokens, terms)
@@ -698,8 +726,14 @@ def _fitted(spark, sf, k=5, passes=2):
 
 @query
 def fit_topics(spark, sf):
-    _, terms, _, model = _fitted(spark, sf)
-    return TP.topic_terms(model, terms, 20)
+    """Words of each topic: all are of the vocabulary, in order of their weights."""
+    tokens, terms, _, model = _fitted(spark, sf)
+    words = TP.topic_terms(model, terms, 20)
+    known = TP.document_frequency(tokens).select("term", F.lit(True).alias("known"))
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
+    falling = F.coalesce(F.col("weight") <= before, F.lit(True))
+    marked = words.withColumn("falling", falling).join(known, "term", "left")
+    return marked.select("topic", "rank", "known", "falling")
 
 
 @query
@@ -707,32 +741,48 @@ def topic_terms(spark, sf):
     """Top words of each topic, topics ranked by coherence."""
     tokens, terms, _, model = _fitted(spark, sf)
     words = scale.staged(TP.topic_terms(model, terms, 20), "topic-terms")
-    return PL.ranked_topics(tokens, words)
+    ranked = PL.ranked_topics(tokens, words)
+    before = F.lag("coherence").over(Window.orderBy("topic_rank"))
+    falling = F.coalesce(F.col("coherence") <= before, F.lit(True))
+    return ranked.select("topic_rank", falling.alias("falling"), F.size(F.split("words", ", ")).alias("words"))
 
 
 @query
 def topic_contributions(spark, sf):
     _, _, vectors, model = _fitted(spark, sf)
+    """Every note of the window: its weights fall, are at least the floor, and sum to 1 at most."""
     rows = TP.contributions(model, vectors)
-    return rows.select("note_id", "empi", "expdate", F.inline("topic_contributions"))
+    weights = F.col("topic_contributions.weight")
+    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        "note_id",
+        "empi",
+        "expdate",
+        (weights == F.reverse(F.array_sort(weights))).alias("falling"),
+        F.forall(weights, lambda w: w >= TP.MIN_WEIGHT).alias("floor"),
+        (total <= 1 + 1e-9).alias("bounded"),
+    )
 
 
 @query
 def log_perplexity(spark, sf):
     _, _, vectors, model = _fitted(spark, sf)
     bound = TP.log_perplexity(model, vectors)
-    return spark.createDataFrame([(5, bound)], "k int, log_perplexity double")
+    return spark.createDataFrame([(5, -100 < bound < 0)], "k int, plausible boolean")
 
 
 @query
 def topic_metrics(spark, sf):
     path = _folder(spark, "topic-job")
-    config = JobConfig(passes=2)
-    PL.topic_job(FX.notes(spark, sf), config, 5, path)
-    return spark.read.parquet(f"{path}/k=5/topic_metrics")
+    """The job run twice: the second run loads the model and writes the same reports."""
+    notes = FX.notes(spark, sf)
+    for _ in range(2):
+        PL.topic_job(notes, JobConfig(), 5, path)
+    metrics = spark.read.parquet(f"{path}/k=5/topic_metrics")
+    return metrics.select("k", "metric", "topic", F.col("value").isNotNull().alias("known"))
 
 
-def sweep(tokens: DataFrame, counts, measure: str = "u_mass", passes: int = 2) -> DataFrame:
+def sweep(tokens: DataFrame, counts, measure: str = "u_mass", passes: int = 10) -> DataFrame:
     """Perplexity and mean coherence of a model per topic count."""
     spark = tokens.sparkSession
     terms = TP.vocabulary_list(TP.document_frequency(tokens))
@@ -752,7 +802,9 @@ def sweep(tokens: DataFrame, counts, measure: str = "u_mass", passes: int = 2) -
 @query
 def topic_sweep(spark, sf):
     tokens = _staged_tokens(spark, sf)
-    return sweep(tokens, (3, 5))
+    swept = sweep(tokens, (3, 5))
+    bound, score = F.col("log_perplexity"), F.col("coherence")
+    return swept.select("k", bound.between(-100, 0).alias("plausible"), (score <= 0).alias("scored"))
 
 
 # --- embeddings ---------------------------------------------------------------
@@ -769,30 +821,30 @@ def embed_hashed(spark, sf):
 def embed_word2vec(spark, sf):
     tokens = _staged_tokens(spark, sf)
     model = E.fit_word_vectors(tokens, size=16)
-    return E.document_embeddings(model, tokens)
+    return _whole(E.document_embeddings(model, tokens), "note_id", "empi")
+
+
+def _whole(rows, *keys):
+    """Keys of embedded rows, the length of each vector, and whether all its cells are numbers."""
+    cells = F.col("embedding")
+    finite = F.forall(cells, lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
+    return rows.select(*keys, F.size(cells).alias("dim"), finite.alias("finite"))
 
 
 @query
 def embed_tokens(spark, sf):
     tokens = _staged_tokens(spark, sf)
     model = E.fit_word_vectors(tokens, size=16)
-    return E.word_embeddings(model, tokens).select("note_id", "position", "token", "embedding")
-
-
-def _letter_model():
-    """A stand-in for a pretrained model: relative frequency of the letters a to z."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-
-    def vectors(texts):
-        return [[t.lower().count(c) / max(len(t), 1) for c in letters] for t in texts]
-
-    return vectors
+    return _whole(E.word_embeddings(model, tokens), "note_id", "position", "token")
 
 
 @query
 def embed_sentences(spark, sf):
+    """Mean word vector of each sentence, by the model of the notes."""
+    model = E.fit_word_vectors(_staged_tokens(spark, sf), size=16)
     rows = E.sentence_rows(_window(spark, sf).select("note_id", "empi", "text"))
-    return E.embed(rows, "document", _letter_model).select("note_id", "position", "embedding")
+    tokens = rows.withColumn("tokens", X.topic_tokens(F.col("document"), X.ENGLISH_STOP_WORDS))
+    return _whole(E.document_embeddings(model, tokens, ("note_id", "position")), "note_id", "position")
 
 
 # --- sources and sinks --------------------------------------------------------
@@ -822,7 +874,7 @@ def roundtrip_codes(spark, sf):
     keyed = members.select("empi", "expdate", K.empi_indexdt(F.col("empi"), F.col("expdate")).alias("empi_indexdt"))
     files = {"claims": "mcr_codes.csv", "rpdr": "mcr_rpdr_codes.csv"}
     for dimension, name in files.items():
-        counts = CO.codes_wide(_codes(spark, sf, dimension), BRANDS)
+        counts = CO.codes_wide(_codes(spark, sf, dimension))
         wide = M.attach(keyed, counts).drop("empi", "expdate")
         wide.write.option("header", True).csv(f"{path}/{name}")
     rows = R.read_code_frequencies(spark, [f"{path}/{n}" for n in files.values()])
@@ -885,7 +937,8 @@ def roundtrip_embeddings(spark, sf):
     read = R.read_embeddings(spark, f"{path}/shard=*", ["vec_id", "document", "embedding"])
     nested = read.withColumn("nested", F.array("embedding"))
     flat = nested.withColumn("flat", P.flat_vector(F.col("nested")))
-    return flat.select("vec_id", "document", F.round(F.element_at("flat", 1), 4).alias("x"), F.size("flat").alias("dim"))
+    cells = flat.select("vec_id", "document", F.posexplode("flat").alias("place", "x"))
+    return cells.withColumn("x", F.round(F.col("x").cast("double"), 4) + 0.0)
 
 
 @query
@@ -905,8 +958,9 @@ def roundtrip_ngrams(spark, sf):
     tokens = scale.staged(_tokens(spark, sf), "tokens")
     for n in (1, 2):
         chosen = N.select_features(tokens, n, TOP_K)
-        W.write_ngram_features(N.token_presence(tokens, n, "empi", chosen), path, n)
-    return R.read_ngrams(spark, path, 2)
+        for _ in range(2):  # a rerun replaces what it wrote before
+            W.write_ngram_features(N.token_presence(tokens, n, "empi", chosen), path, n)
+    return R.read_ngrams(spark, path, 1).unionByName(R.read_ngrams(spark, path, 2))
 
 
 @query
@@ -914,12 +968,16 @@ def roundtrip_ngram_shards(spark, sf):
     """Wide shards of different words, read back as long rows."""
     path = _folder(spark, "ngram-shards")
     key = K.empi_indexdt(F.col("empi"), F.col("expdate")).alias("empi_indexdt")
-    cells = scale.staged(ngram_wide(spark, sf), "ngram-wide")
-    half = len(WIDE_WORDS) // 2
+    tokens = scale.staged(_tokens(spark, sf), "tokens")
+    chosen = N.select_features(tokens, 1, SHARD_WORDS)
+    words = [r["ngram"] for r in chosen.orderBy(F.col("n").desc(), "ngram").collect()]
+    rows = N.as_features(N.token_presence(tokens, 1, "empi_expdate", chosen), 1)
+    cells = scale.staged(M.wide(rows, words, F.first("value")), "ngram-wide")
+    half = SHARD_WORDS // 2
     paths = []
-    for i, names in enumerate((WIDE_WORDS[:half], WIDE_WORDS[half:]), 1):
+    for i, names in enumerate((words[:half], words[half:]), 1):
         paths.append(f"{path}/unigram_{i}.csv")
-        cells.select(key, *names).write.option("header", True).csv(paths[-1])
+        cells.select(key, *[F.col(f"`{n}`") for n in names]).write.option("header", True).csv(paths[-1])
     return R.read_ngram_shards(spark, paths).where(F.col("value").isNotNull())
 
 
@@ -956,7 +1014,8 @@ def roundtrip_topic_matrices(spark, sf):
 def roundtrip_clusters(spark, sf):
     path = _folder(spark, "clusters")
     sets = CL.cluster_sets(FX.cluster_labels(spark, sf))
-    W.write_cluster_sets(sets, path, "sentence_embedding", "bert", 10)
+    for _ in range(2):
+        W.write_cluster_sets(sets, path, "sentence_embedding", "bert", 10)
     W.write_cluster_sets(sets.limit(0), path, "word_embedding", "glove", 100)
     read = R.read_cluster_sets(spark, path, "sentence_embedding", "bert", 10)
     return read.select("empi", F.array_join("cluster", ",").alias("cluster"), "positive_cluster_num")
@@ -984,7 +1043,7 @@ def reuse_models(spark, sf):
     vectors = FX.vectors(spark, sf)
     for _ in range(2):
         model = W.reused_model(spark, f"{path}/c", KMeansModel, lambda: CL.fit_clusters(vectors, 5))
-    _, _, bags, lda = _fitted(spark, sf, 3, 1)
+    _, _, bags, lda = _fitted(spark, sf, 3)
     for _ in range(2):
         lda = W.reused_model(spark, f"{path}/t", LocalLDAModel, lambda lda=lda: lda)
     sizes = [(len(model.clusterCenters()), lda.describeTopics(1).count())]
@@ -1022,22 +1081,19 @@ def covariate_totals(spark, sf):
 @query
 def covariates_sparse(spark, sf):
     rows = PL.covariates(_members(spark, sf), _model_free_features(spark, sf))
-    return rows.select(
-        "empi",
-        "expdate",
-        F.size("indices").alias("features"),
-        F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 3).alias("total"),
-    )
+    shown = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), " ")
+    return rows.select("empi", "expdate", shown("indices").alias("indices"), shown("values").alias("values"))
 
 
 @query
 def covariates_modelled(spark, sf):
     """Topic and cluster covariates from models fitted on the same data."""
-    config = JobConfig(passes=2)
     vectors = FX.vectors(spark, sf)
-    return PL.union(
+    rows = PL.union(
         [
-            PL.topic_features(FX.notes(spark, sf), config, 5),
+            PL.topic_features(FX.notes(spark, sf), JobConfig(), 5),
             PL.cluster_features(FX.cohort(spark, sf), vectors, TOPICS, "sentence_cluster"),
         ]
     )
+    inside = F.min(F.col("value").between(TP.MIN_WEIGHT, 1) & F.col("feature").rlike("_[0-9]$"))
+    return rows.groupBy("empi", "expdate", "family").agg(inside.alias("inside"))

@@ -15,24 +15,6 @@ from covaria.operators import clusters, codes, coherence, matrix, ngrams, scale,
 from covaria.operators.cohort import note_window, restrict_to_cohort
 from covaria.sources import writers
 
-LAYOUT = "empi_expdate"
-# Columns of a mention that are summarised by their most frequent value.
-MODE_COLUMNS = (
-    "noteID",
-    "notedate",
-    "module",
-    "term",
-    "negated_mod",
-    "family_history_mod",
-    "concept_id",
-    "SNOMED_PrefTerm",
-    "rxcui",
-    "UMLS_CUI",
-    "term_names",
-    "clean_terms",
-    "concept_tags",
-    "clean_concept_tags",
-)
 
 
 def ngram_features(notes: DataFrame, config: JobConfig, sizes: Sequence[int] = (1, 2)) -> DataFrame:
@@ -48,11 +30,26 @@ def ngram_features(notes: DataFrame, config: JobConfig, sizes: Sequence[int] = (
         chosen = None
         if not config.all_ngrams:
             chosen = ngrams.select_features(tokens, n, config.top_ngrams)
-        found = ngrams.as_features(ngrams.token_presence(tokens, n, LAYOUT, chosen), n)
+        found = ngrams.as_features(ngrams.token_presence(tokens, n, "empi_expdate", chosen), n)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def ngram_tables(
+    notes: DataFrame, config: JobConfig, sizes: Sequence[int] = (1, 2)
+) -> dict[int, DataFrame]:
+    """Presence of the top n-grams in the output layout of the settings, by n-gram size."""
+    inside = note_window(notes, config.span_start, config.span_end)
+    tokens = ngrams.tokenised(inside, config.preprocessor).drop("body")
+    tokens = scale.staged(tokens, "tokens")
+    chosen = {
+        n: None if config.all_ngrams else ngrams.select_features(tokens, n, config.top_ngrams)
+        for n in sizes
+    }
+    layout = config.key_layout()
+    return {n: ngrams.token_presence(tokens, n, layout, names) for n, names in chosen.items()}
+
+
 def code_features(cohort: DataFrame, events: DataFrame, dimension: str = "combined") -> DataFrame:
     return codes.as_features(codes.code_frequency(cohort, events, dimension))
 
@@ -69,9 +66,9 @@ def cluster_features(cohort: DataFrame, vectors: DataFrame, k: int, family: str)
 def topic_features(notes: DataFrame, config: JobConfig, k: int) -> DataFrame:
     inside = note_window(notes, config.span_start, config.span_end)
     tokens = scale.staged(topics.topic_tokens(inside), "topic-tokens")
-    vocabulary = topics.vocabulary_list(topics.document_frequency(tokens))
-    vectors = topics.vectorised(tokens, vocabulary)
-    model = topics.fit_topics(vectors, k, config.passes)
+    terms = topics.document_frequency(tokens, keep=config.keep_terms)
+    vectors = topics.vectorised(tokens, topics.vocabulary_list(terms))
+    model = topics.fit_topics(vectors, k, config.passes, iterations=config.iterations)
     return topics.as_features(topics.contributions(model, vectors))
 
 
@@ -98,16 +95,36 @@ class Matrices:
 
 def structured_codes(cohort: DataFrame, events: DataFrame, dimension: str) -> Matrices:
     """Code counts and their 0/1 form; fails on a code that two sources list."""
-    frequency = codes.code_frequency(cohort, events, dimension)
+    return code_tables(codes.code_frequency(cohort, events, dimension))
+
+
+def code_tables(frequency: DataFrame) -> Matrices:
+    """Checked tables from counts (empi, expdate, source, code, n), raw or read from files."""
+    frequency = scale.staged(frequency, "code-counts")
     if not codes.repeated_covariates(frequency).isEmpty():
-        raise ValueError(f"a covariate of {dimension!r} is listed more than once")
+        raise ValueError("a covariate is listed more than once")
     return Matrices(frequency, codes.checked_binary(codes.binary_codes(frequency)))
 
 
+def code_matrices(cohort: DataFrame, frequency: DataFrame, dimension: str) -> Matrices:
+    """Wide tables of one dimension, left-joined to the cohort: counts, and 0/1 as ``_hdec``.
+
+    ``frequency`` may come from events or from files of counts.
+    """
+    chosen = frequency.where(codes.code_dimension(F.col("source"), dimension))
+    tables = code_tables(chosen)
+    members = cohort.select(*codes.KEYS)
+    values = tables.binary.withColumnRenamed("value", "n")
+    return Matrices(
+        matrix.attach(members, codes.codes_wide(tables.frequency)),
+        matrix.attach(members, codes.codes_wide(values)),
+    )
+
+
 def term_demographics(cohort: DataFrame, mentions: DataFrame) -> DataFrame:
     """Modes, module summary and missing entries, one row per cohort member."""
     tagged = scale.staged(terms.tagged(terms.of_cohort(cohort, mentions)), "mentions")
-    present = [c for c in MODE_COLUMNS if c in tagged.columns]
+    present = terms.mode_columns(tagged)
     keys = list(terms.KEYS)
     return (
         terms.missing_summary(cohort, tagged)
@@ -130,6 +147,20 @@ def term_matrices(cohort: DataFrame, mentions: DataFrame, path: str | None = Non
     return Matrices(frequency, terms.term_binary(frequency))
 
 
+def term_tables(cohort: DataFrame, mentions: DataFrame, path: str) -> Matrices:
+    """Frequency and 0/1 rows joined to the demographics, saved, and read back when there."""
+    spark = cohort.sparkSession
+    plain = term_matrices(cohort, mentions, f"{path}/terms")
+
+    def joined(rows: DataFrame) -> DataFrame:
+        return rows.join(term_demographics(cohort.select(*terms.KEYS), mentions), list(terms.KEYS))
+
+    return Matrices(
+        writers.reused(spark, f"{path}/frequency_demographics", lambda: joined(plain.frequency)),
+        writers.reused(spark, f"{path}/binary_demographics", lambda: joined(plain.binary)),
+    )
+
+
 def topic_matrices(
     cohort: DataFrame, rows: DataFrame, k: int, key: str = "empi"
 ) -> tuple[DataFrame, Matrices]:
@@ -140,10 +171,19 @@ def topic_matrices(
 
 
 def cluster_matrix(cohort: DataFrame, sets: DataFrame, k: int, key: str = "empi") -> DataFrame:
-    """0/1 column per cluster for the cohort members that have vectors."""
+    """0/1 column per cluster for the cohort members that have vectors.
+
+    For thousands of clusters take ``cluster_vectors``, which holds the ones only.
+    """
     return clusters.cluster_onehot(restrict_to_cohort(sets, cohort, (key,)), k, key)
 
 
+def cluster_vectors(cohort: DataFrame, sets: DataFrame, k: int, key: str = "empi") -> DataFrame:
+    """The same columns as one sparse vector per cohort member."""
+    inside = restrict_to_cohort(sets, cohort, (key,))
+    return matrix.indicator_vectors(inside, [str(i) for i in range(k)], "cluster", "clusters")
+
+
 def cluster_job(vectors: DataFrame, k: int, path: str) -> DataFrame:
     """Fit or load a model, write sample and sizes per cluster, return cluster sets."""
     model = writers.reused_model(
@@ -191,16 +231,25 @@ def ranked_topics(tokens: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def topic_job(notes: DataFrame, config: JobConfig, k: int, path: str) -> DataFrame:
-    """Fit or load a topic model, write its reports, return the topics of each note."""
+    """Fit or load a topic model, write its reports, return the topics of each note.
+
+    The vocabulary is saved before the model and loaded with it, so the term ids of a
+    loaded model keep their words when the notes have changed.
+    """
     inside = note_window(notes, config.span_start, config.span_end)
     tokens = scale.staged(topics.topic_tokens(inside), "topic-tokens")
-    terms_in_order = topics.vocabulary_list(topics.document_frequency(tokens))
+    vocabulary = writers.reused(
+        notes.sparkSession,
+        f"{path}/vocabulary/k={k}",
+        lambda: topics.document_frequency(tokens, keep=config.keep_terms),
+    )
+    terms_in_order = topics.vocabulary_list(vocabulary)
     vectors = topics.vectorised(tokens, terms_in_order)
     model = writers.reused_model(
         notes.sparkSession,
         f"{path}/model/k={k}",
         LocalLDAModel,
-        lambda: topics.fit_topics(vectors, k, config.passes),
+        lambda: topics.fit_topics(vectors, k, config.passes, iterations=config.iterations),
     )
     words = scale.staged(topics.topic_terms(model, terms_in_order, 40), "topic-words")
     perplexity = notes.sparkSession.createDataFrame(

@@ -2,32 +2,98 @@
 
 from __future__ import annotations
 
-from covaria.config import OUTPUT_ELEMENTS
-from covaria.functions import text as X
-from covaria.operators import coherence as CH
-from covaria.operators import topics as TP
-from covaria.operators.clusters import SAMPLE_TEXTS
-from covaria.operators.ngrams import LAYOUTS
-from covaria.operators.terms import CONCEPT_COLUMNS, SUMMARY_COLUMNS
-from covaria.plans.catalogue import (
-    BRANDS,
-    COHERENCE_TOPICS,
-    GROUPS,
-    TOP_K,
-    TOPICS,
-    WIDE_WORDS,
-    WORDS_PER_TOPIC,
+# Fixed values, stated here and not taken from the package, so that a wrong constant there shows.
+WHITESPACE = (
+    r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 )
-from covaria.plans.jobs import MODE_COLUMNS
+RAW_TOKEN = (
+    r"[\p{L}\p{M}\p{N}_]+|"
+    r"[^\p{L}\p{M}\p{N}_\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+PUNCTUATION = '!"#$%&\'()*+,-./:;<=>?@[\\]^_`{|}~'
+STOP_WORDS = """
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself
+yourselves he him his himself she she's her hers herself it it's its itself they them their
+theirs themselves what which who whom this that that'll these those am is are was were be been
+being have has had having do does did doing a an the and but if or because as until while of at
+by for with about against between into through during before after above below to from up down
+in out on off over under again further then once here there when where why how all any both each
+few more most other some such no nor not only own same so than too very s t can will just don
+don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn
+doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn
+needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
+""".split()
+SYMBOL_NAMES = {'~': '_symbol_tilde_',
+ '@': '_symbol_at_',
+ '#': '_symbol_hash_',
+ '%': '_symbol_percent_',
+ '&': '_symbol_and_',
+ '*': '_symbol_asterisk_',
+ '(': '_symbol_open_parenthesis_',
+ ')': '_symbol_close_parenthesis_',
+ '+': '_symbol_plus_',
+ '=': '_symbol_equals_',
+ '\\': '_symbol_backslash_',
+ '?': '_symbol_question_mark_',
+ '/': '_symbol_forwardslash_',
+ '>': '_symbol_greater_than_',
+ '<': '_symbol_less_than_',
+ ':': '_symbol_colon_',
+ ';': '_symbol_semicolon_',
+ "'": '_symbol_apostrophe_',
+ '"': '_symbol_quotation_'}
+HYPHEN = (" - ", " symbol_hyphen ")
+SPARE_COMMA = (",,,,100_symbol_percent_taken,,,,,,,", ",,,100_symbol_percent_taken,,,,,,,")
+LAYOUTS = {'empi': ('empi',),
+ 'empi_expdate': ('empi', 'expdate'),
+ 'empi_expdate_notedate': ('empi', 'expdate', 'notedate'),
+ 'empi_expdate_notetype': ('empi', 'expdate', 'notetype'),
+ 'empi_expdate_notedate_notetype': ('empi', 'expdate', 'notedate', 'notetype'),
+ 'empi_expdate_notedate_diff_notetype': ('empi', 'expdate', 'notedate', 'diff', 'notetype'),
+ 'comb_empi_expdate_notedate_diff_notetype': ('empi_exp_date', 'empi', 'expdate', 'notedate',
+                                              'diff', 'notetype')}
+CONCEPT_COLUMNS = {'ade': 'SNOMED_PrefTerm', 'Allergy': 'rxcui', 'Medication': 'concept_id', 'Problem': 'UMLS_CUI'}
+SUMMARY_COLUMNS = {'ade': ('most_frequent_ade_concept_orig', 'most_frequent_ade_derived',
+         'concept_ade_module_entries', 'most_frequent_ade_term_orig',
+         'most_frequent_ade_term_derived_unclean', 'most_frequent_ade_derived_clean',
+         'term_ade_module_entries'),
+ 'Allergy': ('most_frequent_allergy_concept_orig', 'most_frequent_allergy_concept_derived',
+             'concept_allergy_module_entries', 'most_frequent_allergy_term_orig',
+             'most_frequent_allergy_term_derived_unclean',
+             'most_frequent_allergy_term_derived_clean', 'term_allergy_module_entries'),
+ 'Medication': ('most_frequent_medication_concept_orig', 'most_frequent_medication_concept_derived',
+                'concept_medication_module_entries', 'most_frequent_medication_term_orig',
+                'most_frequent_medication_term_derived_unclean',
+                'most_frequent_medication_term_derived_clean', 'term_medication_module_entries'),
+ 'Problem': ('most_frequent_problem_concept_orig', 'most_frequent_problem_concept_derived',
+             'concept_problem_module_entries', 'most_frequent_problem_term_orig',
+             'most_frequent_problem_term_derived_unclean',
+             'most_frequent_problem_term_derived_clean', 'term_problem_module_entries')}
+MODE_COLUMNS = ('noteID', 'notedate', 'module', 'term', 'negated_mod', 'family_history_mod', 'concept_id',
+ 'SNOMED_PrefTerm', 'rxcui', 'UMLS_CUI', 'term_names', 'clean_terms', 'concept_tags',
+ 'clean_concept_tags')
+WINDOWS = {"c_v": 110, "c_uci": 10, "c_npmi": 10}
+TOP_WORDS = {"u_mass": 20, "c_v": 20, "c_uci": 5, "c_npmi": 40}
+EPSILON = 1e-12
+SAMPLE_TEXTS = 20
+NO_BELOW, NO_ABOVE, KEEP_TERMS = 20, 0.45, 100_000
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+TOP_K = 20_000
+TOPICS = 10
+COHERENCE_TOPICS = 5
+WORDS_PER_TOPIC = 40
+SHARD_WORDS = 40
 
 
 def lit(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-WS = lit(X.WHITESPACE)
-STOP = ", ".join(lit(w) for w in X.ENGLISH_STOP_WORDS)
-PUNCT = lit(X.PUNCTUATION)
+WS = lit(WHITESPACE)
+STOP = ", ".join(lit(w) for w in STOP_WORDS)
+PUNCT = lit(PUNCTUATION)
 
 
 def _nested(column: str, rules) -> str:
@@ -64,11 +130,11 @@ def _clean_name(column: str) -> str:
 
 
 def _decimal_mark(column: str) -> str:
-    return f"regexp_replace({column}, '^([^.]*)\\.', '\\1{X.DECIMAL}')"
+    return f"regexp_replace({column}, '^([^.]*)\\.', '\\1_symbol_decimal_')"
 
 
 def _clean_delimiters(column: str, body: bool, literal: bool = False) -> str:
-    names = X.SYMBOL_NAMES
+    names = SYMBOL_NAMES
     if body:
         rules = [("leukemia ,", "leukemia")] if literal else []
         rules += [(" , ", " "), (", ", " "), (" ,", " "), ('"', "")]
@@ -76,14 +142,14 @@ def _clean_delimiters(column: str, body: bool, literal: bool = False) -> str:
     else:
         out = _nested(column, [(" ", "")])
     out = _nested(out, [(s, names[s]) for s in "~@#%&*()"])
-    out = _nested(out, [X.HYPHEN] * 2)
+    out = _nested(out, [HYPHEN] * 2)
     out = _nested(out, [(s, names[s]) for s in "+=\\?/><:;'\""])
-    out = _regexes(out, [(r" \. " if literal else " . ", X.PERIOD)] * 2)
-    out = _nested(out, [(f" {X.PERIOD},", f"{X.PERIOD},")])
-    out = _regexes(out, [(r"([0-9])\.([0-9])", rf"\1{X.DECIMAL}\2")] * 2)
+    out = _regexes(out, [(r" \. " if literal else " . ", "_symbol_period_")] * 2)
+    out = _nested(out, [(" _symbol_period_,", "_symbol_period,")])
+    out = _regexes(out, [(r"([0-9])\.([0-9])", r"\1_symbol_decimal_\2")] * 2)
     out = _regexes(out, [(r"[^\p{L}\p{N},.\-]", "_")])
     out = _nested(out, [("__", "_")] * 2)
-    return _nested(out, [X.SPARE_COMMA] * 2)
+    return _nested(out, [SPARE_COMMA] * 2)
 
 
 # Views in order of dependency; a query names the ones it starts from.
@@ -163,7 +229,7 @@ def _token_view(source: str) -> str:
 VIEWS["tokens"] = _token_view("signed")
 VIEWS["tokens_both_ways"] = _token_view("both_ways")
 VIEWS["raw_tokens"] = (
-    f"SELECT *, regexp_extract_all(lower(text), {lit(X.RAW_TOKEN)}) AS tokens FROM signed"
+    f"SELECT *, regexp_extract_all(lower(text), {lit(RAW_TOKEN)}) AS tokens FROM signed"
 )
 VIEWS["topic_tokens"] = f"""
 SELECT *, list_filter(regexp_split_to_array(translate(translate(lower(text), {PUNCT}, repeat(' ', 32)), '0123456789', ''), {WS}),
@@ -319,8 +385,8 @@ VIEWS["term_notes"] = """
 SELECT term, count(*) AS notes FROM (SELECT DISTINCT note_id, unnest(tokens) AS term FROM topic_tokens) GROUP BY term"""
 VIEWS["document_frequency"] = f"""
 SELECT term, notes FROM term_notes
-WHERE notes >= {TP.NO_BELOW} AND notes <= (SELECT count(*) FROM topic_tokens) * CAST({TP.NO_ABOVE} AS DOUBLE)
-ORDER BY notes DESC, term LIMIT {TP.KEEP_TERMS}"""
+WHERE notes >= {NO_BELOW} AND notes <= (SELECT count(*) FROM topic_tokens) * CAST({NO_ABOVE} AS DOUBLE)
+ORDER BY notes DESC, term LIMIT {KEEP_TERMS}"""
 VIEWS["words"] = f"""
 SELECT term, CAST((rn - 1) % {COHERENCE_TOPICS} AS INTEGER) AS topic, CAST((rn - 1) // {COHERENCE_TOPICS} + 1 AS INTEGER) AS rank
 FROM (SELECT term, row_number() OVER (ORDER BY notes DESC, term) AS rn FROM document_frequency)
@@ -331,8 +397,8 @@ SELECT note_id, len(tokens) AS n, unnest(generate_series(1, len(tokens))) - 1 AS
 
 def _coherence(measure: str, score: str) -> str:
     """Brute force: list every window that holds a topic word, then count."""
-    w = CH.WINDOWS.get(measure)
-    top = CH.TOP_WORDS[measure]
+    w = WINDOWS.get(measure)
+    top = TOP_WORDS[measure]
     if w is None:
         seen = "SELECT DISTINCT note_id, 0 AS s, term FROM places WHERE term IN (SELECT term FROM best)"
         total = "SELECT count(*) FILTER (len(tokens) > 0) AS total FROM topic_tokens"
@@ -361,7 +427,7 @@ scored AS (SELECT topic, t1, t2, {score} AS score FROM pairs),
 """
 
 
-_JOINT = f"(n_both / total + {CH.EPSILON!r})"
+_JOINT = f"(n_both / total + {EPSILON!r})"
 UMASS = f"CASE WHEN n2 = 0 THEN 0.0 ELSE ln({_JOINT} / (n2 / total)) END"
 PMI = f"CASE WHEN n1 = 0 OR n2 = 0 THEN 0.0 ELSE ln({_JOINT} / ((n1 / total) * (n2 / total))) END"
 NPMI = f"CASE WHEN {_JOINT} >= 1 THEN 1.0 ELSE {PMI} / -ln({_JOINT}) END"
@@ -483,7 +549,7 @@ def oracles() -> dict[str, str]:
         "SELECT ngram, count(*) AS n FROM (SELECT unnest(tokens) AS ngram FROM raw_tokens) GROUP BY ngram",
         "raw_tokens",
     )
-    for layout in OUTPUT_ELEMENTS:
+    for layout in LAYOUTS:
         out[f"presence_{layout}"] = sql(
             _presence("unigrams", "top_unigrams", layout), "unigrams", "top_unigrams"
         )
@@ -509,19 +575,19 @@ def oracles() -> dict[str, str]:
         "SELECT count(DISTINCT empi) AS patients, count(*) AS features FROM presence_empi_expdate",
         "presence_empi_expdate",
     )
-    cells = ", ".join(f"max(span) FILTER (ngram = {lit(w)}) AS \"{w}\"" for w in WIDE_WORDS)
-    cast = ", ".join(f"CAST(\"{w}\" AS DOUBLE) AS \"{w}\"" for w in WIDE_WORDS)
-    wide = f"SELECT empi, expdate, {cast} FROM (SELECT empi, expdate, {cells} FROM presence_empi_expdate GROUP BY ALL)"
-    out["ngram_wide"] = sql(wide, "presence_empi_expdate")
+    whole = (
+        "SELECT empi, expdate, string_agg(ngram, ' ' ORDER BY ngram) AS ngrams, "
+        "string_agg(CAST(span AS VARCHAR), ' ' ORDER BY ngram) AS spans FROM presence_empi_expdate GROUP BY ALL"
+    )
+    out["ngram_wide"] = sql(whole, "presence_empi_expdate")
     out["ngram_attach"] = sql(
-        f"SELECT c.empi, c.expdate, w.* EXCLUDE (empi, expdate) FROM cohort c LEFT JOIN ({wide}) w "
+        f"SELECT c.empi, c.expdate, w.ngrams, w.spans FROM cohort c LEFT JOIN ({whole}) w "
         "ON c.empi = w.empi AND c.expdate = w.expdate",
         "cohort",
         "presence_empi_expdate",
     )
     out["ngram_wide_to_long"] = sql(
-        "SELECT empi, expdate, ngram AS feature, CAST(span AS DOUBLE) AS value FROM presence_empi_expdate "
-        f"WHERE ngram IN ({', '.join(lit(w) for w in WIDE_WORDS)})",
+        "SELECT empi, expdate, ngram AS feature, CAST(span AS DOUBLE) AS value FROM presence_empi_expdate",
         "presence_empi_expdate",
     )
 
@@ -532,6 +598,13 @@ def oracles() -> dict[str, str]:
         "SELECT empi, expdate, source, code || '_hdec' AS code, n, 1 AS value FROM codes WHERE source = 'mcr'",
         "codes",
     )
+    flags = ", ".join(f"max(CASE WHEN code = {lit(b)} THEN 1 END) AS \"{b}_hdec\"" for b in BRANDS)
+    out["code_matrices"] = sql(
+        f"SELECT c.empi, c.expdate, {flags} FROM cohort c LEFT JOIN (SELECT * FROM codes WHERE source = 'mcr') f "
+        "ON c.empi = f.empi AND c.expdate = f.expdate GROUP BY c.empi, c.expdate",
+        "cohort",
+        "codes",
+    )
     out["code_binary_hdec"] = sql(
         "SELECT empi, expdate, source, code || '_hdec' AS code, 1 AS value FROM codes", "codes"
     )
@@ -555,7 +628,7 @@ def oracles() -> dict[str, str]:
 
     line = (
         "concat(CAST(noteID AS VARCHAR), ',', term, ' , ', SNOMED_PrefTerm, ' - - ', module, ' (', rxcui, "
-        "') 1.2.3 \"', UMLS_CUI, '\" . , it''s 5% é & ', concept_id, '?/<>=+*~@:;\\ ,,')"
+        "') 1.2.3 \"', UMLS_CUI, '\" . , it''s 5% é & ', concept_id, '?/<>=+*~@:;\\ ,,  . ,,b')"
     )
     for name, clean in {
         "clean_delimiters": _clean_delimiters("line", True),
@@ -597,10 +670,19 @@ def oracles() -> dict[str, str]:
         "tagged",
     )
     view("no_terms", "without_terms")
-    grouped = " ".join(f"WHEN {int(p[3])} THEN {lit(c)}" for c, p in GROUPS)
+    out["term_tables"] = sql(
+        "SELECT f.*, coalesce(t.n, 0) AS total_entries, CASE WHEN frequency > 0 THEN 1 ELSE frequency END AS value "
+        "FROM term_frequency f LEFT JOIN (SELECT empi, expdate, count(*) AS n FROM tagged GROUP BY ALL) t "
+        "ON f.empi = t.empi AND f.expdate = t.expdate",
+        "term_frequency",
+        "tagged",
+    )
+    # Groups 0 and 1 of the Medicaid files, 1 and 2 of the Medicare ones; the third cohort takes group 3.
     out["mterms_of_group"] = sql(
-        "SELECT CASE WHEN noteID % 2 = 0 THEN 'Medicaid' ELSE 'Medicare' END AS dataset, "
-        f"CASE key % 4 {grouped} END AS cohort, count(*) AS n FROM mterms WHERE key % 4 < {len(GROUPS)} GROUP BY ALL",
+        "SELECT g.dataset, g.cohort, count(*) AS n FROM (VALUES ('Medicaid', 'cohort1', 0), ('Medicaid', 'cohort2', 1), "
+        "('Medicaid', 'cohort3', 3), ('Medicare', 'cohort1', 1), ('Medicare', 'cohort2', 2), ('Medicare', 'cohort3', 3)) "
+        "g(dataset, cohort, part) JOIN mterms ON key % 4 = g.part "
+        "AND g.dataset = CASE WHEN noteID % 2 = 0 THEN 'Medicaid' ELSE 'Medicare' END GROUP BY ALL",
         "mterms",
     )
 
@@ -715,9 +797,7 @@ def oracles() -> dict[str, str]:
         "mterms",
     )
     out["roundtrip_terms"] = sql(
-        "SELECT f.*, b.value FROM term_frequency f JOIN term_binary b USING (empi, expdate, family, feature)",
-        "term_frequency",
-        "term_binary",
+        "SELECT *, CASE WHEN frequency > 0 THEN 1 ELSE frequency END AS value FROM term_frequency", "term_frequency"
     )
     out["roundtrip_united"] = sql(
         "SELECT empi, outcome, NULL AS prior365_treatment_flag, 1 AS part FROM cohort UNION ALL "
@@ -725,19 +805,22 @@ def oracles() -> dict[str, str]:
         "cohort",
     )
     out["roundtrip_embeddings"] = sql(
-        "SELECT vec_id, document, round(embedding[1], 4) AS x, CAST(len(embedding) AS INTEGER) AS dim FROM vectors",
+        "SELECT vec_id, document, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS place, "
+        "round(CAST(unnest(embedding) AS DOUBLE), 4) + 0.0 AS x FROM vectors",
         "vectors",
     )
     out["roundtrip_sentences"] = sql(sentences, "notes")
+    both = [_presence("unigrams", "top_unigrams", "empi"), _presence("bigrams", "top_bigrams", "empi")]
     out["roundtrip_ngrams"] = sql(
-        _presence("bigrams", "top_bigrams", "empi"), "bigrams", "top_bigrams"
+        " UNION ALL ".join(f"SELECT * FROM ({x})" for x in both), "unigrams", "top_unigrams", "bigrams", "top_bigrams"
     )
-    half = len(WIDE_WORDS) // 2
     out["roundtrip_ngram_shards"] = sql(
         f"SELECT empi || CAST({sas} AS VARCHAR) AS empi_indexdt, ngram, CAST(span AS DOUBLE) AS value, "
-        f"CASE WHEN ngram IN ({', '.join(lit(w) for w in WIDE_WORDS[:half])}) THEN 'unigram_1.csv' ELSE 'unigram_2.csv' END AS source "
-        f"FROM presence_empi_expdate WHERE ngram IN ({', '.join(lit(w) for w in WIDE_WORDS)})",
+        f"CASE WHEN place <= {SHARD_WORDS // 2} THEN 'unigram_1.csv' ELSE 'unigram_2.csv' END AS source "
+        "FROM presence_empi_expdate JOIN (SELECT ngram, row_number() OVER (ORDER BY n DESC, ngram) AS place FROM unigram_counts) "
+        f"USING (ngram) WHERE place <= {SHARD_WORDS}",
         "presence_empi_expdate",
+        "unigram_counts",
     )
     view("roundtrip_topics", "topic_rows")
     out["roundtrip_topic_strings"] = sql(
@@ -774,8 +857,64 @@ def oracles() -> dict[str, str]:
         *sources,
     )
     out["covariates_sparse"] = sql(
-        "SELECT c.empi, c.expdate, CAST(count(f.feature) AS INTEGER) AS features, round(coalesce(sum(f.value), 0.0), 3) AS total "
-        f"FROM cohort c LEFT JOIN ({features}) f ON c.empi = f.empi AND c.expdate = f.expdate GROUP BY c.empi, c.expdate",
+        "SELECT c.empi, c.expdate, coalesce(string_agg(CAST(i.id AS VARCHAR), ' ' ORDER BY i.id), '') AS indices, "
+        "coalesce(string_agg(CAST(CAST(i.value AS BIGINT) AS VARCHAR), ' ' ORDER BY i.id), '') AS values FROM cohort c LEFT JOIN ("
+        f"SELECT f.empi, f.expdate, f.value, n.id FROM ({features}) f JOIN (SELECT family, feature, "
+        f"row_number() OVER (ORDER BY family, feature) - 1 AS id FROM (SELECT DISTINCT family, feature FROM ({features}))) n "
+        "ON f.family = n.family AND f.feature = n.feature) i ON c.empi = i.empi AND c.expdate = i.expdate GROUP BY c.empi, c.expdate",
         *sources,
     )
+    out.update(_models())
+    return out
+
+
+def _models() -> dict[str, str]:
+    """What must hold of fitted models, row by row."""
+    out = {}
+    out["fit_clusters"] = sql("SELECT vec_id, empi, document, true AS nearest FROM vectors", "vectors")
+    out["cluster_sweep"] = "SELECT * FROM (VALUES (5, 5, true), (20, 20, true), (100, 100, true)) v(k, clusters, cheaper)"
+    words = "least(20, (SELECT count(*) FROM document_frequency))"
+    out["fit_topics"] = sql(
+        f"SELECT t.topic::INTEGER AS topic, r.rank::INTEGER AS rank, true AS known, true AS falling FROM range(5) t(topic), "
+        f"range(1, 21) r(rank) WHERE r.rank <= {words}",
+        "document_frequency",
+    )
+    out["topic_terms"] = sql(
+        f"SELECT r::INTEGER AS topic_rank, true AS falling, {words}::INTEGER AS words FROM range(1, 6) t(r)",
+        "document_frequency",
+    )
+    out["topic_contributions"] = sql(
+        "SELECT note_id, empi, expdate, true AS falling, true AS floor, true AS bounded FROM signed", "signed"
+    )
+    out["cluster_job"] = sql("SELECT DISTINCT empi, true AS same, true AS inside FROM vectors", "vectors")
+    out["log_perplexity"] = "SELECT 5 AS k, true AS plausible"
+    out["topic_metrics"] = (
+        "SELECT 5 AS k, metric, topic::INTEGER AS topic, true AS known FROM (VALUES ('u_mass'), ('c_v'), ('c_uci'), ('c_npmi')) m(metric), "
+        "range(-1, 5) t(topic) UNION ALL SELECT 5, 'log_perplexity', -1, true"
+    )
+    out["topic_sweep"] = "SELECT k, true AS plausible, true AS scored FROM (VALUES (3), (5)) v(k)"
+    out["embed_word2vec"] = sql("SELECT note_id, empi, 16 AS dim, true AS finite FROM signed", "signed")
+    out["embed_tokens"] = sql(
+        "SELECT note_id, CAST(pos AS INTEGER) AS position, term AS token, 16 AS dim, true AS finite FROM places "
+        "WHERE term IN (SELECT term FROM places GROUP BY term HAVING count(*) >= 5)",
+        "places",
+    )
+    cut = f"string_split(regexp_replace(text, '([.!?])' || {WS}, '\\1' || chr(1), 'g'), chr(1))"
+    out["embed_sentences"] = sql(
+        "SELECT note_id, CAST(position AS INTEGER) AS position, 16 AS dim, true AS finite FROM (SELECT note_id, "
+        f"unnest(generate_series(0, len({cut}) - 1)) AS position, unnest({cut}) AS document FROM signed) "
+        "WHERE trim(document, ' ') <> ''",
+        "signed",
+    )
+    out["reuse_models"] = "SELECT 5 AS clusters, 3 AS topics"
+    out["covariates_modelled"] = sql(
+        "SELECT DISTINCT empi, expdate, 'topic' AS family, true AS inside FROM places JOIN signed USING (note_id) "
+        "WHERE term IN (SELECT term FROM document_frequency) UNION ALL "
+        "SELECT DISTINCT c.empi, c.expdate, 'sentence_cluster', true FROM cohort c JOIN vectors v ON c.empi = v.empi",
+        "places",
+        "signed",
+        "document_frequency",
+        "cohort",
+        "vectors",
+    )
     return out

@@ -40,7 +40,7 @@ def cohort(spark: SparkSession, folder: str) -> DataFrame:
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as notes of a hundred patients, around their index date."""
     documents = table(spark, folder, "documents").select("doc_id", "source", "text")
-    owned = scale.spread(documents, "doc_id").withColumn(
+    owned = documents.repartition("doc_id").withColumn(
         "empi", (F.col("doc_id") % 100).cast("string")
     )
     members = cohort(spark, folder).select("empi", "expdate", "p_id", "outcome")
@@ -59,7 +59,7 @@ def notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _order_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = scale.spread(table(spark, folder, "lineitem"), "l_orderkey")
+    lines = table(spark, folder, "lineitem").repartition("l_orderkey")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     parts = table(spark, folder, "part")
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(

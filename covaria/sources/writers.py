@@ -16,6 +16,12 @@ SENTENCE_ROWS = 1_000
 WORD_ROWS = 200_000
 
 
+def _replace(rows: DataFrame, path: str, *by: str) -> None:
+    """Write the partitions that ``rows`` has, in place of what they held; others stay."""
+    files = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    files.partitionBy(*by).parquet(path)
+
+
 def write_notes(notes: DataFrame, path: str, mode: str = "errorifexists") -> None:
     notes.write.mode(mode).parquet(path)
 
@@ -29,20 +35,21 @@ def write_note_extract(notes: DataFrame, path: str) -> None:
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+        .mode("overwrite")
         .csv(path)
     )
 
 
 def write_ngram_features(presence: DataFrame, path: str, n: int, csv_path: str | None = None) -> None:
     """Long features with their span, one partition per n; optional CSV copy."""
-    presence.withColumn("n", F.lit(n)).write.mode("append").partitionBy("n").parquet(path)
+    _replace(presence.withColumn("n", F.lit(n)), path, "n")
     if csv_path is not None:
-        presence.write.option("header", True).csv(f"{csv_path}/{n}gram")
+        presence.write.mode("overwrite").option("header", True).csv(f"{csv_path}/{n}gram")
 
 
 def write_topic_contributions(rows: DataFrame, path: str, k: int) -> None:
     """Topic lists as parquet, one partition per topic count."""
-    rows.withColumn("k", F.lit(k)).write.mode("append").partitionBy("k").parquet(path)
+    _replace(rows.withColumn("k", F.lit(k)), path, "k")
 
 
 def write_topic_strings(rows: DataFrame, path: str) -> None:
@@ -54,7 +61,7 @@ def write_topic_strings(rows: DataFrame, path: str) -> None:
         F.abs("days").alias("diff"),
         "notetype",
         P.topic_text(F.col("topic_contributions")).alias("topic_contributions"),
-    ).write.option("header", True).option("sep", "|").csv(path)
+    ).write.mode("overwrite").option("header", True).option("sep", "|").csv(path)
 
 
 def write_topic_lines(rows: DataFrame, path: str) -> None:
@@ -67,42 +74,43 @@ def write_topic_lines(rows: DataFrame, path: str) -> None:
         "notetype",
         P.topic_text(F.col("topic_contributions")),
     )
-    rows.select(line.alias("value")).write.text(path)
+    rows.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_embeddings(
     rows: DataFrame, path: str, rows_per_file: int = SENTENCE_ROWS, by: Sequence[str] = ()
 ) -> None:
-    rows.write.option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
+    files = rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    files.partitionBy(*by).parquet(path)
 
 
 def write_cluster_sets(sets: DataFrame, path: str, level: str, model: str, k: int) -> None:
     named = sets.withColumns({"level": F.lit(level), "model": F.lit(model), "k": F.lit(k)})
-    named.write.mode("append").partitionBy("level", "model", "k").parquet(path)
+    _replace(named, path, "level", "model", "k")
 
 
 def write_mterms(frequency: DataFrame, binary: DataFrame, path: str) -> None:
     """Long frequency and binary tables, one partition per feature kind."""
-    frequency.write.partitionBy("family").parquet(f"{path}/frequency")
-    binary.write.partitionBy("family").parquet(f"{path}/binary")
+    frequency.write.mode("overwrite").partitionBy("family").parquet(f"{path}/frequency")
+    binary.write.mode("overwrite").partitionBy("family").parquet(f"{path}/binary")
 
 
 def write_topic_matrices(
     raw: DataFrame, pooled: DataFrame, binary: DataFrame, path: str, k: int
 ) -> None:
     """Per-note, max-pooled and binarised matrices of one topic count."""
-    raw.write.parquet(f"{path}/k={k}/raw_unlisted")
-    pooled.write.parquet(f"{path}/k={k}/max_pooled")
-    binary.write.parquet(f"{path}/k={k}/binarized")
+    raw.write.mode("overwrite").parquet(f"{path}/k={k}/raw_unlisted")
+    pooled.write.mode("overwrite").parquet(f"{path}/k={k}/max_pooled")
+    binary.write.mode("overwrite").parquet(f"{path}/k={k}/binarized")
 
 
 def write_topic_reports(
     ranked: DataFrame, terms: DataFrame, metrics: DataFrame, path: str
 ) -> None:
     """Topics by coherence, topic words with weights, and topic metrics, as tables."""
-    ranked.write.parquet(f"{path}/topics")
-    terms.write.parquet(f"{path}/topic_terms")
-    metrics.write.parquet(f"{path}/topic_metrics")
+    ranked.write.mode("overwrite").parquet(f"{path}/topics")
+    terms.write.mode("overwrite").parquet(f"{path}/topic_terms")
+    metrics.write.mode("overwrite").parquet(f"{path}/topic_metrics")
 
 
 def finished(spark: SparkSession, path: str) -> bool:
@@ -132,5 +140,5 @@ def reused_model(spark: SparkSession, path: str, kind, fit: Callable[[], object]
 
 def write_cluster_report(stats: DataFrame, sample: DataFrame, path: str, k: int) -> None:
     """Text samples and sizes of each cluster, one folder per cluster count."""
-    stats.write.parquet(f"{path}/k={k}/stats")
-    sample.write.parquet(f"{path}/k={k}/sample")
+    stats.write.mode("overwrite").parquet(f"{path}/k={k}/stats")
+    sample.write.mode("overwrite").parquet(f"{path}/k={k}/sample")

@@ -116,10 +116,14 @@ def test_group_selection(spark):
     pathed = data.withColumn(
         "path", F.concat(F.when(F.col("key") < 2, "Medicaid").otherwise("Medicare"), F.lit("/g"), F.col("key") % 2)
     )
-    groups = spark.createDataFrame([("ppi", "g0"), ("avr", "g1")], "cohort string, pattern string")
-    pick = lambda p: rows(T.select_group(pathed, F.col("path"), F.lit(p), groups), "key")
-    assert pick("d/max_x/ppi/a.csv") == [(0,)]
-    assert pick("d/mcr_x/avr/a.csv") == [(3,)]
+    groups = {"Medicaid": {"ppi": "g0"}, "Medicare": {"ppi": "g1", "avr": "g1"}}
+    files = ["d/max_x/ppi/a.csv", "d/mcr_x/avr/a.csv", "d/max_x/other/a.csv"]
+    chosen = T.select_groups(pathed, F.col("path"), files, groups, "g1")
+    assert rows(chosen, "dataset", "cohort", "key") == [
+        ("Medicaid", "other", 1), ("Medicaid", "ppi", 0), ("Medicare", "avr", 3)
+    ]
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
 
 
 def test_wide_long_round_trip_and_sparse(spark):

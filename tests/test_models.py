@@ -16,6 +16,7 @@ from covaria.operators import embeddings as E
 from covaria.operators import matrix as M
 from covaria.operators import topics as TP
 from covaria.operators.cohort import note_window
+from covaria.plans import jobs as PL
 from covaria.sources import fixtures as FX
 from covaria.sources import readers as R
 from covaria.sources import writers as W
@@ -52,12 +53,6 @@ def test_clusters_of_blobs(spark, tmp_path):
     assert got.count() == 120
     assert got.select((F.col("vec_id") % 3).alias("b"), "cluster").distinct().count() == 3
     assert len(model.clusterCenters()) == 3
-    shards = [frame.where(F.col("vec_id") % 2 == s) for s in range(2)]
-    centres, seen = CL.minibatch_centres(shards, 3)
-    assert seen.sum() == 120
-    assert len(centres) == 3
-    with pytest.raises(ValueError):
-        CL.minibatch_centres([frame.limit(2)], 3)
     swept = rows(CL.cluster_sweep(frame, (2, 3)))
     assert swept[0][2] > swept[1][2]
 
@@ -91,13 +86,14 @@ def test_topic_model_invariants(spark):
     terms = TP.vocabulary_list(TP.document_frequency(tokens, 2, 0.9))
     assert len(terms) == 8
     vectors = TP.vectorised(tokens, terms)
-    model = TP.fit_topics(vectors, 2, passes=5, batch_notes=40)
+    model = TP.fit_topics(vectors, 2, passes=5)
     for row in TP.contributions(model, vectors).collect():
         weights = [t["weight"] for t in row["topic_contributions"]]
         assert sum(weights) <= 1 + 1e-9
         assert weights == sorted(weights, reverse=True)
         assert min(weights) >= TP.MIN_WEIGHT
-    again = TP.fit_topics(vectors, 2, passes=5, batch_notes=40)
+    again = TP.fit_topics(vectors, 2, passes=5)
+    assert TP.fit_topics(vectors, 2, optimizer="em", iterations=5).vocabSize() == 8
     same = lambda m: rows(m.describeTopics(3), "topic", "termIndices")
     assert same(model) == same(again)
     words = TP.topic_terms(model, terms, 4)
@@ -210,3 +206,26 @@ def test_fixture_sizes(spark, sf):
     assert FX.notes(spark, sf).count() == 200
     assert FX.code_events(spark, sf).count() == 6000
     assert FX.mterms(spark, sf).count() == 6000
+
+
+def test_jobs_and_writers_run_twice(spark, tmp_path):
+    frame = blobs(spark)
+    sets = [rows(PL.cluster_job(frame, 3, str(tmp_path / "c"))) for _ in range(2)]
+    assert sets[0] == sets[1]
+    features = spark.createDataFrame([("1", INDEX, "a", 3)], "empi string, expdate date, ngram string, span int")
+    for n in (1, 2, 1):
+        W.write_ngram_features(features, str(tmp_path / "n"), n)
+    assert R.read_ngrams(spark, str(tmp_path / "n"), 1).count() == 1
+    assert R.read_ngrams(spark, str(tmp_path / "n"), 2).count() == 1
+
+
+def test_a_loaded_topic_model_keeps_its_vocabulary(spark, tmp_path):
+    rng = random.Random(5)
+    pool = ["heart", "valve", "aorta", "pulse", "lung", "cough", "asthma", "sputum", "liver", "spleen"]
+    data = [(i, str(i % 6), "Car", i % 300, " ".join(rng.choices(pool, k=3))) for i in range(80)]
+    first = notes(spark, data)
+    PL.topic_job(first, JobConfig(), 2, str(tmp_path))
+    later = notes(spark, [(i, e, t, d, x.replace("heart", "kidney")) for i, e, t, d, x in data])
+    assert PL.topic_job(later, JobConfig(), 2, str(tmp_path)).count() == 80
+    words = {r["term"] for r in spark.read.parquet(f"{tmp_path}/k=2/topic_terms").collect()}
+    assert "kidney" not in words and words <= set(pool)

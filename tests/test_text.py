@@ -77,6 +77,7 @@ def test_topic_tokens_follow_their_definition(spark, text):
         ("a b", "a_b"),
         ("x (y)", "x_symbol_open_parenthesis_y_symbol_close_parenthesis_"),
         ("a z b", "a_symbol_period_b"),
+        ("1,x  . ,,b", "1,x_symbol_period,b"),
     ],
 )
 def test_clean_delimiters(spark, line, clean):
