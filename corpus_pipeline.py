@@ -34,15 +34,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of several rows with that doc_id the one of the smallest text stays.
     """
-    classes = staged(copies.near_duplicates(docs), "classes")
-    rejected = classes.where(~F.col("kept"))
-    repeated = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL")
-    kept = without(docs, rejected)
-    several = kept.join(repeated.select("doc_id"), "doc_id", "left_semi")
-    first = several.groupBy("doc_id").agg(
-        F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
-    )
-    return without(kept, repeated).unionByName(first.select("doc_id", "row.*").select(*COLUMNS))
+    classes = copies.near_duplicates(docs)
+    heads = staged(classes.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "heads")
+    # One shuffle of the texts, by doc_id, serves the join and the choice among repeated ids.
+    kept = docs.select(*COLUMNS).join(heads.hint("merge"), "doc_id", "left_semi")
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    first = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    unnamed = docs.where(F.col("doc_id").isNull()).select(*COLUMNS)
+    return first.select("doc_id", "row.*").select(*COLUMNS).unionByName(unnamed)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

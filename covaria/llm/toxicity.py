@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import sys
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
@@ -191,6 +192,10 @@ def unlike(documents: list[set[str]], bands: int = 3) -> list[set[str]]:
     return kept
 
 
+def _beginnings(words: set[str]) -> set[str]:
+    return {word[:size] for word in words for size in range(4, min(len(word), 10) + 1)}
+
+
 def _highest_share(toxic: list[set[str]], clean: list[set[str]]) -> float:
     """The share of toxic documents where it is highest: among those with some everyday word.
 
@@ -210,33 +215,31 @@ def landmarks_of(toxic: list[set[str]], clean: list[set[str]], most: int) -> lis
     It is lengthened as long as it keeps nearly all of its documents.
     """
     toxic = unlike(toxic)
-    hits: dict[str, set[int]] = defaultdict(set)
-    for i, words in enumerate(toxic):
-        for word in words:
-            for size in range(4, min(len(word), 10) + 1):
-                hits[word[:size]].add(i)
-    among = Counter(len(x) for x in hits.values())
+    hits: Counter = Counter()
+    for words in toxic:
+        hits.update(_beginnings(words))
+    among = Counter(hits.values())
     share = _highest_share(toxic, clean)
     least = next(a for a in range(2, 10**6) if sum(among.values()) * share**a < 0.01 or a > len(toxic))
-    hits = {k: v for k, v in hits.items() if len(v) >= least}
+    hits = Counter({k: n for k, n in hits.items() if n >= least})
     seen: Counter = Counter()
     for words in clean:
-        seen.update({w[:n] for w in words for n in range(4, min(len(w), 10) + 1)} & hits.keys())
+        seen.update(_beginnings(words) & hits.keys())
     # Far more toxic than the documents of any language are on the whole.
     wanted = max(LEAST_SHARE, min(0.9, 3 * share))
-    pure = {k: v for k, v in hits.items() if len(v) >= wanted * (len(v) + seen[k])}
+    pure = {k: n for k, n in hits.items() if n >= wanted * (n + seen[k])}
     longer = defaultdict(list)
     for k in pure:
         longer[k[:-1]].append(k)
     chosen: list[str] = []
-    for mark in sorted(pure, key=lambda k: (-len(pure[k]), k)):
+    for mark in sorted(pure, key=lambda k: (-pure[k], k)):
         if len(chosen) == most:
             break
         if any(mark.startswith(c) or c.startswith(mark) for c in chosen):
             continue
         while longer[mark]:
-            best = max(longer[mark], key=lambda k: (len(pure[k]), k))
-            if len(pure[best]) < 0.95 * len(pure[mark]):
+            best = max(longer[mark], key=lambda k: (pure[k], k))
+            if pure[best] < 0.95 * pure[mark]:
                 break
             mark = best
         chosen.append(mark)
@@ -359,7 +362,7 @@ def fold(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, clean_ratio: int = 3) -> dict:
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1000, clean_ratio: int = 3) -> dict:
     """Train on a bounded sample: at most ``per_class`` toxic documents, ``clean_ratio`` times as many others.
 
     The sample is the smallest hashes of doc_id among labelled rows outside the held-out
@@ -386,8 +389,8 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, clean_rati
 
     rows = texts.mapInPandas(words, "toxic int, words string").collect()
     groups: tuple[list, list] = ([], [])
-    for row in sorted(rows):
-        groups[row["toxic"]].append(set(row["words"].split()))
+    for mark, held in sorted(map(tuple, rows)):
+        groups[mark].append({sys.intern(w) for w in held.split()})
     return train(groups[1], groups[0])
 
 
