@@ -507,7 +507,9 @@ def term_tables(spark, sf):
 
 @query
 def no_terms(spark, sf):
-    return T.no_terms(_members(spark, sf), FX.mterms(spark, sf))
+    """Members without a negated adverse event, so that some have none."""
+    denied = FX.mterms(spark, sf).where("module = 'ade' AND negated_mod = 1")
+    return T.no_terms(_members(spark, sf), denied)
 
 
 @query

@@ -669,7 +669,11 @@ def oracles() -> dict[str, str]:
         "cohort",
         "tagged",
     )
-    view("no_terms", "without_terms")
+    out["no_terms"] = sql(
+        "SELECT empi, expdate FROM cohort EXCEPT SELECT empi, expdate FROM mterms WHERE module = 'ade' AND negated_mod = 1",
+        "cohort",
+        "mterms",
+    )
     out["term_tables"] = sql(
         "SELECT f.*, coalesce(t.n, 0) AS total_entries, CASE WHEN frequency > 0 THEN 1 ELSE frequency END AS value "
         "FROM term_frequency f LEFT JOIN (SELECT empi, expdate, count(*) AS n FROM tagged GROUP BY ALL) t "
