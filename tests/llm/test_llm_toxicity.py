@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from itertools import combinations
 
@@ -39,14 +40,15 @@ def test_scorer_is_the_trained_kernel_machine():
 
 
 def model():
-    clean = [{f"{a}{b}ing" for b in "bcdfgh"} | {"closer", "clown", "the"} for a in ("walk", "talk", "sing", "read", "mark", "bark")] * 20
-    clean = [c | {f"only{chr(97 + i % 26)}{chr(97 + i // 26)}"} for i, c in enumerate(clean)]
-    toxic = [{"gruffle", "walkbing", f"odd{chr(97 + i)}x"} for i in range(20)] + [{"snorkle", "talkcing", f"rar{chr(97 + i)}y"} for i in range(20)]
+    draw = random.Random(2)
+    word = lambda: "".join(draw.choices("bcdgmnprst", k=3)) + draw.choice(["ing", "ed", "er", "le"])
+    clean = [{word() for _ in range(20)} | {"closer", "the"} for _ in range(120)]
+    toxic = [{word() for _ in range(20)} | {"the", draw.choice(["gruffle", "snorkle"])} for _ in range(40)]
     return toxicity.train(toxic, clean)
 
 
 def test_gapped_and_inserted_insults(spark):
-    texts = ["you gruffle", "you gru-ffle!", "g r u f f l e", "you gruxffle", "snor.kle", "walkbing closer the", "", None]
+    texts = ["you gruffle", "you gru-ffle!", "g r u f f l e", "you gruxffle", "snorklle", "closer the banter", "", None]
     docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)] + [(None, "gruffle", 9), (0, "you gruffle", 9)], "doc_id long, text string, score int")
     rows = toxicity.scored(docs, model()).collect()
     scores = {r["doc_id"]: r["score"] for r in rows}
