@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covaria.llm.graph import components
-from covaria.llm.tables import WordHashes, batches, mixed, shingles, staged, words_of
+from covaria.llm.tables import WordHashes, batches, mixed, records, shingles, staged, words_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -130,11 +130,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
     def sign(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        stream = (
-            row
-            for batch in tables
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True)
-        )
+        stream = (row for batch in tables for row in records(batch, "doc_id", "text"))
         for group in batches(stream, 400, lambda r: len(r[1] or ""), 1 << 20):
             digests: list[bytes | None] = []
             bags = []
@@ -168,8 +164,7 @@ def bags(docs: DataFrame) -> DataFrame:
     def fill(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in tables:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("node", "text")), strict=True)
-            for group in batches(rows, 400, lambda r: len(r[1] or ""), 1 << 20):
+            for group in batches(records(batch, "node", "text"), 400, lambda r: len(r[1] or ""), 1 << 20):
                 elements = []
                 for _, text in group:
                     found, counts = weighted(hashes.of(words_of(text)))

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +67,13 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def records(batch: pa.RecordBatch, *names: str, width: int = 400) -> Iterator[tuple]:
+    """Rows of an Arrow batch as tuples, a few at a time, so that few texts are held twice."""
+    for at in range(0, batch.num_rows, width):
+        part = batch.slice(at, width)
+        yield from zip(*(part.column(name).to_pylist() for name in names), strict=True)
+
+
 def batches(rows: Iterator[tuple], width: int, weight, limit: int) -> Iterator[list[tuple]]:
     """Cut a stream of rows into lists of at most ``width`` rows or about ``limit`` weight."""
     held, load = [], 0

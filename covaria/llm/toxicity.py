@@ -37,7 +37,7 @@ DECAY = 0.6
 WINDOW = 16
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 CLEAN_WORDS = 30_000
 LEAST_SHARE = 0.4
 TOP_WORDS = 3
@@ -405,9 +405,9 @@ def scored(docs: DataFrame, model: dict, kept: Sequence[str] = ("doc_id",)) -> D
         scorer = Scorer(np.array(model["codes"], np.int64), np.array(model["weights"]), model["bias"])
         for batch in tables:
             out = []
-            texts = batch.column("_text").to_pylist()
-            for at in range(0, len(texts), 200):
-                out.append(scorer.texts([tokens_of(t) for t in texts[at : at + 200]]))
+            for at in range(0, batch.num_rows, 200):
+                texts = batch.column("_text").slice(at, 200).to_pylist()
+                out.append(scorer.texts([tokens_of(t) for t in texts]))
             scores = chance(model, np.concatenate([np.zeros((0, 3)), *out]))
             columns = [batch.column(c) for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*kept, "score"])

@@ -49,7 +49,7 @@ def model():
 
 def test_gapped_and_inserted_insults(spark):
     texts = ["you gruffle", "you gru-ffle!", "g r u f f l e", "you gruxffle", "snorklle", "closer the banter", "", None]
-    docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)] + [(None, "gruffle", 9), (0, "you gruffle", 9)], "doc_id long, text string, score int")
+    docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)] + [(None, "you gruffle", 9), (0, "you gruffle", 9)], "doc_id long, text string, score int")
     rows = toxicity.scored(docs, model()).collect()
     scores = {r["doc_id"]: r["score"] for r in rows}
     assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows)
