@@ -30,18 +30,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one of the smallest doc_id.
+    """One row of each class of near-duplicate texts stays: that of the smallest doc_id which holds one.
 
-    Of several rows with that doc_id the one of the smallest text stays.
+    Texts are classed by themselves, not by doc_id: the texts of a repeated doc_id are not
+    tied together, and each stays unless its own class has a row elsewhere. Null texts and
+    those without words are copies of nothing but equal rows of their doc_id.
     """
-    classes = copies.near_duplicates(docs)
-    heads = staged(classes.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "heads")
-    # One shuffle of the texts, by doc_id, serves the join and the choice among repeated ids.
-    kept = docs.select(*COLUMNS).join(heads.hint("merge"), "doc_id", "left_semi")
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    first = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    # A key for each doc_id and text; null texts have keys of their own.
+    marked = docs.select(*COLUMNS, F.xxhash64("doc_id", "text", F.col("text").isNull()).alias("key"))
+    named = marked.where(F.col("doc_id").isNotNull())
+    classes = copies.near_duplicates(named.select(F.col("key").alias("doc_id"), "text"))
+    classes = classes.select(F.col("doc_id").alias("key"), "class_id").distinct()
+    held = named.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    heads = held.join(classes, "key").groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("head"))
+    heads = staged(heads.select("head.key"), "heads")
+    # One shuffle of the texts, by key, serves the join and the choice among equal rows.
+    kept = named.join(heads.hint("merge"), "key", "left_semi")
+    first = kept.groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
     unnamed = docs.where(F.col("doc_id").isNull()).select(*COLUMNS)
-    return first.select("doc_id", "row.*").select(*COLUMNS).unionByName(unnamed)
+    return first.select("row.*").select(*COLUMNS).unionByName(unnamed)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,16 @@ def test_rows_without_and_with_the_same_id(spark, sf):
     assert corpus_pipeline.mix_sources(spark, docs, sf).count() >= 0
 
 
+def test_each_class_of_texts_keeps_a_row_that_holds_one(spark, sf):
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, None), (1, "one two three four five six"), (2, "one two three four five six"), (3, "red blue green grey pink teal"),
+            (3, long), (4, long + " end"), (4, long + " end"), (5, ""), (6, ""), (6, ""), (7, None), (7, None), (None, long)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in rows], table(spark, sf, "documents").schema)
+    got = corpus_pipeline.drop_copies(spark, docs, sf).collect()
+    want = [(1, None), (1, "one two three four five six"), (3, "red blue green grey pink teal"), (3, long), (5, ""), (6, ""), (7, None), (None, long)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_empty_table(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
