@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm import chat, contamination, copies, language, mixture, personal, tokens, toxicity, urls, vectors
+from covaria.llm import chat, contamination, copies, language, lines, mixture, personal, phrases, search, tokens, toxicity, urls, vectors
 from covaria.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,7 +142,8 @@ WITH d AS (
   SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
     CASE WHEN n BETWEEN 0 AND 4 THEN 'web' WHEN n BETWEEN 5 AND 9 THEN 'books' WHEN n BETWEEN 10 AND 14 THEN 'code' ELSE 'other' END AS domain,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	
-]+'), lambda x: x <> ''))::BIGINT AS n_tokens
+
+]+'), lambda x: x <> ''))::BIGINT AS n_tokens
   FROM (SELECT *, TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS n FROM documents)
 ), leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
 total AS (SELECT floor(sum(tokens) * 0.8::DOUBLE)::BIGINT AS given FROM leaves),
@@ -176,3 +177,84 @@ def op7_page_language(spark, sf_dir):
 @query
 def op10_near_vectors(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_collocations(spark, sf_dir):
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op11_collocations"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k
+), f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS p FROM f WHERE k >= 2 AND n >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, cut, l.n AS l, r.n AS r, (1000000::HUGEINT * c.a * c.a) // (l.n::HUGEINT * r.n) AS score
+  FROM c, (VALUES (1), (2)) AS places(cut)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.p[1:cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.p[cut+1:], ' ')
+  WHERE cut < c.k
+), s AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(p[1:2], ' ') AS phrase, a FROM c WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(p[2:3], ' '), a FROM c WHERE k = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM s LEFT JOIN longer USING (lang, phrase) WHERE s.k = 3 OR longer.a IS NULL OR 100 * longer.a < 50 * s.a
+), o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op12_ranked_search(spark, sf_dir):
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+ORACLES["op12_ranked_search"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS w FROM documents
+), sums AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark WHERE item_id IS NOT NULL
+), tf AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL
+), wt AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, sums GROUP BY term, docs
+), scored AS (
+  SELECT item_id, row, doc_id, sum(wt.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * docs) // terms))))::BIGINT AS score
+  FROM i JOIN wt USING (term) JOIN tf USING (term) JOIN d USING (row), sums WHERE doc_id IS NOT NULL GROUP BY ALL
+), o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+
+@query
+def op13_line_dedup(spark, sf_dir):
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_line_dedup"] = rf"""
+WITH l AS (
+  SELECT row, doc_id, unnest(w) AS line, unnest(range(len(w))) AS pos
+  FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents)
+), k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '{UPPER}', '{LOWER}') AS key FROM l),
+common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -1)) >= 10),
+m AS (SELECT k.*, common.key IS NOT NULL AS dropped FROM k LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY row, doc_id
+"""
