@@ -2,9 +2,9 @@
 
 The kernel compares two strings by their subsequences of three letters; a subsequence
 counts ``DECAY`` to the power of the stretch it spans, so letters put between those of an
-insult lower the match and do not end it. Landmarks are strings that mark toxic training
-documents, and frequent words of clean ones. A linear SVM is trained on the Nyström
-features of words. Because features are kernels with the landmarks, the trained SVM is
+insult lower the match and do not end it. The labelled texts give the words: those that hold
+a stretch of letters marking toxic texts, and all words of clean texts. A linear SVM is
+trained on the Nyström features of words; landmarks are marks and frequent clean words. Because features are kernels with the landmarks, the trained SVM is
 one weight per subsequence; scoring a word takes its own subsequences only.
 
 A text scores by its most toxic words, turned into a probability on training documents that
@@ -38,13 +38,17 @@ WINDOW = 16
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 MEMO_WORDS = 100_000
-CLEAN_WORDS = 30_000
 LEAST_SHARE = 0.4
+FALSE_MARKS = 0.3
+MARK_LETTERS = (3, 10)
+LANDMARKS = 512
+COMMON_WORDS = 64
 TOP_WORDS = 3
 SPLITS = 3
 # Signs that stand for letters.
 SIGNS = str.maketrans("013457@$!", "oieastasi")
-SPACED = re.compile(r"(?<!\S)(?:\S[\s.*_-]+){2,}\S(?!\S)")
+# Single letters and separators have no sign in common, so every text is read once.
+SPACED = re.compile(r"(?<!\S)[^\s.*_-](?:[\s.*_-]++[^\s.*_-](?![^\s.*_-])){2,}")
 
 
 def tokens_of(text: str | None) -> set[str]:
@@ -192,8 +196,38 @@ def unlike(documents: list[set[str]], bands: int = 3) -> list[set[str]]:
     return kept
 
 
-def _beginnings(words: set[str]) -> set[str]:
-    return {word[:size] for word in words for size in range(4, min(len(word), 10) + 1)}
+def parts_of(word: str) -> Iterator[str]:
+    """All stretches of a word with ``MARK_LETTERS`` letters; ``<`` and ``>`` are its ends."""
+    least, most = MARK_LETTERS
+    padded = f"<{word}>"
+    for at in range(len(padded)):
+        for end in range(at + least, min(len(padded), at + most + 2) + 1):
+            yield padded[at:end]
+
+
+def _frequent_parts(documents: list[set[str]]) -> Counter:
+    """Stretches in three documents or more; a longer one is counted only if both of its parts are."""
+    least, most = MARK_LETTERS
+    held: Counter = Counter()
+    alive: set[str] = set()
+    for size in range(least, most + 3):
+        level: Counter = Counter()
+        for words in documents:
+            found = {p[i : i + size] for p in (f"<{w}>" for w in words) for i in range(len(p) - size + 1)}
+            level.update(found if size == least else (p for p in found if p[1:] in alive and p[:-1] in alive))
+        alive = {p for p, n in level.items() if n > 2}
+        held.update({p: level[p] for p in alive if least <= len(p.strip("<>")) <= most})
+    return held
+
+
+def _documents_with(parts: Counter, documents: list[set[str]]) -> Counter:
+    known: dict[str, tuple[str, ...]] = {}
+    seen: Counter = Counter()
+    for words in documents:
+        for word in words - known.keys():
+            known[word] = tuple(p for p in parts_of(word) if p in parts)
+        seen.update({p for w in words for p in known[w]})
+    return seen
 
 
 def _highest_share(toxic: list[set[str]], clean: list[set[str]]) -> float:
@@ -208,42 +242,47 @@ def _highest_share(toxic: list[set[str]], clean: list[set[str]]) -> float:
     return max([*shares, len(toxic) / (len(toxic) + len(clean))])
 
 
-def landmarks_of(toxic: list[set[str]], clean: list[set[str]], most: int) -> list[str]:
-    """Strings that mark toxic documents: beginnings of words, none the beginning of another.
+def marks_of(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
+    """Stretches of letters that mark toxic documents, most frequent first; none lies in another.
 
-    A beginning must be too frequent in toxic documents for chance, and rare in clean ones.
-    It is lengthened as long as it keeps nearly all of its documents.
+    A stretch found in ``a`` documents must be so toxic that, were labels dealt by chance,
+    fewer than ``FALSE_MARKS`` of all stretches in so many documents would be. It is lengthened
+    as long as it keeps nearly all of its documents. Their number has no limit.
     """
     toxic = unlike(toxic)
-    hits: Counter = Counter()
-    for words in toxic:
-        hits.update(_beginnings(words))
-    among = Counter(hits.values())
     share = _highest_share(toxic, clean)
-    least = next(a for a in range(2, 10**6) if sum(among.values()) * share**a < 0.01 or a > len(toxic))
-    hits = Counter({k: n for k, n in hits.items() if n >= least})
-    seen: Counter = Counter()
-    for words in clean:
-        seen.update(_beginnings(words) & hits.keys())
+    hits = _frequent_parts(toxic)
+    seen = _documents_with(hits, clean)
+    among = Counter(n + seen[k] for k, n in hits.items())
     # Far more toxic than the documents of any language are on the whole.
     wanted = max(LEAST_SHARE, min(0.9, 3 * share))
     pure = {k: n for k, n in hits.items() if n >= wanted * (n + seen[k])}
+    pure = {k: n for k, n in pure.items() if among[n + seen[k]] * _tail(n, n + seen[k], share) < FALSE_MARKS}
     longer = defaultdict(list)
     for k in pure:
         longer[k[:-1]].append(k)
-    chosen: list[str] = []
+        longer[k[1:]].append(k)
+    chosen: set[str] = set()
+    covered: set[str] = set()
     for mark in sorted(pure, key=lambda k: (-pure[k], k)):
-        if len(chosen) == most:
-            break
-        if any(mark.startswith(c) or c.startswith(mark) for c in chosen):
+        if mark in covered:
             continue
         while longer[mark]:
             best = max(longer[mark], key=lambda k: (pure[k], k))
             if pure[best] < 0.95 * pure[mark]:
                 break
             mark = best
-        chosen.append(mark)
-    return chosen
+        inside = {mark[i:j] for i in range(len(mark)) for j in range(i + 3, len(mark) + 1)}
+        if chosen.isdisjoint(inside):
+            chosen.add(mark)
+        covered |= inside
+    return sorted(chosen, key=lambda k: (-pure[k], k))
+
+
+@lru_cache(maxsize=100_000)
+def _tail(hits: int, total: int, share: float) -> float:
+    """Chance that ``hits`` or more of ``total`` documents are toxic by chance."""
+    return sum(math.exp(math.lgamma(total + 1) - math.lgamma(k + 1) - math.lgamma(total - k + 1) + k * math.log(share) + (total - k) * math.log1p(-share)) for k in range(hits, total + 1))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
@@ -261,17 +300,17 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.n
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Slopes and offset of a sigmoid, with smoothed targets and a ridge on the slopes."""
-    pos, neg = y.sum(), (1 - y).sum()
+    pos, neg = (weight * y).sum(), (weight * (1 - y)).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     x = np.hstack([x, np.ones((len(x), 1))])
     pull = np.diag([*[ridge] * (x.shape[1] - 1), 1e-3])
     w = np.zeros(x.shape[1])
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) + pull @ w
-        hessian = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + pull
+        gradient = x.T @ (weight * (p - target)) + pull @ w
+        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + pull
         step = np.linalg.solve(hessian, gradient)
         w = w - step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
     return w
@@ -285,77 +324,93 @@ def chance(model: dict, features: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features @ np.array(slopes) + offset, -30, 30)))
 
 
-def train(toxic: list[set[str]], clean: list[set[str]], most: int = 64, seed: int = 7) -> dict:
+def train(
+    toxic: list[set[str]], clean: list[set[str]], seed: int = 7, counts: tuple[int, int] | None = None
+) -> dict:
     """Model from the words of toxic and clean documents; a constant one if it can learn nothing.
 
-    The sigmoid is fitted on documents that the SVM in use has not seen: ``SPLITS`` times
-    it is trained without every ``SPLITS``-th document, and these are scored.
+    ``counts`` are the toxic and the other labelled documents of which these are a sample; the
+    chances hold for them, whatever the ratio of the sample. The sigmoid is fitted on
+    documents that the SVM in use has not seen: ``SPLITS`` times it is trained without every
+    ``SPLITS``-th document, and these are scored.
     """
-    share = len(toxic) / max(1, len(toxic) + len(clean))
+    stand = counts or (len(toxic), len(clean))
+    share = stand[0] / max(1, sum(stand))
     toxic, clean = ([set(x) for x in sorted({tuple(sorted(w)) for w in group})] for group in (toxic, clean))
     features, truth = [np.zeros((0, 3))], [np.zeros(0)]
     for part in range(SPLITS):
         rest = [[w for i, w in enumerate(group) if i % SPLITS != part] for group in (toxic, clean)]
-        if (machine := _machine(*rest, most, seed)) is not None:
+        if (machine := _machine(*rest, seed)) is not None:
             for group, label in ((toxic, 1.0), (clean, 0.0)):
                 if group[part::SPLITS]:
                     features.append(Scorer(*machine).texts(group[part::SPLITS]))
                     truth.append(np.full(len(features[-1]), label))
-    machine = _machine(toxic, clean, most, seed)
+    machine = _machine(toxic, clean, seed)
     x, y = np.concatenate(features), np.concatenate(truth)
     if machine is None or len(set(y)) < 2:
         return {"codes": [], "weights": [], "bias": -1.0, "sigmoid": [0.0] * 4, "share": share}
     codes, weights, bias = machine
+    # Each document stands for as many labelled ones as the sample left out of its class.
+    weight = np.where(y > 0, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
     return {
         "codes": codes.tolist(), "weights": weights.tolist(), "bias": bias,
-        "sigmoid": _logistic(x, y).tolist(), "share": share,
+        "sigmoid": _logistic(x, y, weight).tolist(), "share": share,
     }
 
 
-def _machine(
-    toxic: list[set[str]], clean: list[set[str]], most: int, seed: int
-) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """The SVM as subsequence codes, their weights, and the bias; None without landmarks."""
-    marks = landmarks_of(toxic, clean, most) if toxic and clean else []
+def _machine(toxic: list[set[str]], clean: list[set[str]], seed: int) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """The SVM as subsequence codes, their weights, and the bias; None without a toxic word.
+
+    Toxic examples are all words of toxic documents that hold a mark anywhere and are seldom in
+    others; all other words of clean documents are clean examples. Landmarks are a basis only.
+    """
+    marks = marks_of(toxic, clean) if toxic and clean else []
     if not marks:
         return None
     draw = random.Random(seed)
     frequent = Counter(w for words in clean for w in words if ORDER <= len(w) <= WINDOW)
-    common = [w for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:most]]
-    begins = tuple(marks)
-    marked = Counter(w for words in toxic for w in words if w.startswith(begins) and len(w) <= WINDOW)
-    positive = sorted(w for w, n in marked.items() if n >= LEAST_SHARE * (n + frequent[w]))
+    marked = Counter(w for words in toxic for w in words if ORDER <= len(w) <= WINDOW)
+    held = set(marks)
+    positive = sorted(w for w, n in marked.items() if n >= LEAST_SHARE * (n + frequent[w]) and not held.isdisjoint(parts_of(w)))
+    marks = list(dict.fromkeys(mark.strip("<>") for mark in marks))
     varied = set()
     for mark in sorted({*marks, *draw.sample(positive, min(len(positive), 200))}):
         for place in range(1, len(mark)):
             varied.add((mark[:place] + draw.choice("abcdefghijklmnopqrstuvwxyz") + mark[place:])[:WINDOW])
     varied = sorted(varied - frequent.keys())
-    landmarks = [*marks, *common]
+    common = [w for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS]]
+    landmarks = list(dict.fromkeys([*marks[: LANDMARKS - COMMON_WORDS], *common]))
     square = _kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh(square + 1e-8 * np.eye(len(landmarks)))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    wanted = [*positive, *varied]
     negative = sorted(frequent.keys() - set(positive))
     draw.shuffle(negative)
-    negative = negative[:CLEAN_WORDS]
     features = lambda words: np.hstack([_kernel(words, landmarks) @ whiten, np.ones((len(words), 1))])
-    good, other = features(wanted), features(negative)
+    good = features([*positive, *varied])
     trained = np.zeros(len(negative), bool)
     trained[:5000] = True
+    other = features(negative[:5000])
     for _ in range(5):  # add the clean words that the last model takes for toxic
-        x = np.vstack([good, other[trained]])
-        y = np.r_[np.ones(len(good)), -np.ones(trained.sum())]
-        weight = np.r_[np.full(len(positive), 1.0), np.full(len(varied), 0.3), np.full(trained.sum(), 1.0)]
+        x = np.vstack([good, other])
+        y = np.r_[np.ones(len(good)), -np.ones(len(other))]
+        weight = np.r_[np.full(len(positive), 1.0), np.full(len(varied), 0.3), np.full(len(other), 1.0)]
         w = _svm(x, y, weight, 1e-2)
-        wrong = (other @ w > -0.9) & ~trained
+        machine = _weights(landmarks, whiten @ w[:-1], float(w[-1]))
+        wrong = (Scorer(*machine).words(negative) > -0.9) & ~trained
         if not wrong.any():
             break
         trained |= wrong
+        other = np.vstack([other, features([negative[i] for i in np.flatnonzero(wrong)])])
+    return machine
+
+
+def _weights(landmarks: list[str], shares: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """A weighted sum of kernels with landmarks as one weight per subsequence."""
     held = np.unique(np.concatenate([c.ravel() for _, c, _ in subsequences(landmarks)]))
     table = np.zeros(LETTERS**ORDER)
     for places, codes, values in subsequences(landmarks):
-        np.add.at(table, codes, values * (whiten @ w[:-1])[places][:, None])
-    return held, table[held], float(w[-1])
+        np.add.at(table, codes, values * shares[places][:, None])
+    return held, table[held], bias
 
 
 def fold(doc_id) -> F.Column:
@@ -367,7 +422,9 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1000, clean_rati
 
     The sample is the smallest hashes of doc_id among labelled rows outside the held-out
     fold; the labels of a doc_id count as toxic if one of them is. Only the distinct words
-    of these documents come to the driver.
+    of these documents come to the driver. The chances are those among all labelled rows.
+    A text is scored by words of ``ORDER`` letters or more; an insult is learned from three
+    toxic documents on, or more if the labels leave it in doubt (``marks_of``).
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -391,7 +448,8 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1000, clean_rati
     groups: tuple[list, list] = ([], [])
     for mark, held in sorted(map(tuple, rows)):
         groups[mark].append({sys.intern(w) for w in held.split()})
-    return train(groups[1], groups[0])
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return train(groups[1], groups[0], counts=(sizes.get(1, 0), sizes.get(0, 0)))
 
 
 def scored(docs: DataFrame, model: dict, kept: Sequence[str] = ("doc_id",)) -> DataFrame:

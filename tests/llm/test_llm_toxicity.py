@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from itertools import combinations
 
@@ -58,6 +59,78 @@ def test_gapped_and_inserted_insults(spark):
     assert toxicity.scored(docs.limit(0), model()).collect() == []
 
 
+def corpus(insults, n_toxic=1000, n_clean=3000, seed=3):
+    """Texts of everyday and of chance words; a toxic one has one insult, or one inside another word."""
+    draw = random.Random(seed)
+    syllable = lambda: draw.choice("bcdfglmnprst") + draw.choice("aeiou") + draw.choice(["", "n", "r", "s"])
+    common = ["".join(syllable() for _ in range(draw.randint(1, 3))) for _ in range(800)]
+    text = lambda: {draw.choice(common) for _ in range(25)} | {"".join(syllable() for _ in range(3)) for _ in range(6)}
+    toxic = [text() | {insults(draw)} for _ in range(n_toxic)]
+    return toxic, [text() for _ in range(n_clean)]
+
+
+def held_out(insults):
+    model = toxicity.train(*corpus(insults, seed=3))
+    toxic, clean = corpus(insults, 300, 900, seed=4)
+    scorer = toxicity.Scorer(np.array(model["codes"], np.int64), np.array(model["weights"]), model["bias"])
+    scores = toxicity.chance(model, scorer.texts(toxic + clean))
+    return (scores[:300] >= toxicity.THRESHOLD).mean(), (scores[300:] >= toxicity.THRESHOLD).mean()
+
+
+def test_many_insults():
+    draw = random.Random(5)
+    names = ["".join(draw.choices("hjkvwxyzqu", k=draw.randint(5, 8))) for _ in range(150)]
+    recall, false = held_out(lambda d: d.choice(names))
+    assert recall >= 0.9 and false <= 0.03
+
+
+def test_insults_of_three_letters():
+    recall, false = held_out(lambda d: d.choice(["zug", "vok", "jix", "wuz", "qep"]))
+    assert recall >= 0.9 and false <= 0.03
+
+
+def test_insults_inside_other_words():
+    draw = random.Random(6)
+    carriers = ["".join(draw.choices("abcdefgilmnoprst", k=6)) for _ in range(400)]
+    inside = lambda d: (lambda w, at: w[:at] + d.choice(["gruvk", "wozzek", "kwyj"]) + w[at:])(d.choice(carriers), d.randint(0, 6))
+    recall, false = held_out(inside)
+    assert recall >= 0.9 and false <= 0.03
+
+
+def test_chances_are_those_of_all_labelled_rows():
+    toxic, clean = corpus(lambda d: d.choice(["gruvk", "wozzek"]), 200, 600)
+    even = toxicity.train(toxic, clean)
+    rare = toxicity.train(toxic, clean, counts=(200, 60_000))
+    assert rare["share"] < 0.01 < even["share"] and rare["sigmoid"][-1] < even["sigmoid"][-1]
+
+
+def test_scores_equal_a_plain_kernel_machine(spark):
+    """The score of a text from its words, by enumeration of subsequences."""
+    made = model()
+    weights = dict(zip(made["codes"], made["weights"], strict=True))
+    code = lambda k: int(np.array([[toxicity._letters([c])[0] for c in k]]) @ [toxicity.LETTERS**2, toxicity.LETTERS, 1])
+
+    def margin(word):
+        held = spread(word)
+        norm = np.sqrt(sum(v * v for v in held.values())) or 1.0
+        return made["bias"] + sum(v * weights.get(code(k), 0.0) for k, v in held.items()) / norm
+
+    for text in ("you gruffle", "closer the banter", "a snorxkle of it", "", "of a"):
+        margins = sorted((max(map(margin, toxicity.strings_of(t))) for t in toxicity.tokens_of(text)), reverse=True)
+        top = (margins + [min(made["bias"], -1.0)] * 4)[:4]
+        features = [top[0], np.mean(top[1:]), sum(m > 0 for m in margins) / np.log(np.e + len(margins))]
+        want = 1 / (1 + np.exp(-(np.dot(features, made["sigmoid"][:3]) + made["sigmoid"][3])))
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert abs(toxicity.scored(frame, made).first()["score"] - want) < 1e-9
+
+
+def test_ruled_lines_are_read_once():
+    for line in ("." * 10_000 + "12", "-" * 10_000 + "ab", "_" * 10_000 + "x", ". " * 10_000 + "ab", "a." * 10_000 + "bc"):
+        start = time.perf_counter()
+        toxicity.tokens_of(line)
+        assert time.perf_counter() - start < 0.1
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
