@@ -27,20 +27,37 @@ from pyspark.sql import functions as F
 
 from covaria.llm.tables import staged
 
-HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
+OPENS = re.compile(r"<(?:(?ai:(script|style|noscript|template))\b|!--)")
+CLOSES = {None: re.compile("-->")} | {n: re.compile(rf"</(?ai:{n})\s*>") for n in ("script", "style", "noscript", "template")}
 TAG = re.compile(r"(?s)<[^>]*>")
 LETTERS = re.compile(r"[^\W\d_]+")
 # Text evidence counts as at most so many trigrams: neighbouring ones are not independent.
 MOST_TRIGRAMS = 60
 MEMO_WORDS = 200_000
-MARKUP = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
+MARKUP = r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
 
 
 def visible(markup: str | None) -> str:
-    """Text of a page without tags, scripts, styles and comments, entities resolved."""
+    """Text of a page without tags, scripts, styles and comments, entities resolved.
+
+    What opens and is never closed stays; the page is read once for each kind of closing tag.
+    """
     if not markup:
         return ""
-    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", markup)))
+    parts, at, kept, unclosed = [], 0, 0, set()
+    while found := OPENS.search(markup, at):
+        kind = found[1] and found[1].lower()
+        close = None if kind in unclosed else CLOSES[kind].search(markup, found.end())
+        at = close.end() if close else found.end()
+        if close:
+            parts.append(markup[kept : found.start()])
+            kept = at
+        else:
+            unclosed.add(kind)
+    shown = " ".join([*parts, markup[kept:]])
+    # Beyond the last end of a tag none is closed.
+    last = shown.rfind(">") + 1
+    return html.unescape(TAG.sub(" ", shown[:last]) + shown[last:])
 
 
 def trigrams(word: str) -> list[str]:

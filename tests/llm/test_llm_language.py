@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import html
+import random
+import re
+import time
+
 import pytest
 from covaria.llm import language
 from covaria.llm.queries import QUERIES
@@ -61,6 +66,26 @@ def test_markup_and_text_of_pages():
     assert language.trigrams("Ab") == [" ab", "ab "]
 
 
+def test_hostile_pages_are_read_once():
+    plain = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
+    draw = random.Random(1)
+    parts = ["<script", "</script>", "<!--", "-->", "<style x>", "</STYLE >", "<p>", "<", ">", " a ", "<scripted>", "<b", "&lt;"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 12)))
+        assert language.visible(text) == html.unescape(re.sub(r"(?s)<[^>]*>", " ", plain.sub(" ", text)))
+    for bad in ("<script ", "<!-- ", "<", "<style><", "</script", "<html lang "):
+        start = time.perf_counter()
+        language.visible(bad * (160_000 // len(bad)))
+        assert time.perf_counter() - start < 0.5
+
+
+def test_markup_language_of_hostile_pages(spark, model):
+    rows = [(1, "https://a.example.de/", "<html " * 30_000), (2, "https://a.example.de/", "<HTML class=x lang = 'DE'>"), (3, "x", "<html lang=" + " " * 100_000)]
+    start = time.perf_counter()
+    got = {r["page_id"]: r["declared"] for r in language.fused(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    assert got[2] == "de" and time.perf_counter() - start < 60
+
+
 def test_query_agrees_with_most_declarations(spark, sf):
     rows = QUERIES["op7_page_language"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
