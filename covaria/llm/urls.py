@@ -75,15 +75,18 @@ def mine(
 ) -> DataFrame:
     """(rule_id, items, confidence, support) of combinations that mark bad URLs.
 
-    ``labelled`` has (items, bad). Equal baskets stay apart: FP-growth counts them. A rule
-    goes if part of its items is a rule of at least its confidence.
+    ``labelled`` has (items, bad). ``min_support`` is a share of the bad baskets, so how many
+    others are labelled does not matter. Equal baskets stay apart: FP-growth counts them. A
+    rule goes if part of its items is a rule of at least its confidence.
     """
+    sums = labelled.agg(F.count_if("bad").alias("bad"), F.count(F.lit(1)).alias("all")).first()
+    share = sums["bad"] / max(1, sums["all"])
     baskets = labelled.select(
         F.when(F.col("bad"), F.concat(F.col("items"), F.array(F.lit(BAD))))
         .otherwise(F.col("items"))
         .alias("items")
     )
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min_support * share, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BAD))
     kept = rules.where(F.col("lift") >= min_lift).select(
         F.array_sort("antecedent").alias("items"), "confidence", "support"
@@ -138,14 +141,15 @@ def judged(
     pages: DataFrame,
     labels: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
-    min_support: float = 0.002,
+    min_support: float = 0.004,
     min_confidence: float = 0.5,
     min_lift: float = 1.5,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url).
 
     The longest stated rule that fits decides; else a page is blocked if it holds a mined
-    combination, and allowed if not. ``labels`` (page_id, bad) marks URLs to learn from;
+    combination, and allowed if not. ``labels`` (page_id, bad) marks URLs to learn from; a
+    combination counts if ``min_support`` of the bad pages have it;
     with no bad label nothing is mined. Null URLs and those without ``://`` have an empty
     host and path. Repeated rows and null ids have rows of their own; other columns are
     ignored.
@@ -154,14 +158,15 @@ def judged(
     read = pages.select(F.col("page_id").cast("long"), url.alias("url"))
     read = read.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     items = tokens(F.coalesce("url", F.lit("")), F.col("host"), F.col("path"))
-    full = read.withColumn("items", items).withColumn("page_key", F.xxhash64(F.to_json("items")))
+    full = read.withColumn("items", items).withColumn("page_key", F.md5(F.to_json("items").cast("binary")))
     marked = labels.select(F.col("page_id").cast("long"), F.col("bad").cast("boolean"))
     marked = marked.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     learn = full.select("page_id", "items").join(marked, "page_id")
     found = matched(full.dropDuplicates(["page_key"]), mine(learn, min_support, min_confidence, min_lift))
     stated = stated_rule(F.col("host"), F.col("path"), rules)
     blocked = found.select("page_key", F.lit(True).alias("mined"))
-    out = full.join(blocked, "page_key", "left").withColumn("stated", stated)
+    # Pages of one kind share a key, so a key may hold a third of all pages.
+    out = scale.salted_join(full, blocked, ["page_key"], F.xxhash64("url", "page_id"), "left").withColumn("stated", stated)
     verdict = F.when(F.col("mined"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(
         "page_id",
