@@ -38,6 +38,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     # A key for each doc_id and text; null texts have keys of their own.
     marked = docs.select(*COLUMNS, F.xxhash64("doc_id", "text", F.col("text").isNull()).alias("key"))
+    # Two texts may share a key by chance; they would be in one class, and the digest keeps both rows.
+    marked = marked.withColumn("digest", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text").cast("binary")))
     named = marked.where(F.col("doc_id").isNotNull())
     classes = copies.near_duplicates(named.select(F.col("key").alias("doc_id"), "text"))
     classes = classes.select(F.col("doc_id").alias("key"), "class_id").distinct()
@@ -46,7 +48,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     heads = staged(heads.select("head.key"), "heads")
     # One shuffle of the texts, by key, serves the join and the choice among equal rows.
     kept = named.join(heads.hint("merge"), "key", "left_semi")
-    first = kept.groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    first = kept.groupBy("key", "digest").agg(F.min(F.struct(*COLUMNS)).alias("row"))
     unnamed = docs.where(F.col("doc_id").isNull()).select(*COLUMNS)
     return first.select("row.*").select(*COLUMNS).unionByName(unnamed)
 
