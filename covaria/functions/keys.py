@@ -29,6 +29,15 @@ def empi_indexdt(empi: Column, expdate: Column) -> Column:
     return F.concat(empi.cast("string"), sas_date(expdate).cast("string"))
 
 
+def split_empi_indexdt(key: Column) -> tuple[Column, Column]:
+    """Participant and index date of an ``empi_indexdt`` key.
+
+    The SAS date takes the last five digits, as it does from May 1987 to October 2233.
+    """
+    days = F.right(key, F.lit(5)).cast("int")
+    return F.substring(key, F.lit(1), F.length(key) - 5), F.date_add(F.lit(SAS_EPOCH).cast("date"), days)
+
+
 def empi_exp_date(empi: Column, expdate: Column) -> Column:
     return F.concat(empi.cast("string"), F.date_format(expdate, "MMddyyyy"))
 

@@ -8,31 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from covaria.functions import keys as K
 from covaria.functions import parse as P
 from covaria.functions import text as X
+from covaria.sources import records, wide
 from covaria.sources import schemas as S
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """Note extracts: every ``*.csv`` below ``path``, quoted text with line breaks.
 
-    A multi-line CSV file is one task, so convert large extracts once with
-    ``write_notes`` and read those. ``note_id`` comes from the file split and the
-    place in it: unique, and the same again for the same files.
+    A file is read by as many tasks as it has slices (``records.csv_records``). ``note_id``
+    comes from the place of the file by name and the byte at which the note begins: the
+    same for the same files, however they were cut.
     """
-    rows = (
-        spark.read.schema(S.NOTES)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("dateFormat", "yyyy-MM-dd")
-        .option("maxCharsPerColumn", -1)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .csv(path)
-    )
-    return rows.withColumn("note_id", F.monotonically_increasing_id())
+    rows = records.csv_records(spark, path)
+    number = records.record_number(F.col("file_number"), F.col("offset"))
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.NOTES.fields)
+    options = {"quote": '"', "escape": '"', "dateFormat": "yyyy-MM-dd", "maxCharsPerColumn": "-1", "multiLine": "true"}
+    # The record is parsed with the line breaks it has.
+    parsed = F.from_csv(F.col("record"), columns, {**options, "lineSep": "\x01"})
+    return rows.select(parsed.alias("row"), number.alias("note_id")).select("row.*", "note_id")
+
+
+def listed_files(spark: SparkSession, paths: Sequence[str], end: str = ".csv") -> list[str]:
+    """Files below the paths, which may have wildcards, by a listing on the driver."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for path in map(hadoop.Path, paths):
+        store = path.getFileSystem(settings)
+        for status in store.globStatus(path) or ():
+            files = store.listFiles(status.getPath(), True)
+            while files.hasNext():
+                found.append(files.next().getPath().toString())
+    return sorted(name for name in set(found) if name.endswith(end))
 
 
 def read_cohort(
@@ -44,48 +54,37 @@ def read_cohort(
 ) -> DataFrame:
     """Cohort files whose path names the cohort and the dataset (``mcr`` or ``max``).
 
-    Types are inferred, except that keys stay text and so keep leading zeros.
+    The files are chosen by name before any is opened, so no other file is read. Types are
+    inferred from the chosen ones, except that keys stay text and so keep leading zeros.
     """
-    chosen = paths if isinstance(paths, str) else list(paths)
+    given = [paths] if isinstance(paths, str) else list(paths)
+    chosen = [name for name in listed_files(spark, given) if cohort in name and dataset in name]
+    if not chosen:
+        raise ValueError(f"no file of {cohort} and {dataset} below {given}")
     reader = spark.read.option("header", True)
     inferred = reader.option("inferSchema", True).csv(chosen).schema
     fields = [
         T.StructField(f.name, T.StringType() if f.name in keys else f.dataType)
         for f in inferred.fields
     ]
-    path = F.input_file_name()
-    rows = reader.schema(T.StructType(fields)).csv(chosen)
-    return rows.where(path.contains(cohort) & path.contains(dataset))
-
+    return reader.schema(T.StructType(fields)).csv(chosen)
 
-def read_code_frequencies(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Wide code counts, one file per dimension, as (key, code, n, source)."""
-    return _wide_files(spark, paths, "code", "n", "bigint")
 
+def read_code_frequencies(spark: SparkSession, paths: Sequence[str], key: str = wide.KEY) -> DataFrame:
+    """Wide code counts, one file per dimension, as (key, code, n, source); cells without a count have no row."""
+    return wide.read_wide(spark, paths, "code", "n", "bigint", key)
 
-def read_ngram_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Wide n-gram shards (``unigram_1.csv`` and so on) as (key, ngram, value, source)."""
-    return _wide_files(spark, paths, "ngram", "value", "double")
 
+def read_code_counts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Counted files as (empi, expdate, code, n, source), as counts of events are."""
+    rows = read_code_frequencies(spark, paths)
+    empi, expdate = K.split_empi_indexdt(F.col(wide.KEY))
+    return rows.select(empi.alias("empi"), expdate.alias("expdate"), "code", "n", "source")
 
-def _wide_files(
-    spark: SparkSession, paths: Sequence[str], name: str, value: str, kind: str
-) -> DataFrame:
-    """Long rows of wide files. Each has columns of its own, so it is unpivoted first.
 
-    The key is the first column and stays text.
-    """
-    parts = []
-    for path in paths:
-        frame = spark.read.option("header", True).csv(path)
-        key, *names = frame.columns
-        wide = frame.select(key, *[F.col(f"`{c}`").cast(kind).alias(c) for c in names])
-        cells = wide.unpivot([key], [F.col(f"`{c}`") for c in names], name, value)
-        parts.append(cells.withColumn("source", F.lit(path.rstrip("/").rsplit("/", 1)[-1])))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def read_ngram_shards(spark: SparkSession, paths: Sequence[str], key: str = wide.KEY) -> DataFrame:
+    """Wide n-gram shards (``unigram_1.csv`` and so on) as (key, ngram, value, source)."""
+    return wide.read_wide(spark, paths, "ngram", "value", "double", key)
 
 
 def read_mterms(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

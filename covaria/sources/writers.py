@@ -8,8 +8,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covaria.functions import keys as K
 from covaria.functions import parse as P
+from covaria.operators import scale
 from covaria.sources import schemas as S
+from covaria.sources import wide
 
 # Rows per file of sentence and word embeddings.
 SENTENCE_ROWS = 1_000
@@ -47,6 +50,20 @@ def write_ngram_features(presence: DataFrame, path: str, n: int, csv_path: str |
         presence.write.mode("overwrite").option("header", True).csv(f"{csv_path}/{n}gram")
 
 
+def write_ngram_shards(
+    features: DataFrame, vocabulary: DataFrame, path: str, stem: str = "unigram", width: int = 1000
+) -> None:
+    """The whole n-gram matrix as wide shards ``unigram_1.csv`` and so on, most frequent n-grams first."""
+    named = vocabulary.withColumnRenamed("ngram", "feature")
+    ranked = scale.numbered(
+        named.withColumn("_all", F.lit(0)), ["_all"], [F.col("n").desc(), F.col("feature")], "rank", 1
+    )
+    keyed = features.select(
+        K.empi_indexdt(F.col("empi"), F.col("expdate")).alias(wide.KEY), "feature", "value"
+    )
+    wide.write_blocks(keyed, ranked.select("feature", "rank"), path, stem, width=width)
+
+
 def write_topic_contributions(rows: DataFrame, path: str, k: int) -> None:
     """Topic lists as parquet, one partition per topic count."""
     _replace(rows.withColumn("k", F.lit(k)), path, "k")
