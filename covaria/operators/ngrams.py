@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covaria.functions import keys as K
 from covaria.functions import text as X
 from covaria.operators import scale
 
+GRAM = 3  # signs of the pieces by which substrings are found
 NOTE_KEYS = ("note_id", "empi", "expdate", "notedate", "notetype", "days")
 
 # Key columns of each output layout.
@@ -100,17 +101,36 @@ def token_presence(
     return _presence(matches, layout)
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The different pieces of ``size`` signs, as many as the text is long at most."""
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    pieces = F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
 def _pieces_of_one(vocabulary: DataFrame, named: DataFrame) -> DataFrame:
-    """Chunks with each feature-length piece of them."""
-    lengths = named.select(F.length("feature").alias("size")).distinct()
-    sizes = lengths.agg(F.array_sort(F.collect_list("size")).alias("sizes")).scalar()
-    cuts = vocabulary.withColumn("size", F.explode_outer(sizes))
-    cuts = cuts.where(F.col("size") <= F.length("chunk"))
-    starts = F.sequence(F.lit(1), F.length("chunk") - F.col("size") + 1)
-    cuts = cuts.withColumn("start", F.explode_outer(starts))
-    piece = F.substr(F.col("chunk"), F.col("start"), F.col("size"))
-    pieces = cuts.select("chunk", piece.alias("feature"))
-    return scale.sized_join(pieces, named, ["feature"], F.col("chunk"), "left_semi")
+    """Chunks with each feature inside them, found by the feature's rarest piece of ``GRAM`` signs.
+
+    Shorter features are looked up among the chunk's pieces of their length. A chunk has
+    fewer than ``GRAM`` pieces for each of its signs, whatever the features.
+    """
+    features = F.col("feature")
+    parts = scale.exploded(named.where(F.length(features) >= GRAM), ["feature"], _grams(features, GRAM), "gram")
+    held = scale.exploded(vocabulary, ["chunk"], _grams(F.col("chunk"), GRAM), "gram")
+    held = scale.sized_join(held, parts.select("gram").distinct(), ["gram"], F.col("chunk"), "left_semi")
+    held = scale.staged(held, "chunk-grams")
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A feature with a piece that no chunk has lies in none.
+    rarest = parts.join(counts, "gram", "left").groupBy("feature").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram")
+    )
+    long = scale.sized_join(held, rarest, ["gram"], F.col("chunk"))
+    found = long.where(F.contains("chunk", "feature")).select("chunk", "feature")
+    for size in range(1, GRAM):
+        pieces = scale.exploded(vocabulary, ["chunk"], _grams(F.col("chunk"), size), "feature")
+        short = named.where(F.length(features) == size)
+        found = found.unionByName(scale.sized_join(pieces, short, ["feature"], F.col("chunk"), "left_semi"))
+    return found
 
 
 def _pieces_of_many(vocabulary: DataFrame, named: DataFrame, n: int) -> DataFrame:
