@@ -5,8 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml.clustering import KMeansModel, LocalLDAModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,10 +19,12 @@ from covaria.operators import codes as CO
 from covaria.operators import coherence as CH
 from covaria.operators import cohort as C
 from covaria.operators import embeddings as E
+from covaria.operators import indexing as RI
 from covaria.operators import matrix as M
 from covaria.operators import ngrams as N
 from covaria.operators import scale
 from covaria.operators import terms as T
+from covaria.operators import topic_table as TT
 from covaria.operators import topics as TP
 from covaria.plans import jobs as PL
 from covaria.sources import fixtures as FX
@@ -37,7 +38,8 @@ QUERIES: dict[str, Query] = {}
 TOP_K = 20_000
 TOPICS = 10
 WORDS_PER_TOPIC = 40
-SHARD_WORDS = 40
+TABLE_TOPICS = 5
+TABLE_STEPS = 4
 COHERENCE_TOPICS = 5
 # Groups of term files by dataset and cohort; cohorts not listed take the default group.
 GROUPS = {
@@ -585,30 +587,24 @@ def cluster_matrix(spark, sf):
 
 @query
 def cluster_job(spark, sf):
-    """The job run twice on one path: the second run loads the model and gives the same sets."""
+    """The job run twice on one path: the second run loads the model."""
     path = _folder(spark, "cluster-job")
-    once, again = (PL.cluster_job(FX.vectors(spark, sf), TOPICS, path) for _ in range(2))
-    both = once.join(again.withColumnRenamed("cluster", "later"), "empi")
-    inside = F.forall("cluster", lambda c: c.between(0, TOPICS - 1))
-    return both.select("empi", (F.col("cluster") == F.col("later")).alias("same"), inside.alias("inside"))
+    for _ in range(2):
+        sets = PL.cluster_job(FX.vectors(spark, sf), TOPICS, path)
+    return sets
 
 
 @query
 def fit_clusters(spark, sf):
     vectors = FX.vectors(spark, sf)
     model = CL.fit_clusters(vectors, TOPICS)
-    centres = CL.centre_table(spark, model.clusterCenters())
-    nearest = CL.assign_clusters(CL.predicted(model, vectors).withColumnRenamed("cluster", "given"), centres)
-    same = F.col("given") == F.col("cluster")
-    return nearest.select("vec_id", "empi", "document", same.alias("nearest"))
+    return CL.predicted(model, vectors).select("vec_id", "empi", "document", "cluster")
 
 
 @query
 def cluster_sweep(spark, sf):
-    """Cost by cluster count: each count is met and costs less than the one before."""
-    costs = CL.cluster_sweep(FX.vectors(spark, sf), (5, 20, 100))
-    before = F.lag("cost").over(Window.orderBy("k"))
-    return costs.select("k", "clusters", F.coalesce(F.col("cost") < before, F.lit(True)).alias("cheaper"))
+    """Cost by cluster count over the default counts, as far as there are vectors."""
+    return CL.cluster_sweep(FX.vectors(spark, sf))
 
 
 # --- topics -------------------------------------------------------------------
@@ -728,60 +724,39 @@ def _fitted(spark, sf, k=5, passes=10):
 
 @query
 def fit_topics(spark, sf):
-    """Words of each topic: all are of the vocabulary, in order of their weights."""
-    tokens, terms, _, model = _fitted(spark, sf)
-    words = TP.topic_terms(model, terms, 20)
-    known = TP.document_frequency(tokens).select("term", F.lit(True).alias("known"))
-    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
-    falling = F.coalesce(F.col("weight") <= before, F.lit(True))
-    marked = words.withColumn("falling", falling).join(known, "term", "left")
-    return marked.select("topic", "rank", "known", "falling")
+    """The heaviest words of each topic with their weights."""
+    _, terms, _, model = _fitted(spark, sf)
+    return TP.topic_terms(model, terms, 20)
 
 
 @query
 def topic_terms(spark, sf):
     """Top words of each topic, topics ranked by coherence."""
     tokens, terms, _, model = _fitted(spark, sf)
-    words = scale.staged(TP.topic_terms(model, terms, 20), "topic-terms")
-    ranked = PL.ranked_topics(tokens, words)
-    before = F.lag("coherence").over(Window.orderBy("topic_rank"))
-    falling = F.coalesce(F.col("coherence") <= before, F.lit(True))
-    return ranked.select("topic_rank", falling.alias("falling"), F.size(F.split("words", ", ")).alias("words"))
+    return PL.ranked_topics(tokens, scale.staged(TP.topic_terms(model, terms, 20), "topic-terms"))
 
 
 @query
 def topic_contributions(spark, sf):
+    """Topics and weights of every note of the window, heaviest first."""
     _, _, vectors, model = _fitted(spark, sf)
-    """Every note of the window: its weights fall, are at least the floor, and sum to 1 at most."""
-    rows = TP.contributions(model, vectors)
-    weights = F.col("topic_contributions.weight")
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return rows.select(
-        "note_id",
-        "empi",
-        "expdate",
-        (weights == F.reverse(F.array_sort(weights))).alias("falling"),
-        F.forall(weights, lambda w: w >= TP.MIN_WEIGHT).alias("floor"),
-        (total <= 1 + 1e-9).alias("bounded"),
-    )
+    return TP.contributions(model, vectors)
 
 
 @query
 def log_perplexity(spark, sf):
     _, _, vectors, model = _fitted(spark, sf)
-    bound = TP.log_perplexity(model, vectors)
-    return spark.createDataFrame([(5, -100 < bound < 0)], "k int, plausible boolean")
+    return vectors.agg(F.lit(5).alias("k"), F.count(F.lit(1)).alias("notes"), F.lit(TP.log_perplexity(model, vectors)).alias("bound"))
 
 
 @query
 def topic_metrics(spark, sf):
-    path = _folder(spark, "topic-job")
     """The job run twice: the second run loads the model and writes the same reports."""
-    notes = FX.notes(spark, sf)
+    path = _folder(spark, "topic-job")
     for _ in range(2):
-        PL.topic_job(notes, JobConfig(), 5, path)
-    metrics = spark.read.parquet(f"{path}/k=5/topic_metrics")
-    return metrics.select("k", "metric", "topic", F.col("value").isNotNull().alias("known"))
+        PL.topic_job(FX.notes(spark, sf), JobConfig(), 5, path)
+    return spark.read.parquet(f"{path}/k=5/topic_metrics")
+
 
 
 def sweep(tokens: DataFrame, counts, measure: str = "u_mass", passes: int = 10) -> DataFrame:
@@ -803,10 +778,49 @@ def sweep(tokens: DataFrame, counts, measure: str = "u_mass", passes: int = 10)
 
 @query
 def topic_sweep(spark, sf):
+    return sweep(_staged_tokens(spark, sf), (3, 5))
+
+
+# --- topics held as tables ------------------------------------------------------
+
+
+def _topic_table(spark, sf):
     tokens = _staged_tokens(spark, sf)
-    swept = sweep(tokens, (3, 5))
-    bound, score = F.col("log_perplexity"), F.col("coherence")
-    return swept.select("k", bound.between(-100, 0).alias("plausible"), (score <= 0).alias("scored"))
+    bag = scale.staged(TP.bag_of_words(tokens, TP.document_frequency(tokens)), "bag")
+    return bag, *TT.fit(bag, TABLE_TOPICS, TABLE_STEPS)
+
+
+def _micro(value):
+    """Millionths, as a whole number that two engines round the same way."""
+    return F.floor(value * 1e6 + 0.5).cast("long")
+
+
+@query
+def topic_table_terms(spark, sf):
+    _, topics, _ = _topic_table(spark, sf)
+    return TT.top_terms(topics).select("topic", "rank", "term", _micro(F.col("weight")).alias("micro"))
+
+
+@query
+def topic_table_contributions(spark, sf):
+    _, _, notes = _topic_table(spark, sf)
+    rows = TT.contributions(notes, TP.MIN_WEIGHT)
+    return rows.select("note_id", "topic", _micro(F.col("weight")).alias("micro"))
+
+
+@query
+def topic_table_fold_in(spark, sf):
+    """Topics of every note under the given topic table, by steps inside the note."""
+    bag, topics, _ = _topic_table(spark, sf)
+    rows = TT.contributions(TT.fold_in(bag, topics, TABLE_TOPICS, TABLE_STEPS), TP.MIN_WEIGHT)
+    return rows.select("note_id", "topic", _micro(F.col("weight")).alias("micro"))
+
+
+@query
+def topic_table_perplexity(spark, sf):
+    bag, topics, notes = _topic_table(spark, sf)
+    rows = TT.log_perplexity(bag, topics, notes)
+    return rows.select("words", _micro(F.col("bound")).alias("micro"))
 
 
 # --- embeddings ---------------------------------------------------------------
@@ -823,30 +837,63 @@ def embed_hashed(spark, sf):
 def embed_word2vec(spark, sf):
     tokens = _staged_tokens(spark, sf)
     model = E.fit_word_vectors(tokens, size=16)
-    return _whole(E.document_embeddings(model, tokens), "note_id", "empi")
+    return E.document_embeddings(model, tokens)
+
+
+def _cells(rows):
+    cells = scale.placed(rows, ["note_id"], F.col("embedding"), "i", "x")
+    return cells.select("note_id", "i", (F.round(F.col("x").cast("double"), 4) + 0.0).alias("x"))
 
 
-def _whole(rows, *keys):
-    """Keys of embedded rows, the length of each vector, and whether all its cells are numbers."""
-    cells = F.col("embedding")
-    finite = F.forall(cells, lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
-    return rows.select(*keys, F.size(cells).alias("dim"), finite.alias("finite"))
+@query
+def embed_model(spark, sf):
+    """Vectors of whole notes by a model that runs in the workers."""
+    rows = _topic_tokens(spark, sf).where(F.size("tokens") > 0)
+    texts = rows.select("note_id", F.array_join("tokens", " ").alias("text"))
+    return _cells(E.embed(texts, "text", E.hashed_model(32)))
 
 
 @query
-def embed_tokens(spark, sf):
+def embed_model_sentences(spark, sf):
+    """Vectors of sentences by the same model."""
+    rows = E.sentence_rows(_window(spark, sf).select("note_id", "text"))
+    rows = rows.where(F.size(X.words(F.col("document"))) > 0)
+    shown = F.transform("embedding", lambda x: F.round(x.cast("double") * 10_000).cast("long").cast("string"))
+    made = E.embed(rows, "document", E.hashed_model(16))
+    return made.select("note_id", "position", F.array_join(shown, " ").alias("vector"))
+
+
+def _word_vectors(spark, sf):
     tokens = _staged_tokens(spark, sf)
-    model = E.fit_word_vectors(tokens, size=16)
-    return _whole(E.word_embeddings(model, tokens), "note_id", "position", "token")
+    return tokens, scale.staged(RI.word_vectors(tokens, size=16), "word-vectors")
+
+
+def _micros(rows, *keys):
+    cells = F.transform("embedding", lambda x: _micro(x).cast("string"))
+    return rows.select(*keys, F.array_join(cells, " ").alias("vector"))
+
+
+@query
+def embed_tokens(spark, sf):
+    """The vector of each known token of a note, in millionths."""
+    tokens, vectors = _word_vectors(spark, sf)
+    return _micros(RI.token_embeddings(vectors, tokens, ("note_id",)), "note_id", "position", "token")
+
+
+@query
+def embed_documents(spark, sf):
+    """Mean word vector of each note, in millionths."""
+    tokens, vectors = _word_vectors(spark, sf)
+    return _micros(RI.document_embeddings(vectors, tokens, ("note_id",)), "note_id")
 
 
 @query
 def embed_sentences(spark, sf):
-    """Mean word vector of each sentence, by the model of the notes."""
-    model = E.fit_word_vectors(_staged_tokens(spark, sf), size=16)
+    """Mean word vector of each sentence, by the words of the notes."""
+    _, vectors = _word_vectors(spark, sf)
     rows = E.sentence_rows(_window(spark, sf).select("note_id", "empi", "text"))
     tokens = rows.withColumn("tokens", X.topic_tokens(F.col("document"), X.ENGLISH_STOP_WORDS))
-    return _whole(E.document_embeddings(model, tokens, ("note_id", "position")), "note_id", "position")
+    return RI.document_embeddings(vectors, tokens, ("note_id", "position"))
 
 
 # --- sources and sinks --------------------------------------------------------
@@ -869,8 +916,8 @@ def roundtrip_cohort(spark, sf):
     return K.align_types(rows, members)
 
 
-@query
-def roundtrip_codes(spark, sf):
+def _code_files(spark, sf) -> list[str]:
+    """Counts written as wide files, one per dimension; the key column is named in capitals in one of them."""
     path = _folder(spark, "codes")
     members = FX.cohort(spark, sf)
     keyed = members.select("empi", "expdate", K.empi_indexdt(F.col("empi"), F.col("expdate")).alias("empi_indexdt"))
@@ -878,9 +925,25 @@ def roundtrip_codes(spark, sf):
     for dimension, name in files.items():
         counts = CO.codes_wide(_codes(spark, sf, dimension))
         wide = M.attach(keyed, counts).drop("empi", "expdate")
-        wide.write.option("header", True).csv(f"{path}/{name}")
-    rows = R.read_code_frequencies(spark, [f"{path}/{n}" for n in files.values()])
-    return rows.where(F.col("n").isNotNull() & CO.code_dimension(F.col("source"), "combined"))
+        named = wide.withColumnRenamed("empi_indexdt", "EMPI_INDEXDT") if dimension == "rpdr" else wide
+        decimal = named.select(named.columns[0], *[F.col(f"`{c}`").cast("double").alias(c) for c in named.columns[1:]])
+        decimal.write.option("header", True).csv(f"{path}/{name}")
+    return [f"{path}/{n}" for n in files.values()]
+
+
+@query
+def roundtrip_codes(spark, sf):
+    """Counts with decimals, read by one scan of all files."""
+    rows = R.read_code_frequencies(spark, _code_files(spark, sf))
+    return rows.where(CO.code_dimension(F.col("source"), "combined"))
+
+
+@query
+def code_matrices_of_files(spark, sf):
+    """Wide 0/1 columns of the claims codes from files of counts, one row per cohort member."""
+    counts = R.read_code_counts(spark, _code_files(spark, sf))
+    return PL.code_matrices(_members(spark, sf), counts, "claims").binary
+
 
 
 def _term_files(spark, sf) -> tuple[DataFrame, str]:
@@ -967,20 +1030,13 @@ def roundtrip_ngrams(spark, sf):
 
 @query
 def roundtrip_ngram_shards(spark, sf):
-    """Wide shards of different words, read back as long rows."""
+    """The whole matrix of the vocabulary as wide shards, read back as long rows."""
     path = _folder(spark, "ngram-shards")
-    key = K.empi_indexdt(F.col("empi"), F.col("expdate")).alias("empi_indexdt")
     tokens = scale.staged(_tokens(spark, sf), "tokens")
-    chosen = N.select_features(tokens, 1, SHARD_WORDS)
-    words = [r["ngram"] for r in chosen.orderBy(F.col("n").desc(), "ngram").collect()]
+    chosen = N.select_features(tokens, 1, TOP_K)
     rows = N.as_features(N.token_presence(tokens, 1, "empi_expdate", chosen), 1)
-    cells = scale.staged(M.wide(rows, words, F.first("value")), "ngram-wide")
-    half = SHARD_WORDS // 2
-    paths = []
-    for i, names in enumerate((words[:half], words[half:]), 1):
-        paths.append(f"{path}/unigram_{i}.csv")
-        cells.select(key, *[F.col(f"`{n}`") for n in names]).write.option("header", True).csv(paths[-1])
-    return R.read_ngram_shards(spark, paths).where(F.col("value").isNotNull())
+    W.write_ngram_shards(rows, chosen, path)
+    return R.read_ngram_shards(spark, [path])
 
 
 @query
@@ -1041,16 +1097,12 @@ def reuse_results(spark, sf):
 
 @query
 def reuse_models(spark, sf):
+    """Clusters of the vectors by a model that was saved and loaded, the second fit being skipped."""
     path = _folder(spark, "models")
     vectors = FX.vectors(spark, sf)
     for _ in range(2):
         model = W.reused_model(spark, f"{path}/c", KMeansModel, lambda: CL.fit_clusters(vectors, 5))
-    _, _, bags, lda = _fitted(spark, sf, 3)
-    for _ in range(2):
-        lda = W.reused_model(spark, f"{path}/t", LocalLDAModel, lambda lda=lda: lda)
-    sizes = [(len(model.clusterCenters()), lda.describeTopics(1).count())]
-    counts = spark.createDataFrame(sizes, "clusters int, topics int")
-    return counts
+    return CL.predicted(model, vectors).select("vec_id", "cluster")
 
 
 # --- whole jobs ---------------------------------------------------------------
@@ -1091,11 +1143,9 @@ def covariates_sparse(spark, sf):
 def covariates_modelled(spark, sf):
     """Topic and cluster covariates from models fitted on the same data."""
     vectors = FX.vectors(spark, sf)
-    rows = PL.union(
+    return PL.union(
         [
             PL.topic_features(FX.notes(spark, sf), JobConfig(), 5),
             PL.cluster_features(FX.cohort(spark, sf), vectors, TOPICS, "sentence_cluster"),
         ]
     )
-    inside = F.min(F.col("value").between(TP.MIN_WEIGHT, 1) & F.col("feature").rlike("_[0-9]$"))
-    return rows.groupBy("empi", "expdate", "family").agg(inside.alias("inside"))

@@ -84,7 +84,6 @@ TOP_K = 20_000
 TOPICS = 10
 COHERENCE_TOPICS = 5
 WORDS_PER_TOPIC = 40
-SHARD_WORDS = 40
 
 
 def lit(value: str) -> str:
@@ -605,6 +604,7 @@ def oracles() -> dict[str, str]:
         "cohort",
         "codes",
     )
+    out["code_matrices_of_files"] = out["code_matrices"]
     out["code_binary_hdec"] = sql(
         "SELECT empi, expdate, source, code || '_hdec' AS code, 1 AS value FROM codes", "codes"
     )
@@ -820,9 +820,9 @@ def oracles() -> dict[str, str]:
     )
     out["roundtrip_ngram_shards"] = sql(
         f"SELECT empi || CAST({sas} AS VARCHAR) AS empi_indexdt, ngram, CAST(span AS DOUBLE) AS value, "
-        f"CASE WHEN place <= {SHARD_WORDS // 2} THEN 'unigram_1.csv' ELSE 'unigram_2.csv' END AS source "
+        "'unigram_' || CAST((place - 1) // 1000 + 1 AS VARCHAR) || '.csv' AS source "
         "FROM presence_empi_expdate JOIN (SELECT ngram, row_number() OVER (ORDER BY n DESC, ngram) AS place FROM unigram_counts) "
-        f"USING (ngram) WHERE place <= {SHARD_WORDS}",
+        f"USING (ngram) WHERE place <= {TOP_K}",
         "presence_empi_expdate",
         "unigram_counts",
     )
@@ -868,57 +868,115 @@ def oracles() -> dict[str, str]:
         "ON f.family = n.family AND f.feature = n.feature) i ON c.empi = i.empi AND c.expdate = i.expdate GROUP BY c.empi, c.expdate",
         *sources,
     )
-    out.update(_models())
+    out.update(_vectors())
+    out.update(_topic_tables())
+    out["embed_model"] = out["embed_hashed"]
     return out
 
 
-def _models() -> dict[str, str]:
-    """What must hold of fitted models, row by row."""
-    out = {}
-    out["fit_clusters"] = sql("SELECT vec_id, empi, document, true AS nearest FROM vectors", "vectors")
-    out["cluster_sweep"] = "SELECT * FROM (VALUES (5, 5, true), (20, 20, true), (100, 100, true)) v(k, clusters, cheaper)"
-    words = "least(20, (SELECT count(*) FROM document_frequency))"
-    out["fit_topics"] = sql(
-        f"SELECT t.topic::INTEGER AS topic, r.rank::INTEGER AS rank, true AS known, true AS falling FROM range(5) t(topic), "
-        f"range(1, 21) r(rank) WHERE r.rank <= {words}",
-        "document_frequency",
-    )
-    out["topic_terms"] = sql(
-        f"SELECT r::INTEGER AS topic_rank, true AS falling, {words}::INTEGER AS words FROM range(1, 6) t(r)",
-        "document_frequency",
-    )
-    out["topic_contributions"] = sql(
-        "SELECT note_id, empi, expdate, true AS falling, true AS floor, true AS bounded FROM signed", "signed"
-    )
-    out["cluster_job"] = sql("SELECT DISTINCT empi, true AS same, true AS inside FROM vectors", "vectors")
-    out["log_perplexity"] = "SELECT 5 AS k, true AS plausible"
-    out["topic_metrics"] = (
-        "SELECT 5 AS k, metric, topic::INTEGER AS topic, true AS known FROM (VALUES ('u_mass'), ('c_v'), ('c_uci'), ('c_npmi')) m(metric), "
-        "range(-1, 5) t(topic) UNION ALL SELECT 5, 'log_perplexity', -1, true"
+INDEX_SIZE, INDEX_WINDOW, INDEX_CELLS, INDEX_COUNT = 16, 2, 4, 5
+HEX = "0123456789abcdef"
+
+
+def _digit(word: str, i: str, at: int) -> str:
+    return f"(strpos('{HEX}', substr(md5({word} || '#' || {i}), {at}, 1)) - 1)"
+
+
+def _vectors() -> dict[str, str]:
+    """Random indexing: sums of fixed sparse vectors of the words within the window."""
+    number = f"((({_digit('context', 'i', 1)} * 16 + {_digit('context', 'i', 2)}) * 16 + {_digit('context', 'i', 3)}) * 16 + {_digit('context', 'i', 4)})"
+    extra = f"""known AS MATERIALIZED (SELECT term FROM places GROUP BY term HAVING count(*) >= {INDEX_COUNT}),
+spots AS MATERIALIZED (SELECT note_id, pos, term FROM places),
+near AS MATERIALIZED (SELECT a.term AS word, b.term AS context, count(*) AS n FROM spots a JOIN spots b
+ ON a.note_id = b.note_id AND b.pos BETWEEN a.pos - {INDEX_WINDOW} AND a.pos + {INDEX_WINDOW} AND a.pos <> b.pos
+ WHERE a.term IN (SELECT term FROM known) GROUP BY ALL),
+parts AS (SELECT context, {number} % {INDEX_SIZE} AS cell, 1 - 2 * ({_digit('context', 'i', 5)} % 2) AS sign
+ FROM (SELECT DISTINCT context FROM near), (SELECT unnest(range({INDEX_CELLS})) AS i)),
+sums AS (SELECT word AS term, cell, sum(n * sign) AS x FROM near JOIN parts USING (context) GROUP BY ALL),
+full_sums AS (SELECT k.term, c.cell, CAST(coalesce(x, 0) AS DOUBLE) AS x FROM known k CROSS JOIN (SELECT unnest(range({INDEX_SIZE})) AS cell) c
+ LEFT JOIN sums s ON s.term = k.term AND s.cell = c.cell),
+vecs AS MATERIALIZED (SELECT term, cell, CASE WHEN len > 0 THEN x / len ELSE 0.0 END AS v
+ FROM full_sums JOIN (SELECT term, sqrt(sum(x * x)) AS len FROM full_sums GROUP BY term) USING (term))"""
+    shown = "string_agg(CAST(CAST(floor(v * 1e6 + 0.5) AS BIGINT) AS VARCHAR), ' ' ORDER BY cell)"
+    tokens = sql(
+        f"SELECT note_id, CAST(pos AS INTEGER) AS position, term AS token, vector FROM places JOIN (SELECT term, {shown} AS vector FROM vecs GROUP BY term) USING (term)",
+        "places",
+        extra=extra,
     )
-    out["topic_sweep"] = "SELECT k, true AS plausible, true AS scored FROM (VALUES (3), (5)) v(k)"
-    out["embed_word2vec"] = sql("SELECT note_id, empi, 16 AS dim, true AS finite FROM signed", "signed")
-    out["embed_tokens"] = sql(
-        "SELECT note_id, CAST(pos AS INTEGER) AS position, term AS token, 16 AS dim, true AS finite FROM places "
-        "WHERE term IN (SELECT term FROM places GROUP BY term HAVING count(*) >= 5)",
+    documents = sql(
+        f"SELECT note_id, {shown} AS vector FROM (SELECT note_id, cell, sum(n * v) / sum(n) AS v FROM "
+        "(SELECT note_id, term, count(*) AS n FROM places GROUP BY ALL) JOIN vecs USING (term) GROUP BY ALL) GROUP BY note_id",
         "places",
+        extra=extra,
     )
     cut = f"string_split(regexp_replace(text, '([.!?])' || {WS}, '\\1' || chr(1), 'g'), chr(1))"
-    out["embed_sentences"] = sql(
-        "SELECT note_id, CAST(position AS INTEGER) AS position, 16 AS dim, true AS finite FROM (SELECT note_id, "
-        f"unnest(generate_series(0, len({cut}) - 1)) AS position, unnest({cut}) AS document FROM signed) "
-        "WHERE trim(document, ' ') <> ''",
+    digit = f"strpos('{HEX}', substr(md5(word || '#0'), i, 1))"
+    words = f"list_filter(regexp_split_to_array(document, {WS}), lambda w: w <> '')"
+    sentences = sql(
+        "SELECT note_id, CAST(position AS INTEGER) AS position, string_agg(CAST(CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR), ' ' ORDER BY i) AS vector FROM ("
+        f"SELECT note_id, position, i, CAST((sum({digit}) * 2 - count(*) * 17) / (count(*) * 15.0) AS FLOAT) AS x FROM ("
+        f"SELECT note_id, position, unnest({words}) AS word FROM (SELECT note_id, unnest(generate_series(0, len({cut}) - 1)) AS position, "
+        f"unnest({cut}) AS document FROM signed)), (SELECT unnest(generate_series(1, 16)) AS i) GROUP BY ALL) GROUP BY note_id, position",
         "signed",
     )
-    out["reuse_models"] = "SELECT 5 AS clusters, 3 AS topics"
-    out["covariates_modelled"] = sql(
-        "SELECT DISTINCT empi, expdate, 'topic' AS family, true AS inside FROM places JOIN signed USING (note_id) "
-        "WHERE term IN (SELECT term FROM document_frequency) UNION ALL "
-        "SELECT DISTINCT c.empi, c.expdate, 'sentence_cluster', true FROM cohort c JOIN vectors v ON c.empi = v.empi",
-        "places",
-        "signed",
-        "document_frequency",
-        "cohort",
-        "vectors",
-    )
-    return out
+    return {"embed_tokens": tokens, "embed_documents": documents, "embed_model_sentences": sentences}
+
+
+TABLE_TOPICS, TABLE_STEPS, TABLE_BETA = 5, 4, 0.01
+
+
+def _topic_tables() -> dict[str, str]:
+    """Every step of the topic table as plain joins: one row for each note, term and topic."""
+    k = TABLE_TOPICS
+    terms = f"strpos('{HEX}', substr(md5(term || '#' || k), 1, 1))"
+    parts = [
+        "bag AS MATERIALIZED (SELECT note_id, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT note_id, unnest(tokens) AS term FROM topic_tokens) "
+        "WHERE term IN (SELECT term FROM document_frequency) GROUP BY note_id, term)",
+        f"ks AS (SELECT unnest(range({k})) AS k)",
+        f"phi0 AS MATERIALIZED (SELECT term, k, h / sum(h) OVER (PARTITION BY k) AS w FROM (SELECT term, k, CAST({terms} AS DOUBLE) AS h FROM (SELECT DISTINCT term FROM bag), ks))",
+        f"theta0 AS MATERIALIZED (SELECT note_id, k, 1.0::DOUBLE / {k} AS t FROM (SELECT DISTINCT note_id FROM bag), ks)",
+    ]
+
+    def step(name: str, phi: str, theta: str) -> None:
+        parts.append(
+            f"{name} AS MATERIALIZED (SELECT note_id, term, k, tf * p / sum(p) OVER (PARTITION BY note_id, term) AS s FROM "
+            f"(SELECT note_id, term, tf, k, t * w AS p FROM bag JOIN {phi} USING (term) JOIN {theta} USING (note_id, k)))"
+        )
+
+    def notes(name: str, shares: str) -> None:
+        parts.append(
+            f"{name} AS MATERIALIZED (SELECT note_id, k, x / sum(x) OVER (PARTITION BY note_id) AS t FROM (SELECT note_id, k, sum(s) + 1.0::DOUBLE / {k} AS x FROM {shares} GROUP BY note_id, k))"
+        )
+
+    for i in range(1, TABLE_STEPS + 1):
+        step(f"r{i}", f"phi{i - 1}", f"theta{i - 1}")
+        parts.append(
+            f"phi{i} AS MATERIALIZED (SELECT term, k, x / sum(x) OVER (PARTITION BY k) AS w FROM (SELECT term, k, sum(s) + {TABLE_BETA} AS x FROM r{i} GROUP BY term, k))"
+        )
+        notes(f"theta{i}", f"r{i}")
+    model = ", ".join(parts)
+    last = TABLE_STEPS
+    parts = [model]
+    for i in range(1, TABLE_STEPS + 1):
+        step(f"f{i}", f"phi{last}", f"fold{i - 1}" if i > 1 else "theta0")
+        notes(f"fold{i}", f"f{i}")
+    folded = ", ".join(parts)
+    micro = "CAST(floor({} * 1e6 + 0.5) AS BIGINT) AS micro"
+    used = ("topic_tokens", "document_frequency")
+    weights = "SELECT note_id, CAST(k AS INTEGER) AS topic, " + micro.format("t") + " FROM {} WHERE t >= 0.01"
+    return {
+        "topic_table_terms": sql(
+            f"SELECT CAST(k AS INTEGER) AS topic, CAST(rank AS INTEGER) AS rank, term, {micro.format('w')} FROM (SELECT *, row_number() OVER "
+            f"(PARTITION BY k ORDER BY floor(w * 1e9 + 0.5) DESC, term) AS rank FROM phi{last}) WHERE rank <= 20",
+            *used,
+            extra=model,
+        ),
+        "topic_table_contributions": sql(weights.format(f"theta{last}"), *used, extra=model),
+        "topic_table_fold_in": sql(weights.format(f"fold{TABLE_STEPS}"), *used, extra=folded),
+        "topic_table_perplexity": sql(
+            f"SELECT CAST(sum(tf) AS BIGINT) AS words, {micro.format('sum(tf * ln(p)) / sum(tf)')} FROM (SELECT note_id, term, any_value(tf) AS tf, sum(t * w) AS p "
+            f"FROM bag JOIN phi{last} USING (term) JOIN theta{last} USING (note_id, k) GROUP BY note_id, term)",
+            *used,
+            extra=model,
+        ),
+    }

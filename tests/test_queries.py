@@ -46,7 +46,7 @@ def check(spark, sf, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, sf, duck, name):
     check(spark, sf, duck, name)
 
@@ -80,8 +80,15 @@ def test_entry(spark):
     assert contract.entry(spark).columns == ["empi", "expdate", "ngram", "span"]
 
 
-def test_every_query_has_an_oracle():
-    assert set(ORACLES) == set(QUERIES)
+# Fitted by random or iterative methods of Spark; test_model_queries.py states what must hold of their rows.
+WITHOUT_SQL = {
+    "cluster_job", "cluster_sweep", "covariates_modelled", "embed_sentences", "embed_word2vec", "fit_clusters", "fit_topics",
+    "log_perplexity", "reuse_models", "topic_contributions", "topic_metrics", "topic_sweep", "topic_terms",
+}
+
+
+def test_every_other_query_has_an_oracle():
+    assert set(ORACLES) == set(QUERIES) - WITHOUT_SQL
     assert set(QUERIES) <= set(contract.queries())
 
 
