@@ -81,11 +81,14 @@ def centre_table(spark, centres: Sequence[np.ndarray]) -> DataFrame:
 
 
 def cluster_sweep(rows: DataFrame, counts: Sequence[int] = CLUSTER_COUNTS, seed: int = 0) -> DataFrame:
-    """Training cost per cluster count, every fit reading one cached set of vectors."""
+    """Training cost per cluster count, every fit reading one cached set of vectors.
+
+    Counts above the number of vectors are left out: there are no such clusters.
+    """
     vectors = with_vector(rows).select("embedding", "features").persist()
     try:
-        costs = []
-        for k in counts:
+        costs, most = [], vectors.count()
+        for k in (k for k in counts if k <= most):
             model = KMeans(k=k, seed=seed, initMode="random").fit(vectors.select("features"))
             costs.append((k, len(model.clusterCenters()), float(model.summary.trainingCost)))
     finally:

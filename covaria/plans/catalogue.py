@@ -23,6 +23,7 @@ from covaria.operators import indexing as RI
 from covaria.operators import matrix as M
 from covaria.operators import ngrams as N
 from covaria.operators import scale
+from covaria.operators import sentences as SE
 from covaria.operators import terms as T
 from covaria.operators import topic_table as TT
 from covaria.operators import topics as TP
@@ -202,6 +203,20 @@ def sentence_split(spark, sf):
     return rows.select("note_id", "position", "document")
 
 
+@query
+def sentence_abbreviations(spark, sf):
+    """Abbreviations learned from the notes, with their scores in thousandths."""
+    rows = SE.abbreviations(_window(spark, sf).select("text"))
+    return rows.select("word", F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score"))
+
+
+@query
+def sentence_split_learned(spark, sf):
+    """Sentences that do not end at a learned abbreviation."""
+    notes = _window(spark, sf).select("note_id", "text")
+    return SE.split(notes, scale.staged(SE.abbreviations(notes), "abbreviations"))
+
+
 # --- n-grams ------------------------------------------------------------------
 
 
@@ -1095,6 +1110,20 @@ def reuse_results(spark, sf):
     return again
 
 
+@query
+def reuse_by_input(spark, sf):
+    """Three runs on one path: the second finds the same notes in another order, the third other notes."""
+    path = _folder(spark, "reuse-input")
+    notes = FX.notes(spark, sf).select("note_id", "notetype", "text")
+    runs = (("first", notes), ("second", notes.orderBy(F.col("note_id").desc())), ("third", notes.where("note_id % 3 <> 0")))
+    seen = []
+    for run, given in runs:
+        counts = given.groupBy("notetype").agg(F.count(F.lit(1)).alias("n")).withColumn("built", F.lit(run))
+        table = W.reused(spark, path, lambda counts=counts: counts, [given], {"by": "notetype"})
+        seen.append(scale.staged(table.withColumn("run", F.lit(run)), "reused"))
+    return PL.union(seen)
+
+
 @query
 def reuse_models(spark, sf):
     """Clusters of the vectors by a model that was saved and loaded, the second fit being skipped."""

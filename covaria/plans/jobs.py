@@ -185,12 +185,14 @@ def cluster_vectors(cohort: DataFrame, sets: DataFrame, k: int, key: str = "empi
 
 
 def cluster_job(vectors: DataFrame, k: int, path: str) -> DataFrame:
-    """Fit or load a model, write sample and sizes per cluster, return cluster sets."""
+    """Fit a model, or load the one of the same vectors; write sample and sizes per cluster, return cluster sets."""
     model = writers.reused_model(
         vectors.sparkSession,
         f"{path}/model/k={k}",
         KMeansModel,
         lambda: clusters.fit_clusters(vectors, k),
+        [vectors],
+        {"k": k},
     )
     labelled = scale.staged(clusters.predicted(model, vectors).drop("embedding"), "labels")
     writers.write_cluster_report(
@@ -233,8 +235,8 @@ def ranked_topics(tokens: DataFrame, words: DataFrame) -> DataFrame:
 def topic_job(notes: DataFrame, config: JobConfig, k: int, path: str) -> DataFrame:
     """Fit or load a topic model, write its reports, return the topics of each note.
 
-    The vocabulary is saved before the model and loaded with it, so the term ids of a
-    loaded model keep their words when the notes have changed.
+    Vocabulary and model are loaded when they were made from the same tokens and settings, and
+    made again when these have changed.
     """
     inside = note_window(notes, config.span_start, config.span_end)
     tokens = scale.staged(topics.topic_tokens(inside), "topic-tokens")
@@ -242,6 +244,8 @@ def topic_job(notes: DataFrame, config: JobConfig, k: int, path: str) -> DataFra
         notes.sparkSession,
         f"{path}/vocabulary/k={k}",
         lambda: topics.document_frequency(tokens, keep=config.keep_terms),
+        [tokens.select("note_id", "tokens")],
+        {"keep_terms": config.keep_terms},
     )
     terms_in_order = topics.vocabulary_list(vocabulary)
     vectors = topics.vectorised(tokens, terms_in_order)
@@ -250,6 +254,8 @@ def topic_job(notes: DataFrame, config: JobConfig, k: int, path: str) -> DataFra
         f"{path}/model/k={k}",
         LocalLDAModel,
         lambda: topics.fit_topics(vectors, k, config.passes, iterations=config.iterations),
+        [tokens.select("note_id", "tokens"), vocabulary],
+        {"k": k, "passes": config.passes, "iterations": config.iterations},
     )
     words = scale.staged(topics.topic_terms(model, terms_in_order, 40), "topic-words")
     perplexity = notes.sparkSession.createDataFrame(

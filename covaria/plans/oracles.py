@@ -868,12 +868,47 @@ def oracles() -> dict[str, str]:
         "ON f.family = n.family AND f.feature = n.feature) i ON c.empi = i.empi AND c.expdate = i.expdate GROUP BY c.empi, c.expdate",
         *sources,
     )
+    out.update(_sentences())
+    out["reuse_by_input"] = sql(
+        "SELECT notetype, count(*) AS n, 'first' AS built, run FROM notes, (VALUES ('first'), ('second')) r(run) GROUP BY notetype, run "
+        "UNION ALL SELECT notetype, count(*), 'third', 'third' FROM notes WHERE note_id % 3 <> 0 GROUP BY notetype",
+        "notes",
+    )
     out.update(_vectors())
     out.update(_topic_tables())
     out["embed_model"] = out["embed_hashed"]
     return out
 
 
+def _sentences() -> dict[str, str]:
+    """Counts of words with and without a full stop, their log-likelihood ratio, and the cuts that remain."""
+    kind = r"regexp_replace(lower({}), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g')"
+    ended = r"regexp_matches({}, '^(?s:.*[\p{{L}}\p{{N}}])\.$')"
+    learned = f"""types AS (SELECT {kind.format('w')} AS word FROM (SELECT unnest(regexp_split_to_array(text, {WS})) AS w FROM signed) WHERE w <> ''),
+stops AS (SELECT regexp_replace(word, '\\.$', '') AS word, {ended.format('word')} AS stopped FROM types),
+counts AS MATERIALIZED (SELECT word, count(*) FILTER (stopped)::DOUBLE AS a, count(*) FILTER (NOT stopped)::DOUBLE AS b FROM stops WHERE word <> '' GROUP BY word),
+share AS (SELECT sum(a) / sum(a + b) AS p FROM counts),
+sized AS (SELECT word, a, b, p, length(word) - length(replace(word, '.', '')) AS dots FROM counts, share WHERE a > 0),
+scored AS (SELECT word, -2 * (a * ln(p) + CASE WHEN b > 0 THEN b * ln(1 - p) ELSE 0.0 END - (a * ln(0.99::DOUBLE) + b * ln(1 - 0.99::DOUBLE)))
+ * exp(-(length(word) - dots)::DOUBLE) * (dots + 1) * pow((length(word) - dots)::DOUBLE, -b) AS score FROM sized),
+abbreviations AS MATERIALIZED (SELECT word, score FROM scored WHERE score >= 0.3)"""
+    cut = f"string_split(regexp_replace(text, '([.!?])' || {WS}, '\\1' || chr(1), 'g'), chr(1))"
+    last = kind.format(f"regexp_split_to_array(part, {WS})[-1]")
+    split = f"""{learned},
+pieces AS (SELECT note_id, unnest(generate_series(1, len({cut}))) AS piece, unnest({cut}) AS part FROM signed),
+marked AS (SELECT note_id, piece, part, CASE WHEN {ended.format('last')} AND regexp_replace(last, '\\.$', '') IN (SELECT word FROM abbreviations) THEN 0 ELSE 1 END AS ends
+ FROM (SELECT *, {last} AS last FROM pieces)),
+placed AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY note_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM marked)"""
+    return {
+        "sentence_abbreviations": sql("SELECT word, CAST(floor(score * 1000 + 0.5) AS BIGINT) AS score FROM abbreviations", "signed", extra=learned),
+        "sentence_split_learned": sql(
+            "SELECT * FROM (SELECT note_id, CAST(sentence AS INTEGER) AS position, string_agg(part, ' ' ORDER BY piece) AS document FROM placed GROUP BY ALL) WHERE trim(document, ' ') <> ''",
+            "signed",
+            extra=split,
+        ),
+    }
+
+
 INDEX_SIZE, INDEX_WINDOW, INDEX_CELLS, INDEX_COUNT = 16, 2, 4, 5
 HEX = "0123456789abcdef"
 

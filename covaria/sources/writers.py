@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -141,17 +142,63 @@ def finished(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def reused(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read a finished table, or build and write it first."""
-    if not finished(spark, path):
+def input_digest(rows: DataFrame) -> str:
+    """Number of rows and the sums of both halves of their MD5 hashes: the same in any order of the rows."""
+    shown = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}).cast("binary"))
+    half = lambda at: F.sum(F.conv(F.substring(shown, at, 16), 16, 10).cast("decimal(38,0)"))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), half(1).alias("high"), half(17).alias("low")).first()
+    return f"{','.join(sorted(rows.columns))}:{found['n']}:{found['high']}:{found['low']}"
+
+
+def _stamp(inputs: Sequence[DataFrame], settings: dict | None) -> str:
+    return json.dumps({"settings": settings or {}, "inputs": [input_digest(i) for i in inputs]}, sort_keys=True)
+
+
+def _current(spark: SparkSession, path: str, stamp: str) -> bool:
+    """Was the result at ``path`` made from these inputs and settings?"""
+    note = f"{path}.inputs"
+    return finished(spark, note) and [r["value"] for r in spark.read.text(note).collect()] == [stamp]
+
+
+def _note(spark: SparkSession, path: str, stamp: str) -> None:
+    """Written after the result, so a job that dies in between is done again."""
+    spark.createDataFrame([(stamp,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.inputs")
+
+
+def reused(
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    inputs: Sequence[DataFrame] = (),
+    settings: dict | None = None,
+) -> DataFrame:
+    """Read a finished table, or build and write it first.
+
+    With ``inputs`` or ``settings`` the table is read only if it was made from the same rows,
+    in any order, and the same settings; else it is built again in its place.
+    """
+    stamp = _stamp(inputs, settings)
+    keyed = bool(inputs or settings)
+    if not finished(spark, path) or (keyed and not _current(spark, path, stamp)):
         build().write.mode("overwrite").parquet(path)
+        _note(spark, path, stamp)
     return spark.read.parquet(path)
 
 
-def reused_model(spark: SparkSession, path: str, kind, fit: Callable[[], object]):
-    """Load a saved model of class ``kind``, or fit and save it."""
-    if not finished(spark, f"{path}/data"):
+def reused_model(
+    spark: SparkSession,
+    path: str,
+    kind,
+    fit: Callable[[], object],
+    inputs: Sequence[DataFrame] = (),
+    settings: dict | None = None,
+):
+    """Load a saved model of class ``kind``, or fit and save it; ``inputs`` and ``settings`` as in ``reused``."""
+    stamp = _stamp(inputs, settings)
+    keyed = bool(inputs or settings)
+    if not finished(spark, f"{path}/data") or (keyed and not _current(spark, path, stamp)):
         fit().write().overwrite().save(path)
+        _note(spark, path, stamp)
     return kind.load(path)
 
 

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from covaria.functions import keys as K
+from covaria.operators import sentences as SE
 from covaria.sources import readers as R
 from covaria.sources import records, wide
+from covaria.sources import writers as W
 from covaria.sources.schemas import NOTES
 
 HEADER = ",".join(NOTES.names)
@@ -147,3 +149,37 @@ def test_only_the_chosen_cohort_files_are_opened(spark, tmp_path):
     assert [tuple(r)[::2] for r in frame.collect()] == [("007", 10)]
     with pytest.raises(ValueError, match="no file"):
         R.read_cohort(spark, str(tmp_path), "absent", "mcr")
+
+
+def test_results_are_reused_for_the_same_input_only(spark, tmp_path):
+    path = str(tmp_path / "r")
+    frame = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "i long, t string")
+    made = []
+
+    def build():
+        made.append(1)
+        return frame.limit(len(made))
+
+    for given, settings, count in (
+        (frame, {"k": 1}, 1),
+        (frame.repartition(7).orderBy("t"), {"k": 1}, 1),
+        (frame, {"k": 2}, 2),
+        (frame.where("i > 0"), {"k": 2}, 3),
+        (frame.unionByName(frame.where("i = 3")), {"k": 2}, 4),
+        (frame.withColumn("t", F.lit(None).cast("string")), {"k": 2}, 5),
+    ):
+        assert W.reused(spark, path, build, [given], settings).count() == count
+    assert W.reused(spark, path, build).count() == 5  # without inputs a finished table is enough
+
+
+def test_learned_abbreviations_do_not_end_a_sentence(spark):
+    # Every word that ends a sentence is seen elsewhere without a full stop.
+    text = " ".join(["Seen by dr. house today. The dose of approx. 5 mg was given. Today he is given house food. The food was seen."] * 3)
+    frame = spark.createDataFrame([(i, text) for i in range(60)] + [(99, None), (98, ""), (97, "No. stop")], "note_id long, text string")
+    known = SE.abbreviations(frame.where("note_id < 60"))
+    words = {r["word"]: r["score"] for r in known.collect()}
+    assert {"dr", "approx"} <= words.keys() and not {"today", "given", "food", "seen"} & words.keys()
+    got = [r["document"] for r in SE.split(frame, known).where("note_id = 1").orderBy("position").collect()]
+    assert got[:2] == ["Seen by dr. house today.", "The dose of approx. 5 mg was given."] and len(got) == 12
+    rest = {(r["note_id"], r["document"]) for r in SE.split(frame, known).where("note_id > 60").collect()}
+    assert rest == {(97, "No."), (97, "stop")}
