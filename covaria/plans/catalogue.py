@@ -873,9 +873,12 @@ def embed_model_sentences(spark, sf):
     """Vectors of sentences by the same model."""
     rows = E.sentence_rows(_window(spark, sf).select("note_id", "text"))
     rows = rows.where(F.size(X.words(F.col("document"))) > 0)
-    shown = F.transform("embedding", lambda x: F.round(x.cast("double") * 10_000).cast("long").cast("string"))
     made = E.embed(rows, "document", E.hashed_model(16))
-    return made.select("note_id", "position", F.array_join(shown, " ").alias("vector"))
+    return made.select("note_id", "position", _rounded(F.col("embedding")).alias("vector"))
+
+
+def _rounded(vector):
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 10_000).cast("long").cast("string")), " ")
 
 
 def _word_vectors(spark, sf):
@@ -1168,6 +1171,23 @@ def covariates_sparse(spark, sf):
     return rows.select("empi", "expdate", shown("indices").alias("indices"), shown("values").alias("values"))
 
 
+@query
+def settings_job_ngrams(spark, sf):
+    """N-grams of a job by its settings file."""
+    text = '{"TASK": "STATIN", "ALGORITHM": "ngram", "NGRAMS_TO_EXTRACT": "20000", "OUTPUT_ELEMENTS": "empi_expdate"}'
+    return PL.settings_job(FX.notes(spark, sf), JobConfig.from_json(text), _folder(spark, "settings"))["ngram"]
+
+
+@query
+def settings_job_sentences(spark, sf):
+    """Sentence vectors of a job by its settings file."""
+    text = '{"TASK": "STATIN", "ALGORITHM": "embedding", "EMBEDDINGS": "sentence_detector hashed"}'
+    models = {"hashed": E.hashed_model(16)}
+    made = PL.settings_job(FX.notes(spark, sf), JobConfig.from_json(text), _folder(spark, "settings"), models)
+    rows = made["embedding"].where(F.size(X.words(F.col("text"))) > 0)
+    return rows.select("note_id", "position", _rounded(F.col("embedding")).alias("vector"))
+
+
 @query
 def covariates_modelled(spark, sf):
     """Topic and cluster covariates from models fitted on the same data."""

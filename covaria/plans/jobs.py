@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeansModel, LocalLDAModel
@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from covaria.config import JobConfig
-from covaria.operators import clusters, codes, coherence, matrix, ngrams, scale, terms, topics
+from covaria.operators import clusters, codes, coherence, embeddings, matrix, ngrams, scale, terms, topics
 from covaria.operators.cohort import note_window, restrict_to_cohort
 from covaria.sources import writers
 
+# Fixed value: the name among the embeddings that asks for sentences.
+SENTENCES = "sentence_detector"
 
 
 def ngram_features(notes: DataFrame, config: JobConfig, sizes: Sequence[int] = (1, 2)) -> DataFrame:
@@ -50,6 +52,46 @@ def ngram_tables(
     return {n: ngrams.token_presence(tokens, n, layout, names) for n, names in chosen.items()}
 
 
+def settings_job(
+    notes: DataFrame,
+    config: JobConfig,
+    path: str,
+    models: Mapping[str, Callable[[], Callable]] | None = None,
+) -> dict[str, DataFrame]:
+    """Every algorithm that the settings name, written below ``path``/task and read back.
+
+    ``ngram`` writes the presence of uni- and bigrams in the output layout of the settings;
+    ``embedding`` one table of vectors for each name in ``embeddings``, made by the loader of that name
+    in ``models``, of sentences when ``sentence_detector`` is among the names and else of whole
+    notes; ``topic_model`` a model and the topics of each note for each topic count.
+    """
+    spark, root = notes.sparkSession, f"{path}/{config.task}"
+    unknown = set(config.algorithm) - {"ngram", "embedding", "topic_model"}
+    names = [n for n in config.embeddings if n != SENTENCES]
+    lost = [n for n in names if n not in (models or {})] if "embedding" in config.algorithm else []
+    if unknown or lost:
+        raise ValueError(f"unknown algorithms {sorted(unknown)}, embeddings without a model {lost}")
+    out = {}
+    if "ngram" in config.algorithm:
+        for n, rows in ngram_tables(notes, config).items():
+            writers.write_ngram_features(rows, f"{root}/ngram", n)
+        out["ngram"] = spark.read.parquet(f"{root}/ngram")
+    if "embedding" in config.algorithm and names:
+        texts = note_window(notes, config.span_start, config.span_end).select("note_id", "empi", "text")
+        if SENTENCES in config.embeddings:
+            texts = embeddings.sentence_rows(texts).withColumnRenamed("document", "text")
+        for name in names:
+            rows = embeddings.embed(texts, "text", models[name])
+            writers.write_embeddings(rows, f"{root}/embedding/model={name}", writers.WORD_ROWS)
+        out["embedding"] = spark.read.parquet(f"{root}/embedding")
+    if "topic_model" in config.algorithm:
+        for k in config.topic_counts:
+            rows = topic_job(notes, config, k, f"{root}/topic")
+            writers.write_topic_contributions(rows, f"{root}/contributions", k)
+        out["topic_model"] = spark.read.parquet(f"{root}/contributions")
+    return out
+
+
 def code_features(cohort: DataFrame, events: DataFrame, dimension: str = "combined") -> DataFrame:
     return codes.as_features(codes.code_frequency(cohort, events, dimension))
 

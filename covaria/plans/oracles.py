@@ -877,6 +877,10 @@ def oracles() -> dict[str, str]:
     out.update(_vectors())
     out.update(_topic_tables())
     out["embed_model"] = out["embed_hashed"]
+    out["settings_job_sentences"] = out["embed_model_sentences"]
+    out["settings_job_ngrams"] = sql(
+        "SELECT *, 1 AS n FROM presence_empi_expdate UNION ALL SELECT *, 2 AS n FROM presence_bigram", "presence_empi_expdate", "presence_bigram"
+    )
     return out
 
 
