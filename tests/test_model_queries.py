@@ -47,7 +47,7 @@ def test_contributions_fall_and_sum_to_one_at_most(spark, sf):
     assert {r["note_id"] for r in found} == {r["note_id"] for r in QUERIES["note_window_signed"](spark, sf).collect()}
     for r in found:
         weights = [w for _, w in r["topic_contributions"]]
-        assert weights == sorted(weights, reverse=True) and min(weights) >= TP.MIN_WEIGHT and sum(weights) <= 1 + 1e-9
+        assert weights == sorted(weights, reverse=True) and min(weights, default=1) >= TP.MIN_WEIGHT and sum(weights) <= 1 + 1e-9
 
 
 def test_bounds_and_reports(spark, sf):
