@@ -29,11 +29,13 @@ LEAST = 10
 FIRST = 2000
 SHARE = 50
 SCALE = 1_000_000
+CLASSES = 20  # of scores for each doubling
 # Ranks of the pair score that set the thresholds of the rounds; then everything.
 ROUNDS = (1.5, 6.0, 24.0)
 BREAK = b"\xff"  # in no UTF-8 text
 SLICE_BYTES = 1 << 19
-FLUSH_WORDS = 3_000_000
+FLUSH_WORDS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 WORD_BITS = 21
 BLOOM_BITS = 1 << 25
 BLOOM_KEYS = 3
@@ -131,11 +133,11 @@ class Tally:
         yield _batch(lang, 0, pa.array([""]), np.array([self.words]))
         for size, codes in self.codes.items():
             found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_counts=True)
-            for at in range(0, len(found), 200_000):
-                part = found[at : at + 200_000]
+            for at in range(0, len(found), 50_000):
+                part = found[at : at + 50_000]
                 places = [(part >> (WORD_BITS * (size - 1 - i))) & (2**WORD_BITS - 1) for i in range(size)]
                 phrase = pc.binary_join_element_wise(*(words.take(pa.array(p)) for p in places), pa.scalar(b" ", pa.binary()))
-                yield _batch(lang, size, phrase.cast(pa.string()), n[at : at + 200_000])
+                yield _batch(lang, size, phrase.cast(pa.string()), n[at : at + 50_000])
 
 
 COUNTS = "lang string, size tinyint, phrase string, n long"
@@ -267,7 +269,8 @@ def mined(docs: DataFrame, least: int = LEAST, first: int = FIRST, share: int =
         marks = limits.select("lang", F.lit("").alias("x"), F.lit("").alias("y"))
         test = _growth(bloom(near), bloom(good), bloom(marks))
         grown = counts(texts, (3,), test).where("size = 3").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
-        triples = staged(_triples(grown.where(F.col("a") >= least), pairs), "triples")
+        # Written first, so that a join that counts its keys does not read the texts again.
+        triples = staged(_triples(staged(grown.where(F.col("a") >= least), "grown"), pairs), "triples")
         best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
         ranked = _surviving(good, triples, limits, share).withColumn("rank", F.row_number().over(best).cast("long"))
         ranked = staged(ranked.where(F.col("rank") <= first), "ranked")
@@ -288,20 +291,26 @@ def _pairs(held: DataFrame) -> DataFrame:
     part = lambda i: F.substring_index("phrase", " ", i)
     words = held.where("size = 1")
     pairs = held.where("size = 2").select("lang", "phrase", F.col("n").alias("a"), part(1).alias("x"), part(-1).alias("y"))
-    pairs = scale.sized_join(pairs, words.select("lang", F.col("phrase").alias("x"), F.col("n").alias("l")), ["lang", "x"], F.col("phrase"))
-    pairs = scale.sized_join(pairs, words.select("lang", F.col("phrase").alias("y"), F.col("n").alias("r")), ["lang", "y"], F.col("phrase"))
+    pairs = scale.sized_join(pairs, words.select("lang", F.col("phrase").alias("x"), F.col("n").alias("l")), ["lang", "x"], F.col("phrase"), limit_bytes=BROADCAST_BYTES)
+    pairs = scale.sized_join(pairs, words.select("lang", F.col("phrase").alias("y"), F.col("n").alias("r")), ["lang", "y"], F.col("phrase"), limit_bytes=BROADCAST_BYTES)
     bound = F.call_function("div", F.col("a").cast("decimal(15,0)") * F.lit(SCALE).cast("decimal(7,0)"), F.col("l").cast("decimal(15,0)"))
     return staged(pairs.select("lang", "phrase", "x", "y", "a", "l", "r", score_of(F.col("a"), F.col("l"), F.col("r")).alias("score"), bound.alias("bound")), "pairs")
 
 
 def _limits(pairs: DataFrame, rank: int | None) -> DataFrame:
-    """(lang, tau): the score at ``rank`` among a language's pairs, 0 where it has fewer."""
+    """(lang, tau): a score that ``rank`` or a few more of a language's pairs reach, 0 where it has fewer.
+
+    Pairs are counted by the size of their score, a few hundred classes a language, so no
+    language is ordered in one task.
+    """
     if rank is None:
         return pairs.select("lang").distinct().withColumn("tau", F.lit(0).cast("long"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"))
-    top = pairs.select("lang", "score", F.row_number().over(order).alias("at")).where(F.col("at") <= rank)
-    sized = top.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    return sized.select("lang", F.when(F.col("n") < rank, F.lit(0)).otherwise(F.col("least")).cast("long").alias("tau"))
+    size = F.floor(CLASSES * F.log2(F.col("score") + 1))
+    classes = pairs.groupBy("lang", size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    above = Window.partitionBy("lang").orderBy(F.desc("size"))
+    summed = classes.select("lang", "least", F.sum("n").over(above).alias("upto"))
+    sized = summed.groupBy("lang").agg(F.max(F.when(F.col("upto") >= rank, F.col("least"))).alias("least"))
+    return sized.select("lang", F.coalesce("least", F.lit(0)).cast("long").alias("tau"))
 
 
 def _triples(grown: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -311,8 +320,8 @@ def _triples(grown: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = grown.select("lang", "phrase", "a", begin, end)
     first = pairs.select("lang", F.col("phrase").alias("begin"), F.col("a").alias("l2"), F.col("l").alias("l1"))
     last = pairs.select("lang", F.col("phrase").alias("end"), F.col("a").alias("r1"), F.col("r").alias("r2"))
-    rows = scale.sized_join(rows, first, ["lang", "begin"], F.col("phrase"))
-    rows = scale.sized_join(rows, last, ["lang", "end"], F.col("phrase"))
+    rows = scale.sized_join(rows, first, ["lang", "begin"], F.col("phrase"), limit_bytes=BROADCAST_BYTES)
+    rows = scale.sized_join(rows, last, ["lang", "end"], F.col("phrase"), limit_bytes=BROADCAST_BYTES)
     s1, s2 = (score_of(F.col("a"), F.col(f"l{k}"), F.col(f"r{k}")) for k in (1, 2))
     cut = lambda one, two: F.when(F.col("s1") <= F.col("s2"), F.col(one)).otherwise(F.col(two))
     rows = rows.withColumns({"s1": s1, "s2": s2})
