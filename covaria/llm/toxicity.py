@@ -26,11 +26,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from covaria.llm.tables import WordHashes, mixed
+
 LETTERS = 64
 ORDER = 3
 DECAY = 0.6
@@ -39,10 +40,10 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 MEMO_WORDS = 100_000
 LEAST_SHARE = 0.4
-FALSE_MARKS = 0.3
+FALSE_MARKS = 0.1
 MARK_LETTERS = (3, 10)
 LANDMARKS = 512
-COMMON_WORDS = 64
+COMMON_WORDS = 192
 TOP_WORDS = 3
 SPLITS = 3
 # Signs that stand for letters.
@@ -161,6 +162,28 @@ class Scorer:
         return out
 
 
+class Examples:
+    """Words as their subsequences among those ``held``, for margins under many weights."""
+
+    def __init__(self, words: list[str], held: np.ndarray):
+        index = np.full(LETTERS**ORDER, -1)
+        index[held] = np.arange(len(held))
+        rows, codes, values = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for places, code, value in subsequences(words):
+            known = index[code]
+            at, column = np.nonzero(known >= 0)
+            rows.append(places[at].astype(np.int32))
+            codes.append(code[at, column].astype(np.int32))
+            values.append(value[at, column].astype(np.float32))
+        self.size = len(words)
+        self.rows, self.codes, self.values = map(np.concatenate, (rows, codes, values))
+
+    def margins(self, codes: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+        table = np.zeros(LETTERS**ORDER)
+        table[codes] = weights
+        return np.bincount(self.rows, table[self.codes] * self.values, self.size) + bias
+
+
 def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of every word with every landmark."""
     held = np.unique(np.concatenate([c.ravel() for _, c, _ in subsequences(landmarks)]))
@@ -170,7 +193,7 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(landmarks)))
     index = np.full(LETTERS**ORDER, len(held))
     index[held] = np.arange(len(held))
-    for places, codes, values in subsequences(words, 40_000):
+    for places, codes, values in subsequences(words, 20_000):
         known = index[codes]
         rows, columns = np.nonzero(known < len(held))
         cuts = np.flatnonzero(np.diff(rows, prepend=-1))
@@ -180,18 +203,17 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def unlike(documents: list[set[str]], bands: int = 3) -> list[set[str]]:
-    """Without near copies, whose chance words would else look frequent: word-set MinHash, two rows a band."""
+def unlike(documents: list[set[str]], bands: int = 3) -> list[int]:
+    """Places without near copies, whose chance words would else look frequent: word-set MinHash, two rows a band."""
     seen: set[tuple] = set()
     kept = []
-    for words in documents:
-        least = [
-            min((xxhash.xxh64_intdigest(w.encode(), seed) for w in words), default=0)
-            for seed in range(2 * bands)
-        ]
+    hashes = WordHashes()
+    for i, words in enumerate(documents):
+        codes = hashes.of(list(words)) if words else np.zeros(1, np.uint64)
+        least = [int(mixed(codes + np.uint64(seed)).min()) for seed in range(2 * bands)]
         keys = {(b, *least[2 * b : 2 * b + 2]) for b in range(bands)}
         if not keys & seen:
-            kept.append(words)
+            kept.append(i)
         seen |= keys
     return kept
 
@@ -210,54 +232,95 @@ def _frequent_parts(documents: list[set[str]]) -> Counter:
     least, most = MARK_LETTERS
     held: Counter = Counter()
     alive: set[str] = set()
+    active = [[f"<{w}>" for w in words] for words in documents]
     for size in range(least, most + 3):
         level: Counter = Counter()
-        for words in documents:
-            found = {p[i : i + size] for p in (f"<{w}>" for w in words) for i in range(len(p) - size + 1)}
-            level.update(found if size == least else (p for p in found if p[1:] in alive and p[:-1] in alive))
+        pieces: dict[str, tuple[str, ...]] = {}
+        same: dict[str, str] = {}  # one string for equal pieces of all words
+        for words in active:
+            found: set[str] = set()
+            for w in words:
+                own = pieces.get(w)
+                if own is None:
+                    own = (w[i : i + size] for i in range(len(w) - size + 1))
+                    own = own if size == least else (p for p in own if p[1:] in alive and p[:-1] in alive)
+                    own = pieces[w] = tuple(same.setdefault(p, p) for p in own)
+                found.update(own)
+            level.update(found)
         alive = {p for p, n in level.items() if n > 2}
         held.update({p: level[p] for p in alive if least <= len(p.strip("<>")) <= most})
+        # Words without a frequent stretch of this size have no longer one.
+        going = {w for w, own in pieces.items() if not alive.isdisjoint(own)}
+        active = [[w for w in words if w in going] for words in active]
     return held
 
 
-def _documents_with(parts: Counter, documents: list[set[str]]) -> Counter:
-    known: dict[str, tuple[str, ...]] = {}
-    seen: Counter = Counter()
-    for words in documents:
-        for word in words - known.keys():
-            known[word] = tuple(p for p in parts_of(word) if p in parts)
-        seen.update({p for w in words for p in known[w]})
-    return seen
-
-
-def _highest_share(toxic: list[set[str]], clean: list[set[str]]) -> float:
-    """The share of toxic documents where it is highest: among those with some everyday word.
+class Evidence:
+    """Toxic and clean documents that each stretch of letters is in, for each of ``SPLITS`` parts of the documents.
 
-    A language may have more toxic documents than others; its everyday words show it.
+    Every document is read once for all trainings. Stretches that cannot reach ``LEAST_SHARE``
+    any more, in whatever parts, are given up while the clean documents are read.
     """
-    known = Counter(w for words in clean for w in words)
-    marked = Counter(w for words in toxic for w in words)
-    everyday = [w for w, n in known.items() if n >= 0.03 * len(clean) and n + marked[w] >= 50]
-    shares = [marked[w] / (marked[w] + known[w]) for w in everyday]
-    return max([*shares, len(toxic) / (len(toxic) + len(clean))])
-
 
-def marks_of(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Stretches of letters that mark toxic documents, most frequent first; none lies in another.
-
-    A stretch found in ``a`` documents must be so toxic that, were labels dealt by chance,
-    fewer than ``FALSE_MARKS`` of all stretches in so many documents would be. It is lengthened
-    as long as it keeps nearly all of its documents. Their number has no limit.
-    """
-    toxic = unlike(toxic)
-    share = _highest_share(toxic, clean)
-    hits = _frequent_parts(toxic)
-    seen = _documents_with(hits, clean)
-    among = Counter(n + seen[k] for k, n in hits.items())
-    # Far more toxic than the documents of any language are on the whole.
-    wanted = max(LEAST_SHARE, min(0.9, 3 * share))
-    pure = {k: n for k, n in hits.items() if n >= wanted * (n + seen[k])}
-    pure = {k: n for k, n in pure.items() if among[n + seen[k]] * _tail(n, n + seen[k], share) < FALSE_MARKS}
+    def __init__(self, toxic: list[set[str]], clean: list[set[str]]):
+        kept = unlike(toxic)
+        self.toxic = [[toxic[i] for i in kept if i % SPLITS == part] for part in range(SPLITS)]
+        self.clean = [clean[part::SPLITS] for part in range(SPLITS)]
+        # Each stretch is one string, which all words share.
+        self.held = {p: p for p in _frequent_parts([toxic[i] for i in kept])}
+        self.known: dict[str, tuple[str, ...]] = {}
+        self.hits = [Counter() for _ in range(SPLITS)]
+        self.seen = [Counter() for _ in range(SPLITS)]
+        for part, documents in enumerate(self.toxic):
+            for words in documents:
+                self._count(self.hits[part], words)
+        check = 32
+        for i in range(len(clean)):
+            self._count(self.seen[i % SPLITS], clean[i])
+            if i == check:
+                check *= 2
+                self._give_up()
+
+    def _count(self, counts: Counter, words: set[str]) -> None:
+        found: set[str] = set()
+        for word in words:
+            parts = self.known.get(word)
+            if parts is None:
+                parts = self.known[word] = tuple(self.held[p] for p in parts_of(word) if p in self.held)
+            found.update(parts)
+        counts.update(found)
+
+    def _give_up(self) -> None:
+        for part in list(self.held):
+            hits, seen = sum(h[part] for h in self.hits), [s[part] for s in self.seen]
+            if hits < LEAST_SHARE * (hits + sum(seen) - max(seen)):
+                del self.held[part]
+        self.hits, self.seen = ([Counter({k: n for k, n in c.items() if k in self.held}) for c in g] for g in (self.hits, self.seen))
+        self.known = {}
+
+    def marks(self, without: int | None = None) -> list[str]:
+        """Stretches of letters that mark toxic documents, most frequent first; none lies in another.
+
+        A stretch found in ``a`` documents must be so toxic that, were labels dealt by chance,
+        fewer than ``FALSE_MARKS`` of the stretches in so many documents would be. It is lengthened
+        as long as it keeps nearly all of its documents. Their number has no limit.
+        """
+        used = [p for p in range(SPLITS) if p != without]
+        toxic, clean = ([w for p in used for w in group[p]] for group in (self.toxic, self.clean))
+        if not toxic or not clean:
+            return []
+        share = _highest_share(toxic, clean)
+        hits = {k: sum(self.hits[p][k] for p in used) for k in self.held}
+        hits = {k: n for k, n in hits.items() if n > 2}
+        total = {k: n + sum(self.seen[p][k] for p in used) for k, n in hits.items()}
+        among = Counter(total.values())
+        # Far more toxic than the documents of any language are on the whole.
+        wanted = max(LEAST_SHARE, min(0.9, 3 * share))
+        pure = {k: n for k, n in hits.items() if n >= wanted * total[k] and among[total[k]] * _tail(n, total[k], share) < FALSE_MARKS}
+        return _longest(pure)
+
+
+def _longest(pure: dict[str, int]) -> list[str]:
     longer = defaultdict(list)
     for k in pure:
         longer[k[:-1]].append(k)
@@ -279,6 +342,18 @@ def marks_of(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     return sorted(chosen, key=lambda k: (-pure[k], k))
 
 
+def _highest_share(toxic: list[set[str]], clean: list[set[str]]) -> float:
+    """The share of toxic documents where it is highest: among those with some everyday word.
+
+    A language may have more toxic documents than others; its everyday words show it.
+    """
+    known = Counter(w for words in clean for w in words)
+    marked = Counter(w for words in toxic for w in words)
+    everyday = [w for w, n in known.items() if n >= 0.03 * len(clean) and n + marked[w] >= 50]
+    shares = [marked[w] / (marked[w] + known[w]) for w in everyday]
+    return max([*shares, len(toxic) / (len(toxic) + len(clean))])
+
+
 @lru_cache(maxsize=100_000)
 def _tail(hits: int, total: int, share: float) -> float:
     """Chance that ``hits`` or more of ``total`` documents are toxic by chance."""
@@ -336,16 +411,19 @@ def train(
     """
     stand = counts or (len(toxic), len(clean))
     share = stand[0] / max(1, sum(stand))
-    toxic, clean = ([set(x) for x in sorted({tuple(sorted(w)) for w in group})] for group in (toxic, clean))
+    toxic, clean = (_unique(group) for group in (toxic, clean))
+    evidence = Evidence(toxic, clean)
+    marks = [evidence.marks(part) for part in [*range(SPLITS), None]]
+    del evidence
     features, truth = [np.zeros((0, 3))], [np.zeros(0)]
     for part in range(SPLITS):
         rest = [[w for i, w in enumerate(group) if i % SPLITS != part] for group in (toxic, clean)]
-        if (machine := _machine(*rest, seed)) is not None:
+        if (machine := _machine(*rest, marks[part], seed)) is not None:
             for group, label in ((toxic, 1.0), (clean, 0.0)):
                 if group[part::SPLITS]:
                     features.append(Scorer(*machine).texts(group[part::SPLITS]))
                     truth.append(np.full(len(features[-1]), label))
-    machine = _machine(toxic, clean, seed)
+    machine = _machine(toxic, clean, marks[-1], seed)
     x, y = np.concatenate(features), np.concatenate(truth)
     if machine is None or len(set(y)) < 2:
         return {"codes": [], "weights": [], "bias": -1.0, "sigmoid": [0.0] * 4, "share": share}
@@ -358,13 +436,20 @@ def train(
     }
 
 
-def _machine(toxic: list[set[str]], clean: list[set[str]], seed: int) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """The SVM as subsequence codes, their weights, and the bias; None without a toxic word.
+def _unique(documents: list[set[str]]) -> list[set[str]]:
+    """Different documents, in an order that does not depend on how they came."""
+    held = {" ".join(sorted(words)): words for words in documents}
+    return [held[k] for k in sorted(held)]
+
+
+def _machine(
+    toxic: list[set[str]], clean: list[set[str]], marks: list[str], seed: int
+) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """The SVM as subsequence codes, their weights, and the bias; None without a mark.
 
     Toxic examples are all words of toxic documents that hold a mark anywhere and are seldom in
     others; all other words of clean documents are clean examples. Landmarks are a basis only.
     """
-    marks = marks_of(toxic, clean) if toxic and clean else []
     if not marks:
         return None
     draw = random.Random(seed)
@@ -385,21 +470,26 @@ def _machine(toxic: list[set[str]], clean: list[set[str]], seed: int) -> tuple[n
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     negative = sorted(frequent.keys() - set(positive))
     draw.shuffle(negative)
+    # An everyday word that is taken for toxic would do so in every text that has it.
+    often = np.sqrt([frequent[w] for w in negative])
     features = lambda words: np.hstack([_kernel(words, landmarks) @ whiten, np.ones((len(words), 1))])
     good = features([*positive, *varied])
+    every = Examples(negative, _weights(landmarks, np.zeros(len(landmarks)), 0.0)[0])
+    used = np.argsort(-often, kind="stable")[:5000]
     trained = np.zeros(len(negative), bool)
-    trained[:5000] = True
-    other = features(negative[:5000])
+    trained[used] = True
+    other = features([negative[i] for i in used])
     for _ in range(5):  # add the clean words that the last model takes for toxic
         x = np.vstack([good, other])
         y = np.r_[np.ones(len(good)), -np.ones(len(other))]
-        weight = np.r_[np.full(len(positive), 1.0), np.full(len(varied), 0.3), np.full(len(other), 1.0)]
+        weight = np.r_[np.full(len(positive), 1.0), np.full(len(varied), 0.3), often[used]]
         w = _svm(x, y, weight, 1e-2)
         machine = _weights(landmarks, whiten @ w[:-1], float(w[-1]))
-        wrong = (Scorer(*machine).words(negative) > -0.9) & ~trained
+        wrong = (every.margins(*machine) > -0.9) & ~trained
         if not wrong.any():
             break
         trained |= wrong
+        used = np.r_[used, np.flatnonzero(wrong)]
         other = np.vstack([other, features([negative[i] for i in np.flatnonzero(wrong)])])
     return machine
 
@@ -424,7 +514,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1000, clean_rati
     fold; the labels of a doc_id count as toxic if one of them is. Only the distinct words
     of these documents come to the driver. The chances are those among all labelled rows.
     A text is scored by words of ``ORDER`` letters or more; an insult is learned from three
-    toxic documents on, or more if the labels leave it in doubt (``marks_of``).
+    toxic documents on, or more if the labels leave it in doubt (``Evidence.marks``).
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
