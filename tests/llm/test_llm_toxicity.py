@@ -108,7 +108,7 @@ def test_scores_equal_a_plain_kernel_machine(spark):
     """The score of a text from its words, by enumeration of subsequences."""
     made = model()
     weights = dict(zip(made["codes"], made["weights"], strict=True))
-    code = lambda k: int(np.array([[toxicity._letters([c])[0] for c in k]]) @ [toxicity.LETTERS**2, toxicity.LETTERS, 1])
+    code = lambda k: int(np.array([toxicity._letters([c])[0] for c in k]) @ [toxicity.LETTERS**2, toxicity.LETTERS, 1])
 
     def margin(word):
         held = spread(word)
