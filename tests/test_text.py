@@ -127,3 +127,12 @@ def test_parse_lists(spark):
     assert one(spark, "[4, 1, 4]", P.cluster_list) == [4, 1, 4]
     text = lambda x: P.topic_text(P.heaviest_first(P.topic_list(x)))
     assert one(spark, "[(7, 0.25), (3, 0.5)]", text) == "[(3, 0.5), (7, 0.25)]"
+
+
+def test_the_cleaner_passes_over_a_line_a_few_times(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([("1.2.3.4 - - - xy , 5",)], "line string")
+    clean = frame.select(X.clean_delimiters(F.col("line")).alias("y"))
+    assert clean.first()["y"] == "1_symbol_decimal_2_symbol_decimal_3_symbol_decimal_4_symbol_hyphen_symbol_hyphen_symbol_hyphen_xy_5"
+    assert str(clean._jdf.queryExecution().analyzed()).count("replace(") <= 14
