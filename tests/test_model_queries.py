@@ -99,3 +99,8 @@ def test_modelled_covariates(spark, sf):
     found = collected(spark, sf, "covariates_modelled")
     assert {r["family"] for r in found} == {"topic", "sentence_cluster"}
     assert all(TP.MIN_WEIGHT <= r["value"] <= 1 and r["feature"].rsplit("_", 1)[1].isdigit() for r in found)
+
+
+def test_fitted_clusters_are_those_of_the_nearest_centres(spark, sf):
+    found = collected(spark, sf, "fit_clusters")
+    assert len(found) == FX.vectors(spark, sf).count() and all(r["nearest"] for r in found)
