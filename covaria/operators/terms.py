@@ -19,6 +19,7 @@ from covaria.operators import cohort as C
 from covaria.operators import scale
 
 KEYS = ("empi", "expdate")
+MENTIONS_PER_TASK = 100_000
 # The column that names the concept in each module.
 CONCEPT_COLUMNS = {
     "ade": "SNOMED_PrefTerm",
@@ -228,12 +229,34 @@ def _winners(counted: DataFrame, groups: Sequence[str], values: Sequence[str]) -
     return best.select(*groups, *[F.col(f"best.{v}").alias(v) for v in values], "rows")
 
 
+def _modes(
+    rows: DataFrame, kept: Sequence[str], cells: Column, values: Sequence[str], out: Sequence[Column]
+) -> DataFrame:
+    """One row per participant of ``out`` over the winners of each kind of cell.
+
+    Rows move once, as they are, to the task of their participant, and are taken apart there; the
+    number of tasks grows with the rows. Participants that fill more than one task are counted by
+    cell all over the cluster; there are fewer of them than tasks.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // MENTIONS_PER_TASK)
+    shares = max(scale.fair_share(spark), tasks)
+    hot = F.broadcast(scale.staged(scale.hot_keys(rows, KEYS, shares).select(*KEYS), "hot-participants"))
+
+    def won(part: DataFrame) -> DataFrame:
+        groups = [*KEYS, *kept, "kind"]
+        each = part.select(*KEYS, *kept, F.inline(cells))
+        counted = each.groupBy(*groups, *values).agg(F.count(F.lit(1)).alias("n"))
+        return _winners(counted, groups, values).groupBy(*KEYS).agg(*out)
+
+    whole = rows.join(hot, list(KEYS), "left_anti").repartition(tasks, *KEYS)
+    return won(whole).unionByName(won(rows.join(hot, list(KEYS), "left_semi")))
+
+
 def participant_modes(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent value of each column per participant; ties go to the smallest.
 
-    Cells are counted by participant, column and value first, so a participant with
-    a third of all rows is spread over tasks, and later steps see counts only. Whole
-    numbers and dates travel as numbers, so that ties compare as such.
+    ``mentions`` are read three times. Whole numbers and dates are compared as numbers.
     """
     rows = _filled(mentions, [*KEYS, *columns])
     kinds = {f.name: f.dataType for f in rows.schema.fields}
@@ -249,12 +272,6 @@ def participant_modes(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
                 (number if whole else F.lit(None)).cast("bigint").alias("number"),
             )
         )
-    counted = (
-        rows.select(*KEYS, F.inline(F.array(*cells)))
-        .groupBy(*KEYS, "kind", "text", "number")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    best = _winners(counted, [*KEYS, "kind"], ["text", "number"])
     out = []
     for i, c in enumerate(columns):
         own = F.col("kind") == i
@@ -265,13 +282,13 @@ def participant_modes(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
         else:
             value = F.max(F.when(own, F.col("text"))).cast(kinds[c])
         out.append(value.alias(c))
-    return best.groupBy(*KEYS).agg(*out)
+    return _modes(rows, [], F.array(*cells), ["text", "number"], out)
 
 
 def module_summary(mentions: DataFrame) -> DataFrame:
     """Modes and row counts of concepts and terms in each of the four modules.
 
-    A module without rows gives nulls. Counting goes first, as in ``participant_modes``.
+    A module without rows gives nulls. ``mentions`` are read three times.
     """
     code = F.lit(None).cast("string")
     for name, column in CONCEPT_COLUMNS.items():
@@ -283,12 +300,6 @@ def module_summary(mentions: DataFrame) -> DataFrame:
         [*KEYS, "module", *kinds],
     )
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in kinds])
-    counted = (
-        rows.select(*KEYS, "module", F.inline(pairs))
-        .groupBy(*KEYS, "module", "kind", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    best = _winners(counted, [*KEYS, "module", "kind"], ["v"])
     out = []
     for module, names in SUMMARY_COLUMNS.items():
 
@@ -300,7 +311,7 @@ def module_summary(mentions: DataFrame) -> DataFrame:
         for kind, name in zip(wanted, names):
             cell = own("code", "rows") if kind is None else own(kind, "v")
             out.append(cell.alias(name))
-    return best.groupBy(*KEYS).agg(*out)
+    return _modes(rows, ["module"], pairs, ["v"], out)
 
 
 def missing_summary(cohort: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.ml.clustering import KMeansModel, LocalLDAModel
 from pyspark.sql import DataFrame
@@ -194,8 +195,12 @@ def term_tables(cohort: DataFrame, mentions: DataFrame, path: str) -> Matrices:
     spark = cohort.sparkSession
     plain = term_matrices(cohort, mentions, f"{path}/terms")
 
+    @cache
+    def demographics() -> DataFrame:
+        return scale.staged(term_demographics(cohort.select(*terms.KEYS), mentions), "demographics")
+
     def joined(rows: DataFrame) -> DataFrame:
-        return rows.join(term_demographics(cohort.select(*terms.KEYS), mentions), list(terms.KEYS))
+        return rows.join(demographics(), list(terms.KEYS))
 
     return Matrices(
         writers.reused(spark, f"{path}/frequency_demographics", lambda: joined(plain.frequency)),

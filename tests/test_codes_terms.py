@@ -8,6 +8,7 @@ from covaria.functions import keys as K
 from covaria.operators import codes as CO
 from covaria.operators import matrix as M
 from covaria.operators import terms as T
+from covaria.plans import jobs as PL
 
 
 def events(spark):
@@ -141,3 +142,25 @@ def test_wide_long_round_trip_and_sparse(spark):
         ("1", [0, 1], [1.0, 2.0]), ("2", [1], [3.0]), ("3", [2], [4.0]), ("4", [], [])
     ]
     assert rows(M.matrix_size(long)) == [(3, 3)]
+
+
+def test_modes_move_rows_once_and_spread_hot_participants(spark, monkeypatch):
+    monkeypatch.setattr(T, "MENTIONS_PER_TASK", 2)
+    data = [(1, "ade", "b" if i % 3 else "a", 0, None, "x") for i in range(90)]
+    data += [(k, "Problem", t, 1, 0, None) for k in range(2, 5) for t in ("d", "c")]
+    frame = T.tagged(mentions(spark, data).withColumn("empi", F.col("key").cast("string")))
+    modes = T.participant_modes(frame, ["term", "negated_mod", "family_history_mod", "rxcui", "notedate"])
+    want = [("1", INDEX, "b", 0, None, "x", day(1)), *[(str(k), INDEX, "c", 1, 0, "NA", day(1)) for k in range(2, 5)]]
+    assert rows(modes) == want
+    summary = T.module_summary(frame).select("empi", "term_ade_module_entries", "most_frequent_problem_term_orig")
+    assert rows(summary) == [("1", 90, None), ("2", None, "c"), ("3", None, "c"), ("4", None, "c")]
+    assert "REPARTITION_BY_NUM" in modes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_demographics_of_term_tables_are_made_once(spark, tmp_path, monkeypatch):
+    made, whole = [], PL.term_demographics
+    monkeypatch.setattr(PL, "term_demographics", lambda *given: made.append(1) or whole(*given))
+    frame = mentions(spark, [(1, "ade", "a", 0, 0, "x")])
+    for _ in range(2):
+        tables = PL.term_tables(cohort(spark, ["1", "2"]), frame, str(tmp_path))
+    assert made == [1] and tables.binary.count() == tables.frequency.count() == 4
