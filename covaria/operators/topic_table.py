@@ -9,15 +9,23 @@ terms: the same counts give the same model.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from covaria.operators import scale
 
 HEX_DIGITS = "0123456789abcdef"
+FEW_TOPICS = 64
+MOST_CELLS = 1 << 22
 
 
 def _joined(big: DataFrame, other: DataFrame, key: str, spread_by: Column, fits: bool) -> DataFrame:
@@ -26,62 +34,81 @@ def _joined(big: DataFrame, other: DataFrame, key: str, spread_by: Column, fits:
     return scale.salted_join(big, other, [key], spread_by)
 
 
-def _normal(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(values, lambda x: x / total)
+def _named(name: str, k: int) -> list[str]:
+    return [f"_{name}{i}" for i in range(k)]
+
 
+def _added(values: list[Column]) -> Column:
+    """The sum from left to right; of many topics by a loop, as a long sum is a deep expression."""
+    if len(values) <= FEW_TOPICS:
+        return reduce(lambda a, x: a + x, values)
+    return F.aggregate(F.array(*values), F.lit(0.0), lambda a, x: a + x)
 
-def _summed(rows: DataFrame, key: str) -> DataFrame:
-    """(key, sums): the cell-wise sum of ``shares`` of each key."""
-    total = Summarizer.sum(F.col("_shares"))
-    return rows.withColumn("_shares", array_to_vector("shares")).groupBy(key).agg(vector_to_array(total).alias("sums"))
 
+def _summed(shares: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, shares): the sum of each topic's shares over the rows of each key."""
+    return shares.groupBy(key).agg(*[F.sum(s).alias(s) for s in _named("share", k)])
 
-def first_terms(terms: DataFrame, k: int) -> DataFrame:
+
+def _first_terms(terms: DataFrame, k: int) -> DataFrame:
     """(term, weights): a topic's chance of each term to begin with, from the term's hash."""
     digit = lambda i: F.instr(F.lit(HEX_DIGITS), F.substring(F.md5(F.concat("term", F.lit(f"#{i}")).cast("binary")), 1, 1))
-    drawn = terms.select("term", F.array(*[digit(i).cast("double") for i in range(k)]).alias("shares"))
-    return _by_topic(drawn.withColumnRenamed("shares", "sums"), k, 0.0)
+    drawn = terms.select("term", *[digit(i).cast("double").alias(s) for i, s in enumerate(_named("share", k))])
+    return _by_topic(drawn, k, 0.0)
 
 
 def _by_topic(rows: DataFrame, k: int, beta: float) -> DataFrame:
     """(term, weights): sums per term, smoothed by ``beta`` and divided by the topic's total."""
-    smooth = rows.select("term", F.transform("sums", lambda x: x + beta).alias("shares"))
+    smooth = scale.staged(rows.select("term", *[(F.col(s) + beta).alias(s) for s in _named("share", k)]), "sums")
     # One row of k numbers.
-    totals = smooth.agg(vector_to_array(Summarizer.sum(array_to_vector("shares"))).alias("totals"))
+    totals = smooth.agg(*[F.sum(s).alias(t) for s, t in zip(_named("share", k), _named("total", k))])
     every = smooth.join(F.broadcast(totals))
-    return every.select("term", F.zip_with("shares", "totals", lambda x, t: x / t).alias("weights"))
+    parts = zip(_named("share", k), _named("total", k), _named("weight", k))
+    return every.select("term", *[(F.col(s) / F.col(t)).alias(w) for s, t, w in parts])
 
 
-def _shares(rows: DataFrame) -> DataFrame:
+def _shares(rows: DataFrame, k: int) -> DataFrame:
     """What each topic takes of a word of a note: its weight in both, scaled to the word's count."""
-    product = F.zip_with("theta", "weights", lambda a, b: a * b)
-    return rows.select("note_id", "term", F.transform(_normal(product), lambda x: x * F.col("tf")).alias("shares"))
+    products = [F.col(t) * F.col(w) for t, w in zip(_named("theta", k), _named("weight", k))]
+    total = _added(products)
+    shares = [(p / total * F.col("tf")).alias(s) for p, s in zip(products, _named("share", k))]
+    return rows.select("note_id", "term", *shares)
 
 
 def _even(bag: DataFrame, k: int) -> DataFrame:
-    return bag.select("note_id").distinct().withColumn("theta", F.array_repeat(F.lit(1.0 / k), k))
+    return bag.select("note_id").distinct().select("note_id", *[F.lit(1.0 / k).alias(t) for t in _named("theta", k)])
 
 
-def _theta(rows: DataFrame, alpha: float) -> DataFrame:
+def _theta(sums: DataFrame, k: int, alpha: float) -> DataFrame:
     """(note_id, theta): the smoothed shares of the topics in each note."""
-    return _summed(rows, "note_id").select("note_id", _normal(F.transform("sums", lambda x: x + alpha)).alias("theta"))
+    smooth = [F.col(s) + alpha for s in _named("share", k)]
+    total = _added(smooth)
+    return sums.select("note_id", *[(x / total).alias(t) for x, t in zip(smooth, _named("theta", k))])
 
 
 def fit(bag: DataFrame, k: int, steps: int = 20, alpha: float | None = None, beta: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """Topics (term, weights) and notes (note_id, theta) after ``steps`` steps over ``bag`` (note_id, term, tf)."""
+    """Topics (term, weights) and notes (note_id, theta) after ``steps`` steps over ``bag`` (note_id, term, tf).
+
+    Inside, topics are columns, whose sums Spark compiles. The words of a note lie together, so that a task
+    sums them before they are shuffled.
+    """
     alpha = 1.0 / k if alpha is None else alpha
-    bag = scale.staged(bag.select("note_id", "term", F.col("tf").cast("double").alias("tf")), "bag")
-    topics = scale.staged(first_terms(bag.select("term").distinct(), k), "topics")
+    bag = bag.select("note_id", "term", F.col("tf").cast("double").alias("tf"))
+    bag = scale.staged(bag.repartition("note_id"), "bag")
+    topics = scale.staged(_first_terms(bag.select("term").distinct(), k), "topics")
     notes = scale.staged(_even(bag, k), "notes")
     # The tables keep their sizes, so one check serves all steps.
     few_terms, few_notes = scale.small(topics), scale.small(notes)
     for _ in range(steps):
         met = _joined(_joined(bag, topics, "term", F.col("note_id"), few_terms), notes, "note_id", F.col("term"), few_notes)
-        shares = scale.staged(_shares(met), "shares")
-        topics = scale.staged(_by_topic(_summed(shares, "term"), k, beta), "topics")
-        notes = scale.staged(_theta(shares, alpha), "notes")
-    return topics, notes
+        shares = _shares(met, k)
+        # Broadcast joins cost less twice than the shares take on disk; shuffles are made once.
+        if not (few_terms and few_notes):
+            shares = scale.staged(shares, "shares")
+        topics = scale.staged(_by_topic(_summed(shares, "term", k), k, beta), "topics")
+        notes = scale.staged(_theta(_summed(shares, "note_id", k), k, alpha), "notes")
+    held = lambda rows, key, name, kept: rows.select(key, F.array(*_named(name, k)).alias(kept))
+    return held(topics, "term", "weight", "weights"), held(notes, "note_id", "theta", "theta")
 
 
 def fold_in(bag: DataFrame, topics: DataFrame, k: int, steps: int = 20, alpha: float | None = None) -> DataFrame:
@@ -94,18 +121,37 @@ def fold_in(bag: DataFrame, topics: DataFrame, k: int, steps: int = 20, alpha: f
     counts = bag.select("note_id", "term", F.col("tf").cast("double").alias("tf"))
     met = _joined(counts, topics, "term", F.col("note_id"), scale.small(topics))
     held = met.groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf", "weights"))).alias("words"))
-
-    def step(theta: Column, _: Column) -> Column:
-        def added(total: Column, word: Column) -> Column:
-            product = F.zip_with(theta, word["weights"], lambda a, b: a * b)
-            whole = F.aggregate(product, F.lit(0.0), lambda a, x: a + x)
-            return F.zip_with(total, product, lambda t, x: t + word["tf"] * x / whole)
-
-        sums = F.aggregate("words", F.array_repeat(F.lit(alpha), k), added)
-        return _normal(sums)
-
-    start = F.array_repeat(F.lit(1.0 / k), k)
-    return held.select("note_id", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).alias("theta"))
+    shape = T.StructType([held.schema["note_id"], T.StructField("theta", T.ArrayType(T.DoubleType()))])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            notes, tf, weights = batch.columns
+            counts, matrix = tf.flatten().to_numpy(), weights.flatten().flatten().to_numpy().reshape(-1, k)
+            ends = np.cumsum(pc.list_value_length(tf).to_numpy())
+            starts = np.concatenate(([0], ends))
+            theta = np.empty((len(notes), k))
+            # Notes are taken together while their words and topics make up ``MOST_CELLS``.
+            cuts = np.flatnonzero(np.diff(starts[:-1] // max(1, MOST_CELLS // k))) + 1
+            for first, last in pairwise([0, *cuts.tolist(), len(notes)]):
+                at, end = starts[first], starts[last]
+                theta[first:last] = _fold(counts[at:end], matrix[at:end], starts[first:last] - at, steps, alpha)
+            rows = pa.ListArray.from_arrays(np.arange(0, theta.size + 1, k, dtype=np.int32), theta.ravel())
+            yield pa.RecordBatch.from_arrays([notes, rows], ["note_id", "theta"])
+
+    return held.select("note_id", "words.tf", "words.weights").mapInArrow(folded, shape)
+
+
+def _fold(tf: np.ndarray, weights: np.ndarray, starts: np.ndarray, steps: int, alpha: float) -> np.ndarray:
+    """Topics of the notes whose words begin at ``starts``."""
+    note = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(tf))))
+    theta = np.full((len(starts), weights.shape[1]), 1.0 / weights.shape[1])
+    with np.errstate(divide="raise", invalid="raise"):
+        for _ in range(steps):
+            product = theta[note] * weights
+            product *= (tf / product.sum(axis=1))[:, None]
+            sums = np.add.reduceat(product, starts, axis=0) + alpha
+            theta = sums / sums.sum(axis=1, keepdims=True)
+    return theta
 
 
 def top_terms(topics: DataFrame, n: int = 20) -> DataFrame:
