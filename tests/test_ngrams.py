@@ -80,6 +80,18 @@ def test_substring_match_equals_brute_force(spark, n, preprocessor):
     assert got == sorted(((e, f, d) for (e, f), d in best.items()), key=repr)
 
 
+def test_longer_features_are_matched_where_the_notes_are(spark, monkeypatch):
+    frame = tokens(spark, [(1, "1", "Car", 3, "h\nart beat xart beating"), (2, "2", "Car", 4, "h\nart")])
+    two = spark.createDataFrame([("art beat",), ("art b",), ("rt beati",), ("xart x",)], "ngram string")
+
+    def staged(*_):
+        raise AssertionError("chunks are written and shuffled")
+
+    monkeypatch.setattr(scale, "staged", staged)
+    found = rows(N.substring_presence(frame, 2, "empi", two), "empi", "ngram")
+    assert found == [("1", "art b"), ("1", "art beat"), ("1", "rt beati")]
+
+
 def test_totals_and_unknown_preprocessor(spark):
     presence = N.token_presence(tokens(spark, TWO), 1, "empi_expdate")
     assert rows(N.feature_totals(presence)) == [(1, 2)]
