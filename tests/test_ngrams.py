@@ -92,6 +92,18 @@ def test_longer_features_are_matched_where_the_notes_are(spark, monkeypatch):
     assert found == [("1", "art b"), ("1", "art beat"), ("1", "rt beati")]
 
 
+@pytest.mark.parametrize("n", [2, 3])
+def test_ngrams_are_made_in_compiled_code(spark, n):
+    frame = tokens(spark, [(1, "1", "Car", 3, "h\nx q x q x"), (2, "2", "Car", 4, "h\nx"), (3, "2", "Car", 4, "h")])
+    counts = N.ngram_counts(frame.select("tokens"), n)
+    assert rows(counts) == ([("q x", 2), ("x q", 2)] if n == 2 else [("q x q", 1), ("x q x", 2)])
+    chosen = counts.where("n = 2").select("ngram")
+    found = N.token_presence(frame, n, "empi", chosen)
+    assert rows(found, "empi", "ngram") == [("1", g) for g in (["q x", "x q"] if n == 2 else ["x q x"])]
+    for made in (counts, found):
+        assert "zip_with" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_totals_and_unknown_preprocessor(spark):
     presence = N.token_presence(tokens(spark, TWO), 1, "empi_expdate")
     assert rows(N.feature_totals(presence)) == [(1, 2)]
