@@ -138,9 +138,13 @@ def log_perplexity(model: LDAModel, vectors: DataFrame) -> float:
 
 
 def unnested(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per note and topic, without notes that have an empty list."""
-    full = rows.where(F.size("topic_contributions") > 0)
-    return full.select(*keys, F.inline("topic_contributions"))
+    """One row per note and topic, without notes that have an empty list.
+
+    The list is not asked for its size: that test would move below it, and a model would be
+    asked again for the topics of each note.
+    """
+    each = rows.select(*keys, F.posexplode_outer("topic_contributions").alias("pos", "pair"))
+    return each.where(F.col("pos").isNotNull()).select(*keys, "pair.*")
 
 
 def topic_pivot(rows: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:

@@ -229,3 +229,12 @@ def test_a_loaded_topic_model_keeps_its_vocabulary(spark, tmp_path):
     assert PL.topic_job(later, JobConfig(), 2, str(tmp_path)).count() == 80
     words = {r["term"] for r in spark.read.parquet(f"{tmp_path}/k=2/topic_terms").collect()}
     assert "kidney" not in words and words <= set(pool)
+
+
+def test_topic_features_ask_the_model_once_a_note(spark):
+    data = [(i, "1", "2020-01-01", "2020-01-01", "Car", 1, ["a", "b"] if i % 2 else ["c", "d"]) for i in range(8)]
+    names = "note_id long, empi string, expdate string, notedate string, notetype string, days int, tokens array<string>"
+    vectors = TP.vectorised(spark.createDataFrame(data, names), ["a", "b", "c", "d"])
+    given = TP.contributions(TP.fit_topics(vectors, 2, 1), vectors)
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(TP.as_features(given)).count("UDF(") == plan(given).count("UDF(") > 0
