@@ -48,11 +48,43 @@ def document_frequency(
     return scale.largest(kept, keep, "notes", "term")
 
 
+def term_counts(tokens: DataFrame) -> DataFrame:
+    """Each term of a row with how often it stands there, counted as runs of the sorted tokens.
+
+    A row is counted by itself, so no task holds the terms of all its rows.
+    """
+    place = F.filter(
+        F.sequence(F.lit(0), F.size("sorted") - 1),
+        lambda i: (i == 0) | (F.get("sorted", i) != F.get("sorted", i - 1)),
+    )
+    # Where the runs begin, and the end of the last one.
+    edges = F.when(F.size("sorted") > 0, F.concat(place, F.array(F.size("sorted"))))
+    held = tokens.select("note_id", F.sort_array(F.array_compact("tokens")).alias("sorted"))
+    cut = held.select("note_id", "sorted", edges.alias("edges"))
+    runs = F.when(F.col("edges").isNotNull(), F.sequence(F.lit(0), F.size("edges") - 2))
+    each = scale.exploded(cut, ["note_id", "sorted", "edges"], runs, "i")
+    begin, end = F.get("edges", F.col("i")), F.get("edges", F.col("i") + 1)
+    return each.select("note_id", F.get("sorted", begin).alias("term"), (end - begin).cast("long").alias("tf"))
+
+
 def bag_of_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Term counts per note over the vocabulary."""
-    each = scale.exploded(tokens, ["note_id"], F.col("tokens"), "term")
-    known = scale.sized_join(each, vocabulary.select("term"), ["term"], F.col("note_id"), "left_semi")
-    return known.groupBy("note_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Term counts per note over the vocabulary; rows of one note id are added up."""
+    terms = vocabulary.select("term")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return scale.sized_join(term_counts(rows), terms, ["term"], F.col("note_id"), "left_semi")
+
+    ids = tokens.groupBy("note_id").agg(F.count(F.lit(1)).alias("n"))
+    again = ids.where((F.col("n") > 1) | F.col("note_id").isNull()).select("note_id")
+    again = scale.staged(again, "repeated-notes")
+    if again.isEmpty():
+        return counted(tokens).select("note_id", "term", "tf")
+    marks = again.withColumn("again", F.lit(True))
+    marked = scale.sized_join(tokens, marks, ["note_id"], F.xxhash64("tokens"), "left")
+    twice = F.coalesce("again", F.col("note_id").isNull())
+    once = counted(marked.where(~twice)).select("note_id", "term", "tf")
+    more = counted(marked.where(twice)).groupBy("note_id", "term").agg(F.sum("tf").alias("tf"))
+    return once.unionByName(more)
 
 
 def vocabulary_list(vocabulary: DataFrame) -> list[str]:

@@ -238,3 +238,17 @@ def test_topic_features_ask_the_model_once_a_note(spark):
     given = TP.contributions(TP.fit_topics(vectors, 2, 1), vectors)
     plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan(TP.as_features(given)).count("UDF(") == plan(given).count("UDF(") > 0
+
+
+def test_terms_are_counted_inside_their_note(spark):
+    names = "note_id long, tokens array<string>"
+    kept = spark.createDataFrame([("a",), ("b",)], "term string")
+    data = [(1, ["b", "a", "b", "c"]), (2, ["a"]), (3, []), (4, None), (5, ["c"]), (6, ["a", None, "a"])]
+    found = TP.bag_of_words(spark.createDataFrame(data, names), kept)
+    assert rows(found) == [(1, "a", 1), (1, "b", 2), (2, "a", 1), (6, "a", 2)]
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    again = [(None, ["a", "b"]), (None, ["b"]), (2, ["a", "a"])]
+    found = TP.bag_of_words(spark.createDataFrame(data + again, names), kept)
+    assert rows(found) == sorted(
+        [(1, "a", 1), (1, "b", 2), (2, "a", 3), (6, "a", 2), (None, "a", 1), (None, "b", 2)], key=repr
+    )
