@@ -4,6 +4,7 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from helpers import INDEX, cohort, notes, rows
 from pyspark.ml.clustering import KMeansModel
@@ -148,6 +149,43 @@ def test_window_counts_equal_brute_force(spark, window):
         assert p["n_both"] == both.get(tuple(sorted((p["t1"], p["t2"]))), 0)
 
 
+def test_pairs_are_counted_inside_the_tasks(spark, monkeypatch):
+    """Failed before: a row was made for each pair of words that a note has."""
+    rng = random.Random(2)
+    terms = [f"w{i:02d}" for i in range(12)]
+    docs = [rng.choices([*terms, "xxx", None], k=rng.randint(0, 400)) for _ in range(30)]
+    tokens = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "note_id long, tokens array<string>").repartition(2)
+    # Two topics share words, and only the best six words of each are asked for.
+    words = [(t, r + 1, terms[(r + 4 * t) % 12]) for t in (0, 1) for r in range(8)]
+    words = spark.createDataFrame(words, "topic int, rank int, term string")
+    near = sorted(terms[(r + 4 * t) % 12] for t in (0, 1) for r in range(6))
+    single, both, total = brute_counts(docs, near, 10)
+    for cells, wide in ((CH.CELLS, CH.WIDE), (36, CH.WIDE), (36, 3)):  # whole notes, few windows, few pairs at a time
+        monkeypatch.setattr(CH, "CELLS", cells)
+        monkeypatch.setattr(CH, "WIDE", wide)
+        places = CH.word_places(tokens, words)
+        counted = CH.pair_table(tokens, words, 10, 6, places).collect()
+        assert len(counted) == 30 and {p["total"] for p in counted} == {total}
+        for p in counted:
+            assert (p["n1"], p["n2"]) == (single[p["t1"]], single[p["t2"]])
+            assert p["n_both"] == both.get(tuple(sorted((p["t1"], p["t2"]))), 0)
+    low, high = CH.word_pairs(words, 6)
+    assert len(low) == 29 and (low < high).all()  # the two topics have one of 30 pairs in common
+    sent = CH._counted(terms, np.ones(12, bool), low, high, 10)
+    batches = places.select("length", "places").toArrow().to_batches(7)
+    (batch,) = sent(iter(batches))
+    assert batch.num_rows <= 12 + len(low)
+
+
+def test_rows_of_one_note_are_one_for_the_counts(spark):
+    tokens = [(1, ["aaa", "xxx", "bbb"]), (1, ["aaa", "xxx", "bbb"]), (None, ["aaa", "bbb", "x"]), (None, ["bbb", "aaa", "x"]), (2, None), (3, ["x"])]
+    frame = spark.createDataFrame(tokens, "note_id long, tokens array<string>")
+    words = spark.createDataFrame([(0, 1, "aaa"), (0, 2, "bbb")], "topic int, rank int, term string")
+    (pair,) = CH.pair_table(frame, words, 2).collect()
+    # Windows of note 1: 2 with neither pair; of the unnamed note: both words at 0 and 1.
+    assert (pair["n1"], pair["n2"], pair["n_both"], pair["total"]) == (3, 3, 2, 9)
+
+
 def test_coherence_of_words_that_always_meet(spark):
     tokens = spark.createDataFrame([(i, ["aaa", "bbb"] if i % 2 else ["ccc"]) for i in range(10)], "note_id long, tokens array<string>")
     words = spark.createDataFrame([(0, 1, "aaa"), (0, 2, "bbb"), (1, 1, "aaa"), (1, 2, "ccc")], "topic int, rank int, term string")
