@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from helpers import INDEX, cohort, notes, rows
-from pyspark.ml.clustering import KMeansModel
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.sql import functions as F
 
 from covaria.config import JobConfig
@@ -58,6 +58,29 @@ def test_clusters_of_blobs(spark, tmp_path):
     assert swept[0][2] > swept[1][2]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_sweep_equals_the_k_means_of_spark(spark, parts):
+    """Failed before: every fit ran in as many tasks as the file had."""
+    rng = random.Random(4)
+    data = [(i, [rng.gauss(i % 9, 0.4), rng.random(), rng.gauss(0, 3)]) for i in range(300)]
+    frame = spark.createDataFrame([*data, (300, None)], "vec_id long, embedding array<float>").coalesce(parts)
+    vectors = CL.with_vector(frame).select("embedding", "features").persist()
+    seen = []
+    spy = pytest.MonkeyPatch()
+    spy.setattr(CL, "_moved", lambda points, c, real=CL._moved: (seen.append(points.rdd.getNumPartitions()), real(points, c))[1])
+    try:
+        swept = rows(CL.cluster_sweep(frame, (3, 40, 300, 301)))
+    finally:
+        spy.undo()
+    for k, clusters, cost in swept:
+        model = KMeans(k=k, seed=0, initMode="random").fit(vectors.select("features"))
+        assert clusters == len(model.clusterCenters())
+        assert cost == pytest.approx(model.summary.trainingCost, rel=1e-9, abs=1e-9)
+    assert sorted(k for k, _, _ in swept) == [3, 40, 300]
+    assert set(seen) == {2 * spark.sparkContext.defaultParallelism}
+    vectors.unpersist()
+
+
 def test_nearest_centre_equals_brute_force(spark):
     frame = blobs(spark)
     centres = spark.createDataFrame([(5, [0.0, 0.0]), (2, [10.0, 1.0]), (9, [20.0, 0.5])], "cluster int, centre array<double>")
