@@ -189,9 +189,11 @@ def term_frequency(
 ) -> DataFrame:
     """Sum of indicators per participant and feature.
 
-    A participant without mentions has one missing term and one missing concept.
+    A participant without mentions has one missing term and one missing concept. Columns that
+    name no term, concept or assertion are neither shuffled nor written.
     """
-    inside = scale.staged(of_cohort(cohort, mentions), "cohort-mentions")
+    wanted = ("module", "term", *CONCEPT_COLUMNS.values(), "negated_mod", "family_history_mod")
+    inside = scale.staged(of_cohort(cohort, mentions).select(*KEYS, *wanted), "cohort-mentions")
     rows = indicators(tagged(inside), assertion)
     sums = rows.groupBy(*KEYS, "family", "feature").agg(
         F.sum(F.coalesce("indicator", F.lit(0))).alias("frequency")

@@ -12,6 +12,7 @@ import __spark_entry__ as contract
 from covaria.operators import scale
 from covaria.plans.catalogue import QUERIES
 from covaria.plans.oracles import oracles
+from covaria.sources import writers as W
 
 ORACLES = oracles()
 
@@ -121,3 +122,22 @@ def test_clean_removes_the_staged_tables(spark):
     assert again.count() == 2
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
         held.collect()
+
+
+def test_terms_are_counted_once_for_both_tables(spark, sf, monkeypatch):
+    """Failed before: the frequencies were counted again for the 0/1 table, from mentions with all their columns."""
+    made, plans, stage, write = {}, [], scale.staged, W.write_mterms
+
+    def staged(df, name, *rest):
+        made[name] = stage(df, name, *rest)
+        return made[name]
+
+    def written(frequency, binary, path):
+        plans.extend(d._jdf.queryExecution().optimizedPlan().toString() for d in (frequency, binary))
+        write(frequency, binary, path)
+
+    monkeypatch.setattr(scale, "staged", staged)
+    monkeypatch.setattr(W, "write_mterms", written)
+    assert QUERIES["roundtrip_terms"](spark, sf).count() == made["frequency"].count()
+    assert len(plans) == 2 and not any("Aggregate" in p for p in plans)
+    assert not {"noteID", "notedate", "key"} & set(made["cohort-mentions"].columns)
