@@ -7,7 +7,7 @@ pre-aggregated shuffles; nothing loops over participants.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,27 +131,39 @@ def concept_tag(module: Column) -> Column:
     return F.when(tag == "concept_", F.lit("concept_NA")).otherwise(tag)
 
 
-def tagged(mentions: DataFrame) -> DataFrame:
-    """Mentions with raw and clean term and concept names.
+def tagger(mentions: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """``tagged`` for rows of these mentions, wherever the rows have moved to.
 
     A dictionary has far fewer names than there are mentions, so names are cleaned
     once each, staged, and broadcast back. Names too many for that are cleaned per row.
     """
     module = F.coalesce(F.col("module"), F.lit("NA"))
     term = F.coalesce(F.col("term"), F.lit("NA"))
-    named = mentions.withColumn("concept_tags", concept_tag(module)).withColumn(
-        "term_names", X.decimal_mark(F.concat(F.lit("term_"), module, F.lit("_"), term))
-    )
+    raw_names = {
+        "concept_tags": concept_tag(module),
+        "term_names": X.decimal_mark(F.concat(F.lit("term_"), module, F.lit("_"), term)),
+    }
     both = F.array("term_names", "concept_tags")
-    raw = named.select(F.explode(both).alias("raw")).distinct()
+    raw = mentions.withColumns(raw_names).select(F.explode(both).alias("raw")).distinct()
     names = scale.staged(raw.withColumn("clean", X.clean_name(F.col("raw"))), "names")
     wanted = {"clean_terms": "term_names", "clean_concept_tags": "concept_tags"}
-    if not scale.small(names):
-        return named.withColumns({out: X.clean_name(F.col(raw)) for out, raw in wanted.items()})
-    for out, raw in wanted.items():
-        listed = names.select(F.col("raw").alias(raw), F.col("clean").alias(out))
-        named = named.join(F.broadcast(listed), raw, "left")
-    return named
+    few = scale.small(names)
+
+    def tag(rows: DataFrame) -> DataFrame:
+        named = rows.withColumns(raw_names)
+        if not few:
+            return named.withColumns({out: X.clean_name(F.col(raw)) for out, raw in wanted.items()})
+        for out, raw in wanted.items():
+            listed = names.select(F.col("raw").alias(raw), F.col("clean").alias(out))
+            named = named.join(F.broadcast(listed), raw, "left")
+        return named
+
+    return tag
+
+
+def tagged(mentions: DataFrame) -> DataFrame:
+    """Mentions with raw and clean term and concept names."""
+    return tagger(mentions)(mentions)
 
 
 def _indicator(clean: Column, raw: Column, assertion: str) -> Column:
@@ -216,12 +228,10 @@ def mode_columns(mentions: DataFrame) -> list[str]:
     return [c for c in mentions.columns if c not in (*KEYS, "key")]
 
 
-def _filled(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _filled(mentions: DataFrame, columns: Sequence[str]) -> list[Column]:
     """Null text as ``NA``, so that a missing value can win a mode."""
     text = {f.name for f in mentions.schema.fields if f.dataType.simpleString() == "string"}
-    return mentions.select(
-        *[F.coalesce(c, F.lit("NA")).alias(c) if c in text else F.col(c) for c in columns]
-    )
+    return [F.coalesce(c, F.lit("NA")).alias(c) if c in text else F.col(c) for c in columns]
 
 
 def _winners(counted: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -232,22 +242,28 @@ def _winners(counted: DataFrame, groups: Sequence[str], values: Sequence[str]) -
 
 
 def _modes(
-    rows: DataFrame, kept: Sequence[str], cells: Column, values: Sequence[str], out: Sequence[Column]
+    rows: DataFrame,
+    shown: Callable[[DataFrame], DataFrame],
+    kept: Sequence[str],
+    cells: Column,
+    values: Sequence[str],
+    out: Sequence[Column],
 ) -> DataFrame:
     """One row per participant of ``out`` over the winners of each kind of cell.
 
-    Rows move once, as they are, to the task of their participant, and are taken apart there; the
-    number of tasks grows with the rows. Participants that fill more than one task are counted by
-    cell all over the cluster; there are fewer of them than tasks.
+    Rows move once, as they are, to the task of their participant, and are ``shown`` and taken apart
+    there; the number of tasks grows with the rows. Participants that fill more than one task are
+    counted by cell all over the cluster; there are fewer of them than tasks.
     """
     spark = rows.sparkSession
+    rows = rows.select(*_filled(rows, KEYS), *[c for c in rows.columns if c not in KEYS])
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // MENTIONS_PER_TASK)
     shares = max(scale.fair_share(spark), tasks)
     hot = F.broadcast(scale.staged(scale.hot_keys(rows, KEYS, shares).select(*KEYS), "hot-participants"))
 
     def won(part: DataFrame) -> DataFrame:
         groups = [*KEYS, *kept, "kind"]
-        each = part.select(*KEYS, *kept, F.inline(cells))
+        each = shown(part).select(*KEYS, *kept, F.inline(cells))
         counted = each.groupBy(*groups, *values).agg(F.count(F.lit(1)).alias("n"))
         return _winners(counted, groups, values).groupBy(*KEYS).agg(*out)
 
@@ -255,13 +271,20 @@ def _modes(
     return won(whole).unionByName(won(rows.join(hot, list(KEYS), "left_semi")))
 
 
-def participant_modes(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
+def participant_modes(
+    mentions: DataFrame, columns: Sequence[str], tag: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Most frequent value of each column per participant; ties go to the smallest.
 
-    ``mentions`` are read three times. Whole numbers and dates are compared as numbers.
+    ``mentions`` are read three times. Whole numbers and dates are compared as numbers. With ``tag``
+    (a ``tagger``) mentions come without their names, which are added where the rows have moved to.
     """
-    rows = _filled(mentions, [*KEYS, *columns])
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
+
+    def shown(part: DataFrame) -> DataFrame:
+        full = tag(part) if tag else part
+        return full.select(*KEYS, *_filled(full, columns))
+
+    kinds = {f.name: f.dataType for f in shown(mentions).schema.fields}
     cells = []
     for i, c in enumerate(columns):
         whole = isinstance(kinds[c], (T.IntegralType, T.DateType))
@@ -284,23 +307,26 @@ def participant_modes(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
         else:
             value = F.max(F.when(own, F.col("text"))).cast(kinds[c])
         out.append(value.alias(c))
-    return _modes(rows, [], F.array(*cells), ["text", "number"], out)
+    return _modes(mentions, shown, [], F.array(*cells), ["text", "number"], out)
 
 
-def module_summary(mentions: DataFrame) -> DataFrame:
+def module_summary(
+    mentions: DataFrame, tag: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Modes and row counts of concepts and terms in each of the four modules.
 
-    A module without rows gives nulls. ``mentions`` are read three times.
+    A module without rows gives nulls. ``mentions`` are read three times; ``tag`` as in ``participant_modes``.
     """
     code = F.lit(None).cast("string")
     for name, column in CONCEPT_COLUMNS.items():
         given = F.coalesce(F.col(column).cast("string"), F.lit("NA"))
         code = F.when(F.col("module") == name, given).otherwise(code)
     kinds = ("code", "clean_concept_tags", "term", "term_names", "clean_terms")
-    rows = _filled(
-        mentions.where(F.col("module").isin(*CONCEPT_COLUMNS)).withColumn("code", code),
-        [*KEYS, "module", *kinds],
-    )
+
+    def shown(part: DataFrame) -> DataFrame:
+        full = (tag(part) if tag else part).withColumn("code", code)
+        return full.select(*KEYS, *_filled(full, ["module", *kinds]))
+
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in kinds])
     out = []
     for module, names in SUMMARY_COLUMNS.items():
@@ -313,7 +339,8 @@ def module_summary(mentions: DataFrame) -> DataFrame:
         for kind, name in zip(wanted, names):
             cell = own("code", "rows") if kind is None else own(kind, "v")
             out.append(cell.alias(name))
-    return _modes(rows, ["module"], pairs, ["v"], out)
+    inside = mentions.where(F.col("module").isin(*CONCEPT_COLUMNS))
+    return _modes(inside, shown, ["module"], pairs, ["v"], out)
 
 
 def missing_summary(cohort: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -166,13 +166,14 @@ def code_matrices(cohort: DataFrame, frequency: DataFrame, dimension: str) -> Ma
 
 def term_demographics(cohort: DataFrame, mentions: DataFrame) -> DataFrame:
     """Modes, module summary and missing entries, one row per cohort member."""
-    tagged = scale.staged(terms.tagged(terms.of_cohort(cohort, mentions)), "mentions")
-    present = terms.mode_columns(tagged)
+    inside = scale.staged(terms.of_cohort(cohort, mentions), "mentions")
+    tag = terms.tagger(inside)
+    present = terms.mode_columns(tag(inside))
     keys = list(terms.KEYS)
     return (
-        terms.missing_summary(cohort, tagged)
-        .join(terms.participant_modes(tagged, present), keys, "left")
-        .join(terms.module_summary(tagged), keys, "left")
+        terms.missing_summary(cohort, tag(inside))
+        .join(terms.participant_modes(inside, present, tag), keys, "left")
+        .join(terms.module_summary(inside, tag), keys, "left")
     )
 
 
@@ -191,7 +192,11 @@ def term_matrices(cohort: DataFrame, mentions: DataFrame, path: str | None = Non
 
 
 def term_tables(cohort: DataFrame, mentions: DataFrame, path: str) -> Matrices:
-    """Frequency and 0/1 rows joined to the demographics, saved, and read back when there."""
+    """Frequency and 0/1 rows joined to the demographics, saved, and read back when there.
+
+    Demographics repeat in each row of a participant, so files are far smaller than their rows;
+    what is broadcast goes by the bytes of the rows.
+    """
     spark = cohort.sparkSession
     plain = term_matrices(cohort, mentions, f"{path}/terms")
 
@@ -200,7 +205,7 @@ def term_tables(cohort: DataFrame, mentions: DataFrame, path: str) -> Matrices:
         return scale.staged(term_demographics(cohort.select(*terms.KEYS), mentions), "demographics")
 
     def joined(rows: DataFrame) -> DataFrame:
-        return rows.join(demographics(), list(terms.KEYS))
+        return scale.sized_join(rows, demographics(), list(terms.KEYS), F.xxhash64("family", "feature"))
 
     return Matrices(
         writers.reused(spark, f"{path}/frequency_demographics", lambda: joined(plain.frequency)),

@@ -9,6 +9,7 @@ from covaria.operators import codes as CO
 from covaria.operators import matrix as M
 from covaria.operators import terms as T
 from covaria.plans import jobs as PL
+from covaria.plans.catalogue import QUERIES
 
 
 def events(spark):
@@ -164,3 +165,22 @@ def test_demographics_of_term_tables_are_made_once(spark, tmp_path, monkeypatch)
     for _ in range(2):
         tables = PL.term_tables(cohort(spark, ["1", "2"]), frame, str(tmp_path))
     assert made == [1] and tables.binary.count() == tables.frequency.count() == 4
+
+
+def test_modes_add_names_after_the_rows_have_moved(spark, monkeypatch):
+    data = [(k, "ade", t, 0, None, c) for k in (1, 2) for t, c in (("B.1 x", "x"), ("a", None), ("a", ""))]
+    plain = mentions(spark, data).withColumn("empi", F.col("key").cast("string"))
+    plain = plain.unionByName(plain.where("key = 2").withColumn("empi", F.lit(None).cast("string")))
+    tag = T.tagger(plain)
+    whole = tag(plain)
+    columns = T.mode_columns(whole)
+    want = rows(T.participant_modes(whole, columns)), rows(T.module_summary(whole))
+    moved, repartition = [], type(plain).repartition
+    monkeypatch.setattr(type(plain), "repartition", lambda df, *by: moved.append(df.columns) or repartition(df, *by))
+    assert (rows(T.participant_modes(plain, columns, tag)), rows(T.module_summary(plain, tag))) == want
+    assert len(moved) == 2 and not any({"term_names", "clean_terms"} & set(names) for names in moved)
+
+
+def test_saved_term_tables_are_joined_by_their_rows_not_by_their_files(spark, sf):
+    plan = QUERIES["term_tables"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
