@@ -6,6 +6,7 @@ from helpers import INDEX, cohort, day, notes, one, rows
 from pyspark.sql import functions as F
 
 from covaria.functions import keys as K
+from covaria.operators import scale
 from covaria.operators import cohort as C
 
 EDGES = [(1, "1", "Car", -1, "a"), (2, "1", "Car", 0, "a"), (3, "1", "Car", 364, "a"), (4, "1", "Car", 365, "a")]
@@ -90,3 +91,12 @@ def test_fill_and_align(spark):
     target = spark.createDataFrame([(1.5,)], "n double")
     assert dict(K.align_types(frame, target).dtypes)["n"] == "double"
     assert K.key_first(frame, "n").columns == ["n", "empi", "note"]
+
+
+def test_rows_that_lie_apart_already_are_not_moved(spark, tmp_path):
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(64).repartition(tasks).write.parquet(str(tmp_path / "many"))
+    spark.range(64).coalesce(1).write.parquet(str(tmp_path / "one"))
+    plan = lambda name: scale.spread(spark.read.parquet(str(tmp_path / name)), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan("one") and "Repartition" not in plan("many")
+    assert scale.spread(spark.read.parquet(str(tmp_path / "one")).limit(0), "id").count() == 0

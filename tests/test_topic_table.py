@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict
 
@@ -96,3 +97,30 @@ def test_fold_in_of_no_notes(spark):
     topics = spark.createDataFrame([("a", [0.5, 0.5])], "term string, weights array<double>")
     assert TT.fold_in(held(spark, [(1, "b", 1)]), topics, 2, 4).count() == 0
     assert TT.fold_in(held(spark, [(None, "a", 1)]), topics, 2, 4).collect() == [(None, [0.5, 0.5])]
+
+
+def test_words_are_not_joined_to_a_table_of_notes(spark, monkeypatch):
+    """Failed before: notes too many for a broadcast were joined to their words anew in each step."""
+    rows = bag_rows() + [(None, "w1", 3), (None, "only", 1), (3, "w1", 2), (3, "w1", 2)]
+    bag = held(spark, rows)
+    begun = TT._first_terms(bag.select("term").distinct(), 3)
+    joined, join = [], scale.salted_join
+    monkeypatch.setattr(scale, "small", lambda df, *_: "note_id" not in df.columns)
+    monkeypatch.setattr(scale, "salted_join", lambda *given: joined.append(given[2]) or join(*given))
+    topics, notes = TT.fit(bag, 3, 3)
+    first = {r["term"]: [r[f"_weight{i}"] for i in range(3)] for r in begun.collect()}
+    want_topics, want_notes = brute_fit([r for r in rows if r[0] is not None], first, 3, 3)
+    close({r["term"]: r["weights"] for r in topics.collect()}, want_topics)
+    close({r["note_id"]: r["theta"] for r in notes.collect()}, want_notes)
+    found = TT.log_perplexity(bag, topics, notes).first()
+    inside = [(n, t, tf) for n, t, tf in rows if n is not None]
+    logs = [tf * math.log(sum(a * b for a, b in zip(want_notes[n], want_topics[t]))) for n, t, tf in inside]
+    assert joined == [] and found["words"] == sum(tf for _, _, tf in inside)
+    assert found["bound"] == pytest.approx(sum(logs) / found["words"], abs=1e-12)
+
+
+def test_folded_notes_move_without_weights(spark):
+    """Failed before: each word was shuffled with a weight for every topic."""
+    topics = spark.createDataFrame([("a", [0.5, 0.5]), ("b", [0.2, 0.8])], "term string, weights array<double>")
+    plan = TT.fold_in(held(spark, bag_rows()), topics, 2, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "weights" not in plan
