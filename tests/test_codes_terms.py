@@ -10,6 +10,7 @@ from covaria.operators import matrix as M
 from covaria.operators import terms as T
 from covaria.plans import jobs as PL
 from covaria.plans.catalogue import QUERIES
+from covaria.sources import fixtures as FX
 
 
 def events(spark):
@@ -184,3 +185,14 @@ def test_modes_add_names_after_the_rows_have_moved(spark, monkeypatch):
 def test_saved_term_tables_are_joined_by_their_rows_not_by_their_files(spark, sf):
     plan = QUERIES["term_tables"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_mentions_meet_the_cohort_where_they_are(spark, sf):
+    """Failed before: with a cohort too large for Spark's own broadcast all mentions were shuffled once more."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = FX.mterms(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [empi" in plan and "SortMergeJoin [empi" not in plan

@@ -189,3 +189,13 @@ def test_held_bytes(spark):
     assert not scale.small(spark.range(10), 100)
     texts = spark.createDataFrame([("ab", [1, 2]), (None, None)], "t string, a array<int>")
     assert scale.held_bytes(texts) == 2 * 48 + 2 + len("[1, 2]")
+
+
+def test_ngrams_found_once_are_written_only_when_wanted(spark, monkeypatch):
+    counts = spark.createDataFrame([(f"w{i:02d}", n) for i, n in enumerate([5, 1, 3, 3, 3, 1, 7, 1])], "ngram string, n long")
+    written, staged = [], N.scale.staged
+    monkeypatch.setattr(N.scale, "staged", lambda df, name, *by: written.append(df.count()) or staged(df, name, *by))
+    got = lambda k: sorted(r["ngram"] for r in N.top_ngrams(counts, k).collect())
+    assert got(4) == ["w00", "w02", "w03", "w06"] and written == [5]
+    assert got(6) == ["w00", "w01", "w02", "w03", "w04", "w06"] and written[1:] == [5, 3]
+    assert len(got(9)) == 8 and got(5) == ["w00", "w02", "w03", "w04", "w06"]
